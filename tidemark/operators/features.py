@@ -80,9 +80,16 @@ def group_footprint(sized: DataFrame) -> DataFrame:
 
 def move_flags(diff: DataFrame) -> DataFrame:
     """Relative market-cap move of updated keys with ``visible`` and ``strong`` flags and the direction."""
-    after = positive(F.col("token.market_cap"))
-    before = positive(F.col("token.market_cap") - F.col("changes")["market_cap"]["absolute"])
-    rows = diff.where(F.col("type") == "token_updated").select("mint", ((after - before) / before).alias("move"))
+    # Step by step, so that the nested change is computed once per row.
+    updated = diff.where(F.col("type") == "token_updated").select(
+        "mint",
+        F.col("token.market_cap").alias("after"),
+        F.col("changes")["market_cap"]["absolute"].alias("change"),
+    )
+    known = updated.select("mint", "after", (F.col("after") - F.col("change")).alias("before"))
+    rows = known.select("mint", positive(F.col("after")).alias("after"), positive(F.col("before")).alias("before")).select(
+        "mint", ((F.col("after") - F.col("before")) / F.col("before")).alias("move")
+    )
     size = F.abs("move")
     return rows.where("move IS NOT NULL").select(
         "mint",

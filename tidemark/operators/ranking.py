@@ -136,11 +136,12 @@ def search_tokens(tokens: DataFrame, text: str, limit: int = SEARCH_LIMIT) -> Da
 GRAM = 3
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Distinct substrings of one length; empty when the text is shorter."""
-    count = F.char_length(text) - size + 1
-    starts = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+def _grams(text: Column) -> Column:
+    """Substrings of one to ``GRAM`` characters; every start gives one of each length that still fits."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
+    sized = [F.transform(starts, lambda i: F.substring(text, i, F.lit(n))) for n in range(1, GRAM + 1)]
+    # Near the end a longer gram is a shorter one again; removing duplicates takes care of it.
+    return F.concat(*sized)
 
 
 def batch_search(tokens: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
@@ -157,8 +158,7 @@ def batch_search(tokens: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMI
         .select("query_id", "_raw", needle.alias("_needle"))
         .withColumn("_gram", F.substring("_needle", 1, GRAM))
     )
-    lengths = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
-    per_field = [F.flatten(F.transform(lengths, lambda n, f=field: _grams(f, n))) for field in _search_fields()]
+    per_field = [_grams(field) for field in _search_fields()]
     indexed = tokens.where("tracking_enabled").select(
         "mint",
         "symbol",

@@ -16,6 +16,8 @@ RUNTIME_OPTIONS = {
     # A join on the entity key is followed by an aggregate on the same key. Without this option AQE keeps a hot key in
     # one task to save the extra exchange; with it the join is split and the partial aggregate runs before the exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Two statistic names may fall together once they are in snake case.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Per-key exact medians over at most one sample per five minutes: keep them hash based.
     "spark.sql.execution.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }

@@ -71,8 +71,8 @@ def snake_case(key: Column) -> Column:
 def numeric_map(stats: Column) -> Column:
     """Top-level numeric entries of a stats object as ``MAP<STRING, DOUBLE>`` with snake-case keys.
 
-    Nested objects carry no statistic of their own and are left out, as are booleans and text that is no number. When two keys fall
-    together in snake case, the last one wins.
+    Nested objects carry no statistic of their own and are left out, as are booleans and text that is no number. When
+    two keys fall together in snake case the last one wins (``spark.sql.mapKeyDedupPolicy``, see ``session``).
     """
     numbers = F.transform_values(
         F.try_variant_get(stats, "$", "map<string,variant>"),
@@ -84,22 +84,8 @@ def numeric_map(stats: Column) -> Column:
             number_from_text(F.try_variant_get(value, "$", "string")),
         ),
     )
-    entries = F.transform(
-        F.filter(F.map_entries(numbers), lambda e: e["value"].isNotNull()),
-        lambda e: F.struct(snake_case(e["key"]).alias("key"), e["value"].alias("value")),
-    )
-    last_of_key = F.filter(
-        F.transform(
-            entries,
-            lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i")),
-        ),
-        lambda e: ~F.exists(
-            F.slice(entries, e["i"] + F.lit(2), F.size(entries)), lambda later: later["key"] == e["key"]
-        ),
-    )
-    return F.map_from_entries(
-        F.transform(last_of_key, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    )
+    known = F.filter(F.map_entries(numbers), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(F.transform(known, lambda e: F.struct(snake_case(e["key"]), e["value"])))
 
 
 def history_view(snapshots: DataFrame) -> DataFrame:
