@@ -91,9 +91,9 @@ def whole(value: Column) -> Column:
 
 
 def finite(value: Column) -> Column:
-    """The number when it is finite, else NULL."""
+    """The number when it is finite, else NULL. NaN sorts above infinity, so one comparison excludes both."""
     number = value.cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def not_blank(text: Column) -> Column:

@@ -23,8 +23,8 @@ MOVE_VISIBLE, MOVE_STRONG = 0.03, 0.10
 
 def positive(value: Column) -> Column:
     """The number when finite and above zero, else NULL."""
-    number = finite(value)
-    return F.when(number > 0, number)
+    number = value.cast("double")
+    return F.when((number > 0) & (number < F.lit(float("inf"))), number)
 
 
 def log_size(value: Column) -> Column:
@@ -80,18 +80,17 @@ def group_footprint(sized: DataFrame) -> DataFrame:
 
 def move_flags(diff: DataFrame) -> DataFrame:
     """Relative market-cap move of updated keys with ``visible`` and ``strong`` flags and the direction."""
-    # Step by step, so that the nested change is computed once per row.
     updated = diff.where(F.col("type") == "token_updated").select(
         "mint",
         F.col("token.market_cap").alias("after"),
-        F.col("changes")["market_cap"]["absolute"].alias("change"),
-    )
-    known = updated.select("mint", "after", (F.col("after") - F.col("change")).alias("before"))
-    rows = known.select("mint", positive(F.col("after")).alias("after"), positive(F.col("before")).alias("before")).select(
-        "mint", ((F.col("after") - F.col("before")) / F.col("before")).alias("move")
+        (F.col("token.market_cap") - F.col("changes")["market_cap"]["absolute"]).alias("before"),
     )
+    # Conditions on the plain values: they are pushed below the projection, where a long expression would be repeated.
+    limit = F.lit(float("inf"))
+    known = updated.where((F.col("after") > 0) & (F.col("after") < limit) & (F.col("before") > 0) & (F.col("before") < limit))
+    rows = known.select("mint", ((F.col("after") - F.col("before")) / F.col("before")).alias("move"))
     size = F.abs("move")
-    return rows.where("move IS NOT NULL").select(
+    return rows.select(
         "mint",
         "move",
         (size >= MOVE_VISIBLE).alias("visible"),

@@ -83,7 +83,7 @@ def q_temporal_summary_flat(spark, sf):
         c("organic.score.median").alias("score_median"),
         c("organic.volume_share.max").alias("share_max"),
     )
-    return tidy(flat, 5)
+    return tidy(flat)
 
 
 def q_temporal_summary(spark, sf):
@@ -371,10 +371,10 @@ QUERIES = {
         LEFT JOIN (SELECT mint, round(median(organic_score), 6) AS score_median, {four('volume_share', 'volume_share_')} FROM rat GROUP BY mint) s ON s.mint = h.mint""", SAMPLES + ",\n" + RATIOS)),
     "coverage": (q_coverage, hist_sql("""SELECT mint, count(*) AS observations, epoch_us(min(observed_at)) AS first_at_us, epoch_us(max(observed_at)) AS last_at_us,
         round((epoch_us(max(observed_at)) - epoch_us(min(observed_at))) / CAST(3600000000 AS DOUBLE), 4) AS hours FROM hist GROUP BY mint""")),
-    "temporal_summary_flat": (q_temporal_summary_flat, hist_sql(f"""SELECT h.mint, hours, observations, round(a, 5) AS mc_start, round(b, 5) AS mc_current,
-        round(CASE WHEN a <> 0 THEN (b / a - 1) * 100 END, 5) AS mc_change_pct, epoch_us(d.peak_at) AS mc_peak_at_us, round(d.dd, 5) AS mc_drawdown, round(lmax, 5) AS liq_max,
-        round(r.lr, 5) AS liq_ratio_median, round(hmin, 5) AS holders_min, round(t2 - t1, 5) AS top_change_pp, round(dm, 5) AS dev_mints,
-        round(st.m, 5) AS buy_median, round(r.nf, 5) AS net_current, round(r.sm, 5) AS score_median, round(r.vs, 5) AS share_max
+    "temporal_summary_flat": (q_temporal_summary_flat, hist_sql(f"""SELECT h.mint, hours, observations, round(a, 6) AS mc_start, round(b, 6) AS mc_current,
+        round(CASE WHEN a <> 0 THEN (b / a - 1) * 100 END, 6) AS mc_change_pct, epoch_us(d.peak_at) AS mc_peak_at_us, round(d.dd, 6) AS mc_drawdown, round(lmax, 6) AS liq_max,
+        round(r.lr, 6) AS liq_ratio_median, round(hmin, 6) AS holders_min, round(t2 - t1, 6) AS top_change_pp, round(dm, 6) AS dev_mints,
+        round(st.m, 6) AS buy_median, round(r.nf, 6) AS net_current, round(r.sm, 6) AS score_median, round(r.vs, 6) AS share_max
         FROM (SELECT mint, count(*) AS observations, round((epoch_us(max(observed_at)) - epoch_us(min(observed_at))) / CAST(3600000000 AS DOUBLE), 4) AS hours,
             {first_of('market_cap')} AS a, {last_of('market_cap')} AS b, max(liquidity) AS lmax, min(holders) AS hmin, {first_of('top_holders_pct')} AS t1,
             {last_of('top_holders_pct')} AS t2, {last_of('dev_mints')} AS dm FROM hist GROUP BY mint) h

@@ -108,6 +108,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table with fewer splits than cores out to all cores; a table with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id",
@@ -414,7 +420,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     risks = """transform(filter(sequence(0, CAST(o_orderkey % 4 AS INT)), i -> i > 0), i -> named_struct(
         'name', CASE WHEN i <> 3 THEN 'R' || CAST(i AS STRING) END, 'score', CASE WHEN i <> 3 THEN i * 10 END, 'other', i))"""
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
         .selectExpr("*", "CAST(o_orderkey % 25 AS INT) AS n_holders", "'A' || CAST(o_custkey % 50 AS STRING) AS creator")
         .selectExpr("*", f"{holders} AS holders", f"{markets} AS markets", f"{accounts} AS accounts", f"{risks} AS risks")
         .selectExpr("o_orderkey AS report_id", f"parse_json({body}) AS report")
