@@ -161,7 +161,7 @@ def payload_snapshots(spark: SparkSession, sf_dir: str, as_of: str) -> DataFrame
         {text('name', 'name')}, {text('symbol', 'symbol')}, '"id":"' || mint || '"',
         '"stats5m":{{' || concat_ws(',', {stats5m}) || '}}', '"stats1h":{{' || concat_ws(',', {stats1h}) || '}}',
         '"audit":{{' || concat_ws(',', {audit}) || '}}') || '}}'"""
-    return snapshots(spark, sf_dir, as_of).selectExpr("mint", "observed_at", f"parse_json({body}) AS payload")
+    return spread(snapshots(spark, sf_dir, as_of)).selectExpr("mint", "observed_at", f"parse_json({body}) AS payload")
 
 
 def lifecycle_rows(spark: SparkSession, sf_dir: str, as_of: str) -> DataFrame:
@@ -282,7 +282,7 @@ def iso_text(column) -> F.Column:
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a source version polled one to three times, five seconds apart."""
-    repeated = events_k(spark, sf_dir).withColumn("r", F.explode(F.expr("sequence(0, CAST(event_id % 3 AS INT))")))
+    repeated = spread(events_k(spark, sf_dir)).withColumn("r", F.explode(F.expr("sequence(0, CAST(event_id % 3 AS INT))")))
     payload = """parse_json('{' || concat_ws(',', '"id":"' || mint || '"', '"updatedAt":"' || updated_at || '"',
         '"name":"polled ' || CAST(user_id AS STRING) || '"', '"symbol":"S' || CAST(event_id % 7 AS STRING) || '"',
         '"decimals":' || CAST(event_id % 9 AS STRING), '"tokenProgram":"prog"',
