@@ -99,7 +99,7 @@ def test_rule2_slot_and_evidence(spark):
 
 def test_rule3_needs_any_economic_text(spark):
     created = ago(minutes=5)
-    keys = [key(n, created, created) for n in ("none", "blank", "text", "future", "known")]
+    keys = [key(n, created, created, NOW) for n in ("none", "blank", "text", "future", "known")]
     snaps = [
         snap("blank", ago(minutes=1)),
         snap("text", ago(minutes=1), economic=True),
@@ -139,7 +139,7 @@ def test_scans_start_at_grace_and_respect_cursors(spark):
 def test_rule6_truncates_and_rule7_bounds(spark):
     first = ago(minutes=30)
     holders = {"four": 4, "almost": 4.9, "five": 5, "unknown": None, "nan": float("nan")}
-    keys = [key(n, None, first) for n in holders]
+    keys = [key(n, None, first, NOW) for n in holders]
     snaps = [snap(n, first, holders=v) for n, v in holders.items()]
     snaps += [snap(n, first + timedelta(minutes=30, microseconds=1), holders=0) for n in holders]
     assert set(hits(spark, keys, snaps, "rule6")) == {"four", "almost"}
