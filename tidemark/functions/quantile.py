@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.functions.joins import split_ready
+
 ACCURACY = 10_000
 
 
@@ -44,7 +46,7 @@ def exact_quantiles(
     ).alias("_s")
 
     if by:
-        sketched = rows.join(rows.groupBy(*by).agg(sketch), by)
+        sketched = rows.join(split_ready(rows.groupBy(*by).agg(sketch), *by), by)
     else:
         sketched = rows.withColumn("_s", rows.agg(sketch).scalar())
 

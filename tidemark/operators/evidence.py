@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.config import RuleConfig
 from tidemark.functions.coerce import instant, seconds
+from tidemark.functions.joins import split_ready
 
 DEFAULT = RuleConfig()
 SCANS = {"rule4": ("scan_liquidity", "collapse_liquidity"), "rule5": ("scan_mcap", "collapse_mcap")}
@@ -76,9 +77,8 @@ def evidence(
         folds.append(F.max(F.when(unseen, at)).alias(f"{rule}_scanned"))
         folds.append(F.min(F.when(unseen & below, at)).alias(f"{rule}_crossing"))
 
-    joined = measures.join(
-        _with_cursors(active, cursors).drop("last_polled_at", "last_changed_at"), "mint"
-    )
+    marks = _with_cursors(active, cursors).drop("last_polled_at", "last_changed_at")
+    joined = measures.join(split_ready(marks, "mint"), "mint")
     folded = joined.groupBy("mint").agg(*folds)
     result = active.join(folded, "mint", "left")
     return result.withColumns(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark import schemas
 from tidemark.config import RETENTION_HOURS
 from tidemark.functions.coerce import boolean_only, instant, source_time, text_of
+from tidemark.functions.joins import split_ready
 
 DESCRIPTIVE = (
     "dev",
@@ -91,7 +92,7 @@ def tag_versions(versions: DataFrame, registry: DataFrame) -> DataFrame:
     held = registry.select("mint", source_time(F.col("source_updated_at")).alias("_held"))
     newer = F.col("_held").isNull() | (F.col("source_time") > F.col("_held"))
     return (
-        versions.join(held, "mint", "left")
+        versions.join(split_ready(held, "mint"), "mint", "left")
         .withColumn("is_newer", F.coalesce(newer, F.lit(False)))
         .drop("_held")
     )
@@ -155,42 +156,52 @@ def fold_versions(tagged: DataFrame) -> DataFrame:
     return folded.withColumn("described", describe_payload(F.col("_payload"))).drop("_payload")
 
 
-def enrich_registry(registry: DataFrame, folded: DataFrame) -> DataFrame:
-    """Fill the descriptive columns of rows that have no name yet; add rows for unknown keys."""
-    fresh = folded.select("mint", "described")
-    joined = registry.withColumn("_known", F.lit(True)).join(fresh, "mint", "full_outer")
+def _described() -> dict[str, Column]:
+    """Registry columns after enrichment, over a registry row joined with a folded row (``_known``: row existed)."""
     fill = F.col("name").isNull() & F.col("described").isNotNull()
-    columns = []
-    for field in schemas.REGISTRY.fields:
-        column = F.col(field.name)
-        if field.name in DESCRIPTIVE:
-            column = F.when(fill, F.col(f"described.{field.name}")).otherwise(column)
-        elif field.name == "tracking_enabled":
-            column = F.when(F.col("_known"), column).otherwise(F.lit(True))
-        elif field.name == "priority":
-            column = F.when(F.col("_known"), column).otherwise(F.lit(1))
-        columns.append(column.alias(field.name))
-    return joined.select(*columns)
-
-
-def enriched_keys(registry: DataFrame, folded: DataFrame) -> DataFrame:
-    """Polled keys whose descriptive columns this batch fills."""
-    named = registry.where("name IS NOT NULL").select("mint")
-    return folded.select("mint").join(named, "mint", "left_anti")
+    columns = {
+        name: F.when(fill, F.col(f"described.{name}")).otherwise(F.col(name)) for name in DESCRIPTIVE
+    }
+    columns["tracking_enabled"] = F.when(F.col("_known"), F.col("tracking_enabled")).otherwise(F.lit(True))
+    columns["priority"] = F.when(F.col("_known"), F.col("priority")).otherwise(F.lit(1))
+    return columns
 
 
-def merge_poll_facts(registry: DataFrame, folded: DataFrame) -> DataFrame:
-    """Advance the poll facts. A poll without a newer version moves ``last_polled_at`` only."""
-    facts = folded.select("mint", "polled_at", "first_new_at", "newest_at", "newest_updated_at")
-    merged = {
+def _poll_facts() -> dict[str, Column]:
+    """Registry columns after the poll merge, over the same joined row."""
+    return {
         "first_observed_at": F.coalesce("first_observed_at", "first_new_at"),
         "last_polled_at": F.greatest("last_polled_at", "polled_at"),
         "last_changed_at": F.coalesce("newest_at", "last_changed_at"),
         "source_updated_at": F.coalesce("newest_updated_at", "source_updated_at"),
     }
-    return registry.join(facts, "mint", "left").select(
-        *[merged.get(name, F.col(name)).alias(name) for name in registry.columns]
-    )
+
+
+def _registry_row(joined: DataFrame, changed: dict[str, Column]) -> DataFrame:
+    return joined.select(*[changed.get(name, F.col(name)).alias(name) for name in schemas.REGISTRY.names])
+
+
+def enrich_registry(registry: DataFrame, folded: DataFrame) -> DataFrame:
+    """Fill the descriptive columns of rows that have no name yet; add rows for unknown keys."""
+    known = registry.withColumn("_known", F.lit(True))
+    return _registry_row(known.join(folded.select("mint", "described"), "mint", "full_outer"), _described())
+
+
+def merge_poll_facts(registry: DataFrame, folded: DataFrame) -> DataFrame:
+    """Advance the poll facts. A poll without a newer version moves ``last_polled_at`` only."""
+    return _registry_row(registry.join(folded.drop("described"), "mint", "left"), _poll_facts())
+
+
+def changed_registry_rows(registry: DataFrame, folded: DataFrame) -> DataFrame:
+    """Enrichment and poll merge in one join, for the polled keys only."""
+    known = registry.withColumn("_known", F.lit(True))
+    return _registry_row(folded.join(known, "mint", "left"), {**_described(), **_poll_facts()})
+
+
+def enriched_keys(registry: DataFrame, folded: DataFrame) -> DataFrame:
+    """Polled keys whose descriptive columns this batch fills."""
+    named = registry.where("name IS NOT NULL").select("mint")
+    return folded.select("mint").join(named, "mint", "left_anti")
 
 
 def store_summary(enriched: DataFrame, newer: DataFrame, appended: DataFrame) -> DataFrame:

@@ -50,8 +50,7 @@ def ingest_batch(polls: DataFrame, registry: DataFrame, snapshots: DataFrame) ->
     versions = ingest.tag_versions(ingest.collapse_versions(polls), registry)
     newer = versions.where("is_newer")
     folded = ingest.fold_versions(versions)
-    touched = registry.join(folded.select("mint"), "mint", "left_semi")
-    updated = ingest.merge_poll_facts(ingest.enrich_registry(touched, folded), folded)
+    updated = ingest.changed_registry_rows(registry, folded)
     added = ingest.append_snapshots(newer, snapshots)
     summary = ingest.store_summary(ingest.enriched_keys(registry, folded), newer, added)
     return Batch(updated, added, summary)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import RULES
 from tidemark.operators import evidence as ev, lifecycle as lc
+from tidemark.operators.telemetry import tick_series
 from tidemark.plans import fixtures as fx
 from tidemark.plans.common import CFG, tidy
 from tidemark.plans.cycle import lifecycle_cycle
@@ -166,8 +167,6 @@ def q_candidate_diff(spark, sf):
 
 
 def q_tick_series(spark, sf):
-    from tidemark.operators.telemetry import tick_series
-
     registry, rows = inputs(spark, sf)
     summaries = []
     for hours in (0, 24):
@@ -202,6 +201,22 @@ DIFF = (
     + ",\nfirsts2 AS (SELECT mint, min(rule) AS rule, arg_min(reason, rule) AS reason FROM hits2 GROUP BY mint)"
 )
 
+# The second cycle looks at the same registry a day later.
+T_NEXT = f"({T} + INTERVAL '24' HOUR)"
+TICKS = (
+    ",\nhits_next AS (" + " UNION ALL ".join(f"({RULE_SQL[r].replace(T, T_NEXT)})" for r in RULES) + ")"
+    + ",\nfirsts_next AS (SELECT mint, min(rule) AS rule FROM hits_next GROUP BY mint)"
+)
+
+
+def _tick(instant, table):
+    counts = ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS {r}" for r in RULES)
+    return f"""SELECT epoch_us({instant}) AS as_of_us, {counts}, count(*) AS affected_count,
+        (SELECT count(*) FROM spread r WHERE r.tracking_enabled AND r.mint NOT IN (SELECT mint FROM {table})) AS active_remaining FROM {table}"""
+
+
+TICKS_OUT = f"{_tick(T, 'firsts')} UNION ALL {_tick(T_NEXT, 'firsts_next')}"
+
 QUERIES = {
     "latest_state": (q_latest_state, _sql(f"""SELECT r.mint, epoch_us(r.last_polled_at) AS last_polled_at_us, epoch_us(l.observed_at) AS latest_at_us,
         round(l.mcap, 6) AS latest_mcap, round(l.liquidity, 6) AS latest_liquidity, CAST(l.holder_count AS DOUBLE) AS latest_holders
@@ -234,5 +249,5 @@ QUERIES = {
         FROM (SELECT 'rule' || CAST(unnest(range(1, 8)) AS STRING) AS rule) d""", CURSOR_CYCLE)),
     "candidate_diff": (q_candidate_diff, _sql("""(SELECT rule, mint, reason, 'only_left' AS side FROM (SELECT rule, mint, reason FROM firsts EXCEPT SELECT rule, mint, reason FROM firsts2))
         UNION ALL (SELECT rule, mint, reason, 'only_right' AS side FROM (SELECT rule, mint, reason FROM firsts2 EXCEPT SELECT rule, mint, reason FROM firsts))""", DIFF)),
-    "tick_series": (q_tick_series, None),
+    "tick_series": (q_tick_series, _sql(TICKS_OUT, FIRST + TICKS)),
 }
