@@ -57,7 +57,7 @@ def test_projection(spark):
 def test_ranking(spark):
     df = tokens(
         spark,
-        *[{"mint": k, "market_cap": float(v), "launchpad": "pump.fun" if k in "ba" else "other"} for k, v in zip("bacdef", (1, 1, 3, 4, 5, 6))],
+        *[{"mint": k, "market_cap": float(v), "launchpad": "pad.one" if k in "ba" else "other"} for k, v in zip("bacdef", (1, 1, 3, 4, 5, 6))],
         {"mint": "g", "market_cap": None, "launchpad": ""},
         {"mint": "h", "market_cap": 99.0, "tracking_enabled": False},
         {"mint": "i", "market_cap": None, "tracking_enabled": None},
@@ -65,10 +65,10 @@ def test_ranking(spark):
     top = rk.rank_tokens(df).orderBy("rank").collect()
     assert [(r.rank, r.market_cap) for r in top] == [(1, 6), (2, 5), (3, 4), (4, 3), (5, 1)] and top[-1].mint == "a"
     assert {r.matched_count for r in top} == {6}
-    low = rk.rank_tokens(df, "market_cap", "asc", 5, " PUMP.FUN ").orderBy("rank").collect()
+    low = rk.rank_tokens(df, "market_cap", "asc", 5, " PAD.ONE ").orderBy("rank").collect()
     assert [r.mint for r in low] == ["a", "b"]
     offers = {r.value: r.active_tokens for r in rk.capabilities(df).collect()}
-    assert offers == {"other": 4, "pump.fun": 2, "unknown": 2}
+    assert offers == {"other": 4, "pad.one": 2, "unknown": 2}
     stats = feed.population_stats(df).first()
     assert (stats.active, stats.launchpads) == (7, 3)
 
@@ -80,12 +80,12 @@ def test_ranking(spark):
 )
 def test_rank_arguments_rejected(arguments):
     with pytest.raises(rk.RankArgumentError):
-        rk.validate_rank_args(arguments, ["pump.fun"])
+        rk.validate_rank_args(arguments, ["pad.one"])
 
 
 def test_rank_arguments_defaults():
     assert rk.validate_rank_args({}) == {"sort_by": "market_cap", "sort_order": "desc", "limit": 5, "launchpad": None}
-    assert rk.validate_rank_args({"launchpad": " PUMP.fun "}, ["pump.fun"])["launchpad"] == "PUMP.fun"
+    assert rk.validate_rank_args({"launchpad": " PAD.one "}, ["pad.one"])["launchpad"] == "PAD.one"
 
 
 def search_population(spark):
