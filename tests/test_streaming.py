@@ -84,6 +84,13 @@ def test_stream_equals_batch_and_is_repeatable(spark, landed, tmp_path):
     assert tables.read_snapshots(spark, root).count() == 4
     assert spark.read.parquet(root + "/commits").count() == 3
 
+    some = spark.createDataFrame([("A",), ("D",), ("unknown",)], "mint string")
+    assert rows(tables.read_registry(spark, root, keys=some), "mint") == [("A",), ("D",)]
+
+    trimmed = str(tmp_path / "trimmed")
+    tables.compact(spark, root, trimmed, as_of=T0 + timedelta(seconds=20 + 3600), hours=1)
+    assert rows(tables.read_snapshots(spark, trimmed), "mint", micros("observed_at")) == [("A", 20.0), ("D", 30.0)]
+
     target = str(tmp_path / "compacted")
     tables.compact(spark, root, target)
     assert rows(tables.read_registry(spark, target), "mint", "last_polled_at", "last_changed_at") == before

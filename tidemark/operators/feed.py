@@ -72,27 +72,19 @@ def apply_feed(state: DataFrame, events: DataFrame) -> DataFrame:
     known = events.where(F.col("type").isin(ADDED, UPDATED, RETIRED) & F.col("mint").isNotNull())
     retired = F.col("type") == RETIRED
 
+    given_reason = retired & (F.coalesce("reason", F.lit("")) != "")
+
     folds = []
-    for field in schemas.TOKEN_FIELDS:
+    for field in schemas.TOKEN_FIELDS[1:]:
         value = F.col(f"token.{field}")
-        if field == "mint":
-            continue
-        if field == "tracking_enabled":
-            value = value & ~retired
-        if field == "disabled_reason":
-            # An empty reason falls back to the token's own, as a missing one does.
-            value = F.when(retired & (F.col("reason") != ""), F.col("reason")).otherwise(value)
+        sets = ~(retired & F.coalesce(F.array_contains("absent", field), F.lit(False)))
         if field == "tracking_enabled":
-            sets = F.lit(True)
-            value = F.when(retired, F.lit(False)).otherwise(value)
-        else:
-            left_out = retired & F.coalesce(F.array_contains("absent", field), F.lit(False))
-            if field == "disabled_reason":
-                left_out = left_out & (F.coalesce(F.col("reason"), F.lit("")) == "")
-            sets = ~left_out
+            value, sets = F.when(retired, F.lit(False)).otherwise(value), F.lit(True)
+        elif field == "disabled_reason":
+            # The reason of the event comes first; an empty or missing one falls back to the token's own.
+            value, sets = F.when(given_reason, F.col("reason")).otherwise(value), sets | given_reason
         at = F.when(sets, F.col("seq"))
-        folds.append(F.max_by(value, at).alias(field))
-        folds.append(F.max(at).alias(f"_set_{field}"))
+        folds += [F.max_by(value, at).alias(field), F.max(at).alias(f"_set_{field}")]
     newest = known.groupBy("mint").agg(*folds)
 
     rows = state.select(*schemas.TOKEN_FIELDS).alias("s").join(newest.alias("e"), "mint", "full_outer")

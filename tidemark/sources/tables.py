@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schemas
+from tidemark.config import RETENTION_HOURS
+from tidemark.operators.ingest import expire_snapshots
 
 COMMITS = T.StructType([T.StructField("batch", T.LongType())])
 
@@ -56,9 +58,18 @@ def _newest_per_key(rows: DataFrame, name: str) -> DataFrame:
     return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in values])
 
 
-def read_registry(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """Current registry; with ``before``, as it was before that batch."""
-    return _newest_per_key(_committed(spark, root, "registry", before), "registry")
+def read_registry(
+    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None
+) -> DataFrame:
+    """Current registry; with ``before``, as it was before that batch.
+
+    With ``keys`` (one column ``mint``) only those rows: the keys are matched before the newest rows are worked out, so a
+    small batch does not aggregate a large registry.
+    """
+    rows = _committed(spark, root, "registry", before)
+    if keys is not None:
+        rows = rows.join(keys, "mint", "left_semi")
+    return _newest_per_key(rows, "registry")
 
 
 def read_rule_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
@@ -79,16 +90,22 @@ def commit_state(spark: SparkSession, root: str, outputs: Mapping[str, DataFrame
         marker.write.mode("append").parquet(_path(root, "commits"))
 
 
-def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Write the current state as batch 0 of a fresh root and carry the snapshots over."""
+def compact(spark: SparkSession, root: str, target: str, as_of=None, hours: float = RETENTION_HOURS) -> None:
+    """Write the current state as batch 0 of a fresh root and carry the snapshots over.
+
+    With ``as_of`` snapshots beyond the retention period are left behind.
+    """
     init_tables(spark, target)
+    snapshots = read_snapshots(spark, root)
+    if as_of is not None:
+        snapshots = expire_snapshots(snapshots, as_of, hours)
     commit_state(
         spark,
         target,
         {
             "registry": read_registry(spark, root),
             "rule_state": read_rule_state(spark, root),
-            "snapshots": read_snapshots(spark, root),
+            "snapshots": snapshots,
         },
         0,
     )

@@ -35,7 +35,9 @@ def process_batch(
     cfg: RuleConfig = RuleConfig(),
 ) -> None:
     """Ingest one batch of polls; with ``as_of`` also run one lifecycle cycle over the result."""
-    registry = tables.read_registry(spark, root, before=batch)
+    # Ingest alone needs the polled keys only; a cycle looks at every active key.
+    polled = polls.select(F.col("id").alias("mint")).distinct() if as_of is None else None
+    registry = tables.read_registry(spark, root, before=batch, keys=polled)
     snapshots = tables.read_snapshots(spark, root, before=batch)
     ingested = ingest_batch(polls, registry, snapshots)
     outputs = {"snapshots": ingested.snapshots}
