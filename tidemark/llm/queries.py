@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, simhash, token_files
+from tidemark.llm import byte_bpe, simhash, substrings, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_simhash": (op4_simhash, None),
+    "op5_substrings": (op5_substrings, None),
     "op6_token_files": (op6_token_files, None),
 }
