@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, simhash, substrings, token_files
+from tidemark.llm import byte_bpe, quality_rules, simhash, substrings, token_files, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = weak_labels.label_model(docs)
+    return weak_labels.score(docs, model, weak_labels.train(docs, model))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -28,9 +34,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.score(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op2_weak_labels": (op2_weak_labels, None),
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_simhash": (op4_simhash, None),
     "op5_substrings": (op5_substrings, None),
     "op6_token_files": (op6_token_files, None),
+    "op10_quality_rules": (op10_quality_rules, None),
 }
