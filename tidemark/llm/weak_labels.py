@@ -33,16 +33,18 @@ def _between(x: float, low: float, high: float) -> bool:
 
 #: -1: low quality, 1: good, 0: no opinion. Each looks at its own figures, and several overlap.
 VOTERS = (
-    lambda f: -1 if f["symbol_share"] > 0.12 else int(f["symbol_share"] < 0.03),
-    lambda f: -1 if f["bang_share"] > 0.3 else 0,
-    lambda f: -1 if f["upper_share"] > 0.5 else int(f["upper_share"] < 0.2),
-    lambda f: -1 if f["bar_share"] > 0.2 else 0,
-    lambda f: -1 if f["repeat_share"] > 0.5 else int(f["repeat_share"] < 0.2),
-    lambda f: -1 if f["dup_line_share"] > 0.3 else 0,
-    lambda f: -1 if f["longest_run_share"] > 0.15 and f["log_words"] > 2.5 else 0,
-    lambda f: -1 if f["distinct_share"] < 0.25 and f["log_words"] > 4 else int(_between(f["distinct_share"], 0.4, 1.0) and f["log_words"] > 3),
-    lambda f: -1 if f["log_words"] < 1.1 else int(f["log_words"] > 4),
-    lambda f: int(_between(f["stop_share"], 0.01, 0.3) and f["line_words"] >= 5 and f["symbol_share"] < 0.12),
+    lambda f: -(f["symbol_share"] > 0.12),
+    lambda f: -(f["bang_share"] > 0.3),
+    lambda f: -(f["upper_share"] > 0.5),
+    lambda f: -(f["bar_share"] > 0.2),
+    lambda f: -(f["repeat_share"] > 0.5 and f["log_words"] > 3.5),
+    lambda f: -(f["dup_line_share"] > 0.4 and f["log_words"] > 3.5),
+    lambda f: -(f["longest_run_share"] > 0.12 and f["log_words"] > 2.5),
+    lambda f: -(f["distinct_share"] < 0.25 and f["log_words"] > 4),
+    lambda f: -(f["log_words"] == 0),
+    lambda f: +(f["symbol_share"] < 0.02 and f["upper_share"] < 0.3 and f["bang_share"] < 0.1),
+    lambda f: +((f["distinct_share"] > 0.35 or f["log_words"] < 4) and (f["longest_run_share"] < 0.1 or f["log_words"] < 2.5) and f["repeat_share"] < 0.4 and f["bar_share"] < 0.1),
+    lambda f: +(_between(f["stop_share"], 0.01, 0.6) and f["bar_share"] < 0.1 and f["symbol_share"] < 0.1),
 )
 
 
@@ -63,7 +65,7 @@ def unfolded(patterns: np.ndarray, voters: int = len(VOTERS)) -> np.ndarray:
 @dataclass
 class LabelModel:
     prior: float
-    chances: np.ndarray  # (class, voter, vote)
+    chances: np.ndarray  # (class, voter, vote); having no opinion is a vote too
 
     def posterior(self, cast: np.ndarray) -> np.ndarray:
         """Probability of good quality for rows of votes."""
@@ -74,8 +76,8 @@ class LabelModel:
 
 
 def estimate(cast: np.ndarray, counts: np.ndarray, steps: int = 100, smooth: float = 1.0) -> LabelModel:
-    """Expectation-maximisation over vote patterns; the first guess is the sign of the votes' sum."""
-    good = np.clip(0.5 + 0.4 * np.sign((cast - 1).sum(axis=1)), 0.05, 0.95)
+    """Expectation-maximisation over vote patterns; the first guess is that any low vote is right."""
+    good = np.where((cast == 0).any(axis=1), 0.1, 0.9)
     model = LabelModel(0.5, np.ones((2, cast.shape[1], 3)) / 3)
     for _ in range(steps):
         weights = np.stack([(1 - good) * counts, good * counts])
@@ -98,7 +100,7 @@ def _shape(word: bytes) -> bytes:
 
 
 class Hasher:
-    """Normalised counts of hashed words and word shapes, kept per distinct word up to a bound."""
+    """Normalised counts of hashed words and word shapes, kept per distinct word up to a bound, and hashed steps of the figures."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions, self.known = dimensions, {}
@@ -115,9 +117,11 @@ class Hasher:
         known = self.known
         return np.array([known.get(w) or self._columns(w) for w in words], np.int64).reshape(-1)
 
-    def sparse(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    def sparse(self, text: bytes | None, features: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
         at, n = np.unique(self.columns(text), return_counts=True)
-        return at, n / max(1.0, np.sqrt((n**2).sum()))
+        steps = [xxh32_intdigest(f"{name} {min(int(10 * x), 60)}") % self.dimensions for name, x in zip(FEATURES, features)]
+        scaled = n / max(1.0, np.sqrt((n**2).sum()))
+        return np.concatenate([at, np.array(steps, np.int64)]), np.concatenate([scaled, np.full(len(steps), 0.5)])
 
 
 @dataclass
@@ -132,7 +136,7 @@ class Linear:
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, dimensions: int = DIMENSIONS, epochs: int = 8, rate: float = 0.8, decay: float = 1e-5, seed: int = 7) -> Linear:
     """Logistic regression on soft labels by adaptive gradient steps; classes weigh alike."""
     weights, squares, bias = np.zeros(dimensions), np.full(dimensions, 1e-2), 0.0
-    share = float(np.clip(targets.mean(), 0.02, 0.98)) if len(targets) else 0.5
+    share = float(np.clip(targets.mean(), 0.02, 0.8)) if len(targets) else 0.5
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
@@ -166,8 +170,9 @@ def train(docs: DataFrame, model: LabelModel, rows: int = SAMPLE_ROWS) -> Linear
     def run(batches: Rows) -> Rows:
         hasher = Hasher()
         for ids, texts in id_text(batches):
-            found = [hasher.sparse(t) for t in texts]
-            good = model.posterior(unfolded(np.array([votes(measure(t)[1]) for t in texts], np.int64)))
+            figures = [measure(t)[1] for t in texts]
+            found = [hasher.sparse(t, f) for t, f in zip(texts, figures)]
+            good = model.posterior(unfolded(np.array([votes(f) for f in figures], np.int64)))
             yield record(
                 {
                     "doc_id": (ids, pa.int64()),
@@ -191,8 +196,9 @@ def score(docs: DataFrame, model: LabelModel, scorer: Linear, keep_from: float =
     def run(batches: Rows) -> Rows:
         hasher = Hasher()
         for ids, texts in id_text(batches):
-            good = model.posterior(unfolded(np.array([votes(measure(t)[1]) for t in texts], np.int64)))
-            found = np.array([scorer.score(*hasher.sparse(t)) for t in texts])
+            figures = [measure(t)[1] for t in texts]
+            good = model.posterior(unfolded(np.array([votes(f) for f in figures], np.int64)))
+            found = np.array([scorer.score(*hasher.sparse(t, f)) for t, f in zip(texts, figures)])
             yield record(
                 {
                     "doc_id": (ids, pa.int64()),
