@@ -34,7 +34,7 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20),
 }
 #: Remembered words in one worker, and the longest of them.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 900_000
 MEMO_LENGTH = 48
 # Words of these characters are already in normal form; their lower case is one character each.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -45,7 +45,7 @@ class WordCodec:
     """Ids as little-endian 32-bit integers, word by word.
 
     The pre-tokenizer never joins across white space, so the ids of a text are those of its words in turn; words are
-    encoded by the tokenizers library once and remembered, up to a bound.
+    encoded by the tokenizers library once and remembered, up to a bound. A to Z are lowered first, as its normaliser does.
     """
 
     def __init__(self, path: str):
@@ -54,6 +54,22 @@ class WordCodec:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _pieces(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, many to a call: the last id of each ends a word."""
+        lines = [" ".join(parts[k : k + 256]) for k in range(0, len(parts), 256)]
+        if not lines:
+            return []
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in found])
+        cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(cuts) != len(parts):
+            return self._library(parts)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -65,7 +81,7 @@ class WordCodec:
         for word in words:
             text = word.decode()
             if _PLAIN.fullmatch(text):
-                split[word] = _PIECE.findall(text.lower())
+                split[word] = (text,) if text.isalpha() and text.islower() else _PIECE.findall(text.lower())
             else:
                 whole.append(word)
         new = {p for parts in split.values() for p in parts}.difference(self.parts)
@@ -73,7 +89,7 @@ class WordCodec:
             self.parts = {}
             new = {p for parts in split.values() for p in parts}
         fresh = sorted(new)
-        self.parts.update(zip(fresh, self._library(fresh)))
+        self.parts.update(zip(fresh, self._pieces(fresh)))
         get = self.parts.__getitem__
         learnt = {word: b"".join(map(get, parts)) for word, parts in split.items()}
         learnt.update(zip(whole, self._library([w.decode() for w in whole])))
@@ -82,7 +98,7 @@ class WordCodec:
         return learnt
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        lists = [(t or b"").split() for t in texts]
+        lists = [(t or b"").lower().split() for t in texts]
         unknown = set().union(*lists).difference(self.words)
         extra = self._learn(unknown) if unknown else {}
         if len(self.words) + len(extra) > MEMO_WORDS:
