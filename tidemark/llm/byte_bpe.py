@@ -11,6 +11,7 @@ import functools
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -80,27 +81,31 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str = public_tok
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids and decoded bytes reduced to digests where they are made."""
+def round_trip(
+    docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ``ids`` if asked for: digests are taken where the ids are made."""
     path = path or default_ranks()
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Rows) -> Rows:
         coder = codec(path, pattern)
         names = [str(i) for i in range(coder.n_vocab)]
         for ids, texts in id_text(batches):
-            counts, coded, decoded = [], [], []
+            counts, coded, decoded, held = [], [], [], []
             for text in texts:
                 tokens = encode_text(coder, (text or b"").decode())
                 counts.append(len(tokens))
                 coded.append(hashlib.sha256(",".join(map(names.__getitem__, tokens)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode_bytes(tokens)).hexdigest())
-            yield record(
-                {
-                    "doc_id": (ids, pa.int64()),
-                    "n_tokens": (counts, pa.int64()),
-                    "ids_sha256": (coded, pa.string()),
-                    "decoded_sha256": (decoded, pa.string()),
-                }
-            )
-
-    return map_text(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+                if with_ids:
+                    held.append(np.array(tokens, np.int32))
+            columns = {
+                "doc_id": (ids, pa.int64()),
+                "n_tokens": (counts, pa.int64()),
+                "ids_sha256": (coded, pa.string()),
+                "decoded_sha256": (decoded, pa.string()),
+            }
+            yield record(columns | ({"ids": (held, pa.list_(pa.int32()))} if with_ids else {}))
+
+    return map_text(docs, run, schema, id_col, text_col)
