@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, decontamination, language, quality_rules, simhash, substrings, token_files, weak_labels
+from tidemark.llm import byte_bpe, decontamination, language, pitman_yor, quality_rules, simhash, substrings, token_files, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score(docs, *pitman_yor.train(docs))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.max("consistency").alias("consistency"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_simhash": (op4_simhash, None),
     "op5_substrings": (op5_substrings, None),
     "op6_token_files": (op6_token_files, None),
+    "op7_pitman_yor": (op7_pitman_yor, None),
     "op8_decontamination": (op8_decontamination, None),
     "op9_language": (op9_language, None),
     "op10_quality_rules": (op10_quality_rules, None),
