@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, decontamination, language, pitman_yor, quality_rules, simhash, substrings, token_files, weak_labels
+from tidemark.llm import byte_bpe, decontamination, html_labeller, language, pitman_yor, quality_rules, simhash, substrings, token_files, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_labeller.extract(pages, html_labeller.train(html_labeller.sample(pages)))
+
+
 def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = weak_labels.label_model(docs)
@@ -55,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_labeller": (op1_html_labeller, None),
     "op2_weak_labels": (op2_weak_labels, None),
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_simhash": (op4_simhash, None),
