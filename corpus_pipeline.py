@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import byte_bpe, decontamination, language, simhash, substrings
 from tidemark.llm.common import shared_dir
 
-#: Texts whose best language is less certain than this are rejected, and texts without letters.
-LEAST_CERTAINTY = 0.4
+#: Texts whose best language is less certain than this are rejected; texts without letters always are. A short clean text
+#: may be of any language, so none is asked for here.
+LEAST_CERTAINTY = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def estimate(cast: np.ndarray, counts: np.ndarray, steps: int = 100, smooth: flo
         chances = np.stack([[np.bincount(cast[:, k], w, 3) + smooth for k in range(cast.shape[1])] for w in weights])
         model = LabelModel(float((weights[1].sum() + smooth) / (counts.sum() + 2 * smooth)), chances / chances.sum(axis=2, keepdims=True))
         now = model.posterior(cast)
-        if np.abs(now - good).max() < 1e-9:
+        if np.abs(now - good).max(initial=0.0) < 1e-9:
             break
         good = now
     return model
