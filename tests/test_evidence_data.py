@@ -123,7 +123,7 @@ def test_risk_projection(spark):
     flags = {r.report_id: r for r in risk.control_flags(df).collect()}
     f = flags[0]
     # A nested null hides the top-level value; a missing nested key does not.
-    assert (f.mint_authority_present, f.freeze_authority_present, f.metadata_mutable, f.metadata_update_authority_present) == (False, True, True, True)
+    assert (f.mint_authority_present, f.freeze_authority_present, f.metadata_mutable.toPython(), f.metadata_update_authority_present) == (False, True, True, True)
     assert (f.transfer_fee.authority_present, f.transfer_fee.basis_points, f.transfer_fee.max_amount) == (False, "10", None)
     assert flags[1].mint_authority_present is None and flags[1].transfer_fee is None and flags[2].transfer_fee_value == "5"
 
@@ -142,9 +142,19 @@ def test_projection_sizes_and_leaks(spark):
     leaky = projected.withColumn("summary", F.struct(F.lit("see POOLOWNER").alias("text")))
     assert risk.leak_check(df, leaky).where("report_id = 0").first().leaks is True
     long = {(r.metric, r.value) for r in risk.long_form(projected).where("report_id = 0").collect()}
-    assert ("score", 7.0) in long and ("insider", 12.5) in long
+    assert ("score", 7.0) in long and ("insider_pct", 12.5) in long
     assert risk.long_form(projected).where("definition IS NULL").count() == 0
-    assert risk.metric_definitions(spark).count() == 13
+    assert risk.metric_definitions(spark).count() == 8
+
+
+def test_projection_rounds_and_passes_through(spark):
+    df = reports(spark, {"score": "7", "rugged": "yes", "totalHolders": "12", "tokenMeta": {"mutable": "true"}, "topHolders": [{"pct": 1 / 3}, {"pct": 2 / 3}]})
+    projected = risk.project_report(df)
+    body = json.loads(projected.select(F.to_json("summary")).first()[0])
+    assert (body["provider_risk"]["score"], body["provider_risk"]["rugged"]) == ("7", "yes")
+    assert (body["ownership"]["total_holders"], body["token_control"]["metadata_mutable"]) == ("12", "true")
+    assert (body["ownership"]["top1_pct"], body["ownership"]["top5_pct"]) == (0.666667, 1.0)
+    assert {(r.metric, r.value) for r in risk.long_form(projected).collect()} >= {("score", 7.0), ("top10_pct", 1.0)}
 
 
 def test_valid_key(spark):
@@ -202,8 +212,8 @@ def test_retention(spark):
     df = spark.createDataFrame(
         [(1, NOW - timedelta(seconds=600), "x"), (2, NOW - timedelta(seconds=601), "x"), (3, NOW, "x"), (4, NOW, "y" * 60_001)], "seq int, received_at timestamp, body string"
     )
-    assert sorted(r.seq for r in tm.retain_events(df, NOW).collect()) == [1, 3]
-    assert [r.seq for r in tm.retain_events(df, NOW, max_events=1).collect()] == [3]
+    assert sorted(r.seq for r in tm.retain_events(df, NOW, max_bytes=60_000).collect()) == [1, 3]
+    assert [r.seq for r in tm.retain_events(df, NOW, max_events=1, max_bytes=60_000).collect()] == [3]
 
 
 def test_sources_sizes_and_scores(spark):

@@ -43,9 +43,10 @@ def test_truncation_finiteness_and_time(spark):
     assert values(df, co.whole(F.col("v"))) == [4, -4, None, None, None, None]
     assert values(df, co.finite(F.col("v"))) == [4.9, -4.9, None, None, 1e300, None]
     times = spark.createDataFrame(
-        [(0, "2024-01-01T00:00:00Z"), (1, "2024-01-01T02:00:00.000001+02:00"), (2, "2024-01-01T00:00:00"), (3, "x")], "i int, t string"
+        [(0, "2024-01-01T00:00:00Z"), (1, "2024-01-01T02:00:00.000001+02:00"), (2, "2024-01-01T00:00:00"), (3, "x"), (4, "2024-01-01"),
+         (5, "12:30:00"), (6, "T12:30"), (7, "2024"), (8, "2024-01"), (9, None), (10, "2024-13-01")], "i int, t string"
     )
-    assert values(times, F.unix_micros(co.source_time(F.col("t")))) == [1704067200000000, 1704067200000001, 1704067200000000, None]
+    assert values(times, F.unix_micros(co.source_time(F.col("t")))) == [1704067200000000, 1704067200000001, 1704067200000000, None, 1704067200000000] + [None] * 6
 
 
 def test_payload_views(spark):

@@ -146,7 +146,7 @@ def test_diff_and_changes(spark):
 
 
 def test_apply_feed_order_and_absent_fields(spark):
-    state = tokens(spark, {"mint": "a", "name": "n0", "liquidity": 1.0}, {"mint": "b", "name": "keep"})
+    state = tokens(spark, {"mint": "a", "name": "n0", "liquidity": 1.0}, {"mint": "b", "name": "keep"}, {"mint": "d", "tracking_enabled": False, "disabled_reason": "old"})
 
     def event(seq, kind, reason=None, absent=None, **token):
         row = tokens(spark, token).select(F.struct(*schemas.TOKEN_FIELDS).alias("token"))
@@ -158,10 +158,12 @@ def test_apply_feed_order_and_absent_fields(spark):
     events = event(3, "token_retired", None, ["name", "disabled_reason"], mint="a", liquidity=9.0)
     events = events.union(event(2, "token_updated", mint="a", name="n2", liquidity=2.0))
     events = events.union(event(4, "noise", mint="a", name="ignored")).union(event(1, "token_retired", "r", mint="c", disabled_reason="t"))
+    events = events.union(event(5, "token_retired", "", ["disabled_reason"], mint="d"))
     got = {r.mint: r for r in feed.apply_feed(state, events).collect()}
     assert (got["a"].name, got["a"].liquidity, got["a"].tracking_enabled, got["a"].disabled_reason) == ("n2", 9.0, False, None)
     assert got["b"].name == "keep" and got["b"].tracking_enabled
     assert (got["c"].tracking_enabled, got["c"].disabled_reason) == (False, "r")
+    assert (got["d"].tracking_enabled, got["d"].disabled_reason) == (False, None)  # an old reason does not survive
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -76,13 +76,14 @@ def test_stream_equals_batch_and_is_repeatable(spark, landed, tmp_path):
     )
 
     # Repeating the last batch changes nothing.
-    last = tables.last_batch(spark, root)
+    last = tables.head(spark, root).commit
     batch = tables.read_polls(spark, landed + "/c.json")
     before = rows(registry, "mint", "last_polled_at", "last_changed_at")
-    collector.process_batch(spark, root, batch, last)
+    assert collector.process_batch(spark, root, batch, 2, writer=checkpoint) == tables.commit_of(spark, root, checkpoint, 2)
+    assert tables.head(spark, root).commit == last
     assert rows(tables.read_registry(spark, root), "mint", "last_polled_at", "last_changed_at") == before
     assert tables.read_snapshots(spark, root).count() == 4
-    assert spark.read.parquet(root + "/commits").count() == 3
+    assert spark.read.parquet(root + "/commits").where("batch IS NOT NULL AND writer <> 'retention'").count() == 3
 
     some = spark.createDataFrame([("A",), ("D",), ("unknown",)], "mint string")
     assert rows(tables.read_registry(spark, root, keys=some), "mint") == [("A",), ("D",)]
@@ -111,6 +112,102 @@ def test_cycle_retires_and_moves_cursors(spark, landed, tmp_path):
     assert state == [("A", "rule4", 20.0), ("B", "rule4", 10.0), ("B", "rule5", 10.0)]
 
 
+def whole(spark, root):
+    return (
+        rows(tables.read_registry(spark, root), "mint", "last_polled_at", "last_changed_at", "tracking_enabled"),
+        rows(tables.read_snapshots(spark, root), "mint", "observed_at"),
+        rows(tables.read_rule_state(spark, root), "mint", "rule_key", "scanned_through"),
+    )
+
+
+def keys_of(spark, root):
+    return [r[0] for r in rows(tables.read_registry(spark, root), "mint")]
+
+
+@pytest.mark.parametrize("compacted", [None, "in place", "elsewhere"])
+def test_fresh_checkpoint_on_a_filled_root(spark, landed, tmp_path, compacted):
+    """A second stream with a checkpoint of its own numbers its batches from zero again; nothing stored is lost."""
+    root = str(tmp_path / "state")
+    tables.init_tables(spark, root)
+    collector.process_batch(spark, root, tables.read_polls(spark, landed + "/a.json"))
+    if compacted == "in place":
+        tables.compact(spark, root)
+    elif compacted == "elsewhere":
+        tables.compact(spark, root, str(tmp_path / "other"))
+        root = str(tmp_path / "other")
+    assert keys_of(spark, root) == ["A", "B"]
+    late = str(tmp_path / "late")
+    os.mkdir(late)
+    land(late, "d.json", [response(9, 40, token("E", 39))], time.time())
+    for checkpoint in ("first", "second"):
+        query = collector.run_collector(spark, late, root, str(tmp_path / checkpoint), cycle_s=None, available_now=True)
+        assert query.awaitTermination(120) and query.exception() is None
+        assert keys_of(spark, root) == ["A", "B", "E"]
+        assert rows(tables.read_snapshots(spark, root), "mint", micros("observed_at")) == [("A", 10.0), ("B", 10.0), ("E", 40.0)]
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_replay_after_commit_changes_nothing(spark, landed, tmp_path, cycle):
+    root = str(tmp_path / "state")
+    tables.init_tables(spark, root)
+    cfg = RuleConfig(observation_s=1, collapse_grace_s=0)
+    first, second = (tables.read_polls(spark, f"{landed}/{n}.json") for n in "ab")
+    collector.process_batch(spark, root, first, 0, writer="w")
+    at = T0 + timedelta(seconds=21)
+    done = collector.process_batch(spark, root, second, 1, at if cycle else None, cfg, "w")
+    before, files = whole(spark, root), sorted(p for d, _, names in os.walk(root) for p in (os.path.join(d, n) for n in names))
+    # The other way round: a batch that ran without a cycle is offered again with one.
+    assert collector.process_batch(spark, root, second, 1, None if cycle else at, cfg, "w") == done
+    assert whole(spark, root) == before
+    assert sorted(p for d, _, names in os.walk(root) for p in (os.path.join(d, n) for n in names)) == files
+    assert (tables.head(spark, root).cycle_at is not None) == cycle
+
+
+def test_failed_attempt_is_overwritten(spark, landed, tmp_path):
+    root = str(tmp_path / "state")
+    tables.init_tables(spark, root)
+    polls = tables.read_polls(spark, landed + "/a.json")
+    number = tables.head(spark, root).commit + 1
+    tables.write_snapshots(spark, root, tables.read_snapshots(spark, root).unionByName(
+        spark.createDataFrame([("lost", T0)], "mint string, observed_at timestamp").withColumn("payload", F.parse_json(F.lit("{}")))), number)
+    assert tables.read_snapshots(spark, root).count() == 0
+    assert collector.process_batch(spark, root, polls) == number
+    assert rows(tables.read_snapshots(spark, root), "mint") == [("A",), ("B",)]
+    with pytest.raises(ValueError, match="in the log"):
+        tables.write_snapshots(spark, root, tables.read_snapshots(spark, root), number)
+
+
+def test_state_is_folded_in_place(spark, landed, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FOLD_EVERY", 2)
+    root = str(tmp_path / "state")
+    tables.init_tables(spark, root)
+    for name in "abc":
+        collector.process_batch(spark, root, tables.read_polls(spark, f"{landed}/{name}.json"))
+    assert tables.head(spark, root).base > 0
+    assert keys_of(spark, root) == ["A", "B", "D"]
+    assert collector.admit_candidates(spark, root, spark.createDataFrame([("A",), ("new",), ("new",), (None,)], "mint string")) == 3
+    assert keys_of(spark, root) == ["A", "B", "D", "new"]
+
+
+def test_retention_while_the_stream_runs(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "state")
+    os.mkdir(source)
+    base = time.time() - 1000
+    for k, at in enumerate((0, 1800, 3600 * 3, 3600 * 5 + 1800)):
+        land(source, f"{k}.json", [response(k, at, token("A", at), token(f"K{k}", at))], base + 10 * k)
+    query = collector.run_collector(
+        spark, source, root, str(tmp_path / "cp"), cycle_s=None, max_files=1, available_now=True, retention_hours=4
+    )
+    assert query.awaitTermination(120) and query.exception() is None
+    # 5.5 h minus 4 h: the first two polls are gone, and so is the hour that held them.
+    kept = rows(tables.read_snapshots(spark, root), "mint", micros("observed_at"))
+    assert kept == [("A", 10800.0), ("A", 19800.0), ("K2", 10800.0), ("K3", 19800.0)]
+    assert "hour=2024050100" not in os.listdir(root + "/snapshots")
+    assert keys_of(spark, root) == ["A", "K0", "K1", "K2", "K3"]
+    plan = tables.read_snapshots(spark, root, T0 + timedelta(hours=5), T0 + timedelta(hours=6))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "hour" in plan.split("PartitionFilters")[1][:200]
+
+
 def population(spark, values):
     fields = {f: F.lit(None) for f in schemas.TOKEN_FIELDS}
     types = {

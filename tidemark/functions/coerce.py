@@ -101,9 +101,16 @@ def not_blank(text: Column) -> Column:
     return F.coalesce(F.trim(text) != "", F.lit(False))
 
 
+# A full date, alone or with a time of day and an offset.
+ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
+
+
 def source_time(text: Column) -> Column:
-    """ISO text to an instant; text without an offset is UTC."""
-    return text.try_cast("timestamp")
+    """ISO text to an instant; text without an offset is UTC.
+
+    A full date is asked for: a time alone would become that time of the day the query runs on, a year alone its first day.
+    """
+    return F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp"))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -181,14 +181,12 @@ def threshold_scan(
     )
 
 
-def advance_cursor(cursors: DataFrame, clean: DataFrame, registry: DataFrame) -> DataFrame:
-    """Cursors after moving the cleanly scanned keys forward; never backward, and only for active keys.
+def advance_cursor(cursors: DataFrame, clean: DataFrame) -> DataFrame:
+    """Cursors after moving the cleanly scanned keys forward; never backward.
 
-    ``clean`` has ``mint, rule_key, scanned_through``, one row per key and rule.
+    ``clean`` has ``mint, rule_key, scanned_through``, one row per active key and rule.
     """
-    moved = clean.join(registry.where("tracking_enabled").select("mint"), "mint", "left_semi").select(
-        "mint", "rule_key", F.col("scanned_through").alias("_moved")
-    )
+    moved = clean.select("mint", "rule_key", F.col("scanned_through").alias("_moved"))
     return cursors.join(moved, ["mint", "rule_key"], "full_outer").select(
         "mint", "rule_key", F.greatest("scanned_through", "_moved").alias("scanned_through")
     )

@@ -81,8 +81,8 @@ def apply_feed(state: DataFrame, events: DataFrame) -> DataFrame:
         if field == "tracking_enabled":
             value, sets = F.when(retired, F.lit(False)).otherwise(value), F.lit(True)
         elif field == "disabled_reason":
-            # The reason of the event comes first; an empty or missing one falls back to the token's own.
-            value, sets = F.when(given_reason, F.col("reason")).otherwise(value), sets | given_reason
+            # The reason of the event comes first, then the token's own; a retirement always replaces an earlier one.
+            value, sets = F.when(given_reason, F.col("reason")).otherwise(value), F.lit(True)
         at = F.when(sets, F.col("seq"))
         folds += [F.max_by(value, at).alias(field), F.max(at).alias(f"_set_{field}")]
     newest = known.groupBy("mint").agg(*folds)

@@ -6,6 +6,8 @@ key, never with the polls themselves.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import schemas
@@ -50,16 +52,17 @@ def admit(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return registry.unionByName(blank_rows(new_keys(candidates, registry)), allowMissingColumns=True)
 
 
-def discovery_tick(candidates: DataFrame, registry: DataFrame) -> DataFrame:
+def discovery_tick(candidates: DataFrame, registry: DataFrame, sources: Sequence[str] | None = None) -> DataFrame:
     """Per source: occurrences, distinct keys, and keys it was first to bring in.
 
-    ``candidates`` has ``source, source_order, mint``. Within one batch a new key belongs to its earliest source.
+    ``candidates`` has ``source, source_order, mint``. Within one batch a new key belongs to its earliest source. With
+    ``sources``, those that were asked, each of them has a row, also one that brought nothing.
     """
     per_source = candidates.groupBy("mint", "source", "source_order").agg(F.count("*").alias("n"))
     earliest = per_source.groupBy("mint").agg(F.min("source_order").alias("first_order"))
     owners = new_keys(candidates, registry).join(earliest, "mint")
     owned = owners.select("mint", F.col("first_order").alias("source_order"), F.lit(1).alias("is_new"))
-    return (
+    ticks = (
         per_source.join(owned, ["mint", "source_order"], "left")
         .groupBy("source")
         .agg(
@@ -68,6 +71,11 @@ def discovery_tick(candidates: DataFrame, registry: DataFrame) -> DataFrame:
             F.coalesce(F.sum("is_new"), F.lit(0)).cast("bigint").alias("new_keys"),
         )
     )
+    if sources is None:
+        return ticks
+    counts = [c for c in ticks.columns if c != "source"]
+    empty = candidates.sparkSession.createDataFrame([(s, 0, 0, 0) for s in sources], ["source", *counts])
+    return ticks.unionByName(empty).groupBy("source").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def collapse_versions(polls: DataFrame) -> DataFrame:
@@ -102,18 +110,18 @@ def newer_versions(versions: DataFrame, registry: DataFrame) -> DataFrame:
     return tag_versions(versions, registry).where("is_newer").drop("is_newer")
 
 
-def append_snapshots(newer: DataFrame, snapshots: DataFrame) -> DataFrame:
+def append_snapshots(newer: DataFrame, snapshots: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     """Rows to add to the history: first version per ``(mint, observed_at)``, unless that instant is stored already.
 
-    Only the stored instants inside the batch's own time range are compared, so old history is pruned by the scan.
+    Only the stored instants inside the batch's own time range are compared, so old history is pruned by the scan. The
+    range is that of ``polls`` if given: it is read off without working the versions out a second time.
     """
     offered = newer.groupBy("mint", "observed_at").agg(
         F.min_by("payload", F.struct("source_time", "arrival_seq")).alias("payload")
     )
-    bounds = newer.agg(F.min("observed_at").alias("lo"), F.max("observed_at").alias("hi"))
-    stored = snapshots.select("mint", "observed_at").where(
-        F.col("observed_at").between(bounds.select("lo").scalar(), bounds.select("hi").scalar())
-    )
+    range_of = newer if polls is None else polls
+    bounds = range_of.agg(F.struct(F.min("observed_at").alias("lo"), F.max("observed_at").alias("hi"))).scalar()
+    stored = snapshots.select("mint", "observed_at").where(F.col("observed_at").between(bounds["lo"], bounds["hi"]))
     return offered.join(stored, ["mint", "observed_at"], "left_anti")
 
 

@@ -82,13 +82,35 @@ def rule_candidates(evidence: DataFrame, rule: str, cfg: RuleConfig = DEFAULT) -
     )
 
 
-def first_match(evidence: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """At most one row per key: the first rule in contract order that applies, with its reason."""
+def outcome(evidence: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+    """One row per active key: the first rule in contract order that applies, with its reason (NULL: the key stays), and
+    the scans that ended without a crossing and that no earlier rule made idle."""
     hits = [
         F.when(rule(cfg).isNotNull(), F.struct(F.lit(name).alias("rule"), rule(cfg).alias("reason")))
         for name, rule in RULE_COLUMNS.items()
     ]
-    return evidence.select("mint", F.coalesce(*hits).alias("hit")).where("hit IS NOT NULL").select("mint", "hit.*")
+    scans = F.array(
+        *[
+            F.when(
+                ev.scan_eligible(rule, cfg) & F.col(f"{rule}_crossing").isNull(),
+                F.struct(F.lit(rule).alias("rule_key"), F.col(f"{rule}_scanned").alias("scanned_through")),
+            )
+            for rule in ev.SCANS
+        ]
+    )
+    found = evidence.select("mint", F.coalesce(*hits).alias("hit"), F.array_compact(scans).alias("scans"))
+    # Rule names sort in contract order.
+    open_scans = F.filter("scans", lambda s: F.col("hit").isNull() | (F.col("hit.rule") > s["rule_key"]))
+    return found.select("mint", "hit.rule", "hit.reason", open_scans.alias("clean"))
+
+
+def candidates(outcome: DataFrame) -> DataFrame:
+    return outcome.where("rule IS NOT NULL").select("mint", "rule", "reason")
+
+
+def first_match(evidence: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+    """At most one row per key: the first rule in contract order that applies, with its reason."""
+    return candidates(outcome(evidence, cfg))
 
 
 def apply_retirement(registry: DataFrame, candidates: DataFrame, as_of) -> DataFrame:
@@ -110,47 +132,29 @@ def retired_keys(registry: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(registry.where("tracking_enabled").select("mint"), "mint", "left_semi")
 
 
-def clean_scans(evidence: DataFrame, candidates: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
+def clean_scans(outcome: DataFrame) -> DataFrame:
     """Scans without a crossing whose key no earlier rule of the same cycle retired."""
-    scans = F.array(
-        *[
-            F.struct(
-                F.lit(rule).alias("rule_key"),
-                F.col(f"{rule}_scanned").alias("scanned_through"),
-                (ev.scan_eligible(rule, cfg) & F.col(f"{rule}_crossing").isNull()).alias("clean"),
-            )
-            for rule in ev.SCANS
-        ]
-    )
-    hit = candidates.select("mint", F.col("rule").alias("_rule"))
-    return (
-        evidence.select("mint", F.explode(scans).alias("scan"))
-        .where("scan.clean")
-        .join(hit, "mint", "left")
-        # Rule names sort in contract order.
-        .where(F.col("_rule").isNull() | (F.col("_rule") > F.col("scan.rule_key")))
-        .select("mint", "scan.rule_key", "scan.scanned_through")
-    )
+    return outcome.select("mint", F.explode("clean").alias("scan")).select("mint", "scan.rule_key", "scan.scanned_through")
 
 
 def rule_dimension(spark) -> DataFrame:
     return spark.range(1, len(RULES) + 1).select(F.concat(F.lit("rule"), F.col("id").cast("string")).alias("rule"))
 
 
-def cycle_summary(candidates: DataFrame, registry_after: DataFrame) -> DataFrame:
-    """One row per rule, zeros included, with the total and the keys still active after the change."""
-    counts = candidates.groupBy("rule").agg(F.count("*").alias("n"))
-    total = candidates.agg(F.count("*").alias("n")).scalar()
-    active = registry_after.where("tracking_enabled").agg(F.count("*").alias("n")).scalar()
-    return (
-        rule_dimension(candidates.sparkSession)
-        .join(counts, "rule", "left")
-        .select(
-            "rule",
-            F.coalesce("n", F.lit(0)).alias("affected"),
-            total.alias("total"),
-            active.alias("active_remaining"),
-        )
+def cycle_summary(outcome: DataFrame, applied: bool = True) -> DataFrame:
+    """One row per rule, zeros included, with the total and the keys that are active afterwards; one pass over the outcome."""
+    staying = F.coalesce("rule", F.lit(""))
+    counts = outcome.groupBy(staying.alias("rule")).agg(F.count("*").alias("n"))
+    figures = counts.agg(F.map_from_entries(F.collect_list(F.struct("rule", "n"))).alias("by_rule"))
+    each = F.explode(F.array(*[F.lit(rule) for rule in RULES])).alias("rule")
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate(F.map_values("by_rule"), zero, lambda a, b: a + b)
+    stays = F.coalesce(F.col("by_rule")[""], zero)
+    return figures.select("by_rule", each).select(
+        "rule",
+        F.coalesce(F.col("by_rule")[F.col("rule")], zero).alias("affected"),
+        (total - stays).alias("total"),
+        (stays if applied else total).alias("active_remaining"),
     )
 
 

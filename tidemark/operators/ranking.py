@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import RANK_DEFAULT_LIMIT, RANK_MAX_LIMIT, SEARCH_LIMIT
-from tidemark.functions.coerce import finite
+from tidemark.functions.coerce import finite, strip
 
 # Fields a ranking may sort by, and the sort orders.
 RANK_FIELDS = (
@@ -153,7 +153,7 @@ def batch_search(tokens: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMI
     """
     needle = F.lower("_raw")
     asked = (
-        queries.select("query_id", F.trim("text").alias("_raw"))
+        queries.select("query_id", strip(F.col("text")).alias("_raw"))
         .where("_raw <> ''")
         .select("query_id", "_raw", needle.alias("_needle"))
         .withColumn("_gram", F.substring("_needle", 1, GRAM))
@@ -179,3 +179,30 @@ def batch_search(tokens: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMI
         .where(F.col("rank") <= limit)
         .select("query_id", "rank", "mint", "symbol", "name", "market_cap")
     )
+
+
+def rank_result(
+    tokens: DataFrame,
+    sort_by: str = "market_cap",
+    sort_order: str = "desc",
+    limit: int = RANK_DEFAULT_LIMIT,
+    launchpad: str | None = None,
+) -> DataFrame:
+    """One row for one ranking, also when nothing matches: the checked arguments, matched and returned counts, and the rows
+    in rank order. A launchpad that no active key has is an error, as any other bad argument."""
+    args = validate_rank_args({"sort_by": sort_by, "sort_order": sort_order, "limit": limit, "launchpad": launchpad})
+    if args["launchpad"] is not None:
+        offered = capabilities(tokens).where(F.lower("value") == args["launchpad"].lower()).limit(1).collect()
+        validate_rank_args(args, [r.value for r in offered])
+    top = rank_tokens(tokens, **args)
+    # At most ``RANK_MAX_LIMIT`` rows.
+    listed = F.array_sort(F.collect_list(F.struct("rank", *RANK_OUTPUT)))
+    found = top.agg(F.max("matched_count").alias("matched"), F.count("*").alias("returned_count"), listed.alias("tokens"))
+    return found.select(
+        F.lit(args["sort_by"]).alias("sort_by"),
+        F.lit(args["sort_order"]).alias("sort_order"),
+        F.lit(args["launchpad"]).cast("string").alias("launchpad"),
+        F.coalesce("matched", F.lit(0).cast("bigint")).alias("matched_count"),
+        "returned_count",
+        "tokens",
+    )

@@ -65,20 +65,53 @@ def validation_counts(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count_if(F.col("valid")).alias("received"), F.count_if(~F.col("valid")).alias("invalid"))
 
 
+def _bounds(events: DataFrame, now, retention_s: float, max_bytes: int | None) -> tuple[Column, Column]:
+    young = F.col("received_at") >= instant(now) - seconds(retention_s)
+    fits = F.lit(True)
+    if max_bytes is not None and "body" in events.columns:
+        fits = F.coalesce(F.octet_length("body") <= max_bytes, F.lit(False))
+    return F.coalesce(young, F.lit(False)), fits
+
+
 def retain_events(
     events: DataFrame,
     now,
     retention_s: float = TELEMETRY_RETENTION_S,
-    max_events: int = TELEMETRY_MAX_EVENTS,
-    max_bytes: int = TELEMETRY_MAX_BYTES,
+    max_events: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Newest events by receipt, inside the retention period (inclusive), without oversized ones."""
-    kept = events.where(F.col("received_at") >= instant(now) - seconds(retention_s))
-    if "body" in events.columns:
-        kept = kept.where(F.octet_length("body") <= max_bytes)
+    """Events inside the retention period (inclusive).
+
+    The contract's bounds (``TELEMETRY_MAX_EVENTS`` newest by receipt, ``TELEMETRY_MAX_BYTES`` of one body) drop rows and
+    hold only where they are asked for; ``retention_counts`` says how many rows each of them costs.
+    """
+    young, fits = _bounds(events, now, retention_s, max_bytes)
+    kept = events.where(young & fits)
+    if max_events is None:
+        return kept
     return kept.orderBy(F.col("received_at").desc(), F.col("seq").desc()).limit(max_events)
 
 
+def retention_counts(
+    events: DataFrame,
+    now,
+    retention_s: float = TELEMETRY_RETENTION_S,
+    max_events: int | None = TELEMETRY_MAX_EVENTS,
+    max_bytes: int | None = TELEMETRY_MAX_BYTES,
+) -> DataFrame:
+    """One row: events, those each bound of ``retain_events`` removes in turn, and those that stay."""
+    young, fits = _bounds(events, now, retention_s, max_bytes)
+    inside = F.count_if(young & fits)
+    beyond = F.lit(0).cast("bigint") if max_events is None else F.greatest(inside - max_events, F.lit(0).cast("bigint"))
+    return events.agg(
+        F.count("*").alias("events"),
+        F.count_if(~young).alias("expired"),
+        F.count_if(young & ~fits).alias("oversized"),
+        beyond.alias("beyond_limit"),
+        (inside - beyond).alias("kept"),
+    )
+
+
 def origin() -> Column:
     """Source or lane of an event; one shared origin for the types that have neither."""
     return (

@@ -13,6 +13,7 @@ from tidemark.operators import evidence as ev, ingest, lifecycle as lc
 @dataclass(frozen=True)
 class Cycle:
     evidence: DataFrame
+    outcome: DataFrame
     candidates: DataFrame
     registry: DataFrame
     cursors: DataFrame
@@ -29,13 +30,14 @@ def lifecycle_cycle(
 ) -> Cycle:
     """One evaluation of all rules at one instant. Without ``apply`` registry and cursors stay as they are."""
     evidence = ev.evidence(registry, measures, as_of, cfg, cursors)
-    candidates = lc.first_match(evidence, cfg)
+    outcome = lc.outcome(evidence, cfg)
+    candidates = lc.candidates(outcome)
     after, moved = registry, cursors
     if apply:
         after = lc.apply_retirement(registry, candidates, as_of)
-        # Keys retired by a later rule of this cycle were still active when the scan moved on.
-        moved = ev.advance_cursor(cursors, lc.clean_scans(evidence, candidates, cfg), registry)
-    return Cycle(evidence, candidates, after, moved, lc.cycle_summary(candidates, after))
+        # The outcome has active keys only; those retired by a later rule of this cycle were still active at the scan.
+        moved = ev.advance_cursor(cursors, lc.clean_scans(outcome))
+    return Cycle(evidence, outcome, candidates, after, moved, lc.cycle_summary(outcome, apply))
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,6 @@ def ingest_batch(polls: DataFrame, registry: DataFrame, snapshots: DataFrame) ->
     newer = versions.where("is_newer")
     folded = ingest.fold_versions(versions)
     updated = ingest.changed_registry_rows(registry, folded)
-    added = ingest.append_snapshots(newer, snapshots)
+    added = ingest.append_snapshots(newer, snapshots, polls)
     summary = ingest.store_summary(ingest.enriched_keys(registry, folded), newer, added)
     return Batch(updated, added, summary)

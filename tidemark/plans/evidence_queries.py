@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.config import TELEMETRY_MAX_EVENTS
 from tidemark.operators import prep, risk, telemetry as tm, temporal as tp
 from tidemark.plans import fixtures as fx
 from tidemark.plans.common import tidy
@@ -136,7 +137,8 @@ def q_control_flags(spark, sf):
     rows = risk.control_flags(reports(spark, sf))
     return tidy(
         rows.select(
-            "report_id", "mint_authority_present", "freeze_authority_present", "metadata_mutable",
+            "report_id", "mint_authority_present", "freeze_authority_present",
+            F.try_variant_get("metadata_mutable", "$", "boolean").alias("metadata_mutable"),
             "metadata_update_authority_present", F.col("transfer_fee.authority_present").alias("fee_authority_present"),
             F.col("transfer_fee.basis_points").alias("fee_basis_points"),
         )
@@ -158,9 +160,23 @@ def q_report_projection(spark, sf):
     return rows.select("report_id", "projection.*", F.to_json("summary").alias("summary"))
 
 
+def q_report_projection_flat(spark, sf):
+    """The scalar figures of the whole projection, taken from its own output."""
+    given = lambda path, kind: F.try_variant_get(F.col(f"summary.{path}"), "$", kind).alias(path.split(".")[1])
+    own, liq = "summary.ownership", "summary.liquidity"
+    rows = risk.project_report(reports(spark, sf)).select(
+        "report_id", given("provider_risk.score", "string"), given("provider_risk.rugged", "boolean"), given("ownership.total_holders", "string"),
+        f"{own}.top_holders_reported", "projection.top_holders_observed", "projection.markets_observed", "projection.known_accounts_observed",
+        *[f"{own}.top{n}_pct" for n in risk.TOP_SIZES], f"{own}.labelled_pct", f"{own}.largest_unlabelled_pct", f"{own}.insider_pct", f"{own}.creator_pct",
+        f"{liq}.largest_market_usd", f"{liq}.largest_market_share_pct", f"{liq}.markets_with_lock_data", f"{liq}.markets_with_positive_lock",
+        given("token_control.metadata_mutable", "boolean"), "summary.token_control.freeze_authority_present",
+    )
+    return tidy(rows)
+
+
 def q_report_long_form(spark, sf):
     rows = risk.long_form(risk.project_report(reports(spark, sf)))
-    return tidy(rows.where("metric IN ('score', 'topN_pct', 'insider')").drop("definition"))
+    return tidy(rows)
 
 
 def q_leak_check(spark, sf):
@@ -190,10 +206,30 @@ LABELS = """labels_long AS (SELECT DISTINCT report_id, i, pct, 'name' AS kind, '
     (SELECT report_id, i, pct, a AS x FROM hk WHERE ka UNION ALL SELECT report_id, i, pct, o FROM hk WHERE ko)
     UNION ALL SELECT DISTINCT report_id, i, pct, 'type', 'T' || CAST(x % 2 AS STRING) FROM
     (SELECT report_id, i, pct, a AS x FROM hk WHERE ka UNION ALL SELECT report_id, i, pct, o FROM hk WHERE ko))"""
-MARKET_AGG = f"""magg AS (SELECT report_id, count(*) AS n, max(usd) AS largest, sum(usd) AS total, count(locked_pct) AS locks,
+MARKET_FOLD = """magg AS (SELECT report_id, count(*) AS n, max(usd) AS largest, sum(usd) AS total, count(locked_pct) AS locks,
     count(*) FILTER (WHERE locked_pct > 0) AS pos, count(*) FILTER (WHERE locked_pct <= 0) AS zero FROM
-    (SELECT *, CASE WHEN base_usd IS NOT NULL OR quote_usd IS NOT NULL THEN coalesce(base_usd, 0) + coalesce(quote_usd, 0) END AS usd FROM markets) GROUP BY report_id),
-b AS ({REPORT_BASE})"""
+    (SELECT *, CASE WHEN base_usd IS NOT NULL OR quote_usd IS NOT NULL THEN coalesce(base_usd, 0) + coalesce(quote_usd, 0) END AS usd FROM markets) GROUP BY report_id)"""
+MARKET_AGG = MARKET_FOLD + f",\nb AS ({REPORT_BASE})"
+_MEANS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in risk.METRIC_DEFINITIONS.items())
+LONG_FORM = f"""SELECT *, CASE metric {_MEANS} END AS definition FROM (
+    SELECT report_id, 'score' AS metric, CAST(report_id % 50 AS DOUBLE) AS value FROM b
+    UNION ALL SELECT report_id, 'insider_pct', CASE WHEN ins = 0 THEN 0 ELSE round(ins_pct, 6) END FROM agg WHERE flags > 0 AND (ins = 0 OR ins_known = ins)
+    UNION ALL SELECT report_id, 'labelled_pct', round(labelled_pct, 6) FROM agg WHERE labelled_pct IS NOT NULL
+    UNION ALL SELECT report_id, 'largest_market_share_pct', round(largest / total * 100, 6) FROM magg WHERE total > 0
+    UNION ALL SELECT b.report_id, 'markets_with_positive_lock', CAST(coalesce(pos, 0) AS DOUBLE) FROM b LEFT JOIN magg ON magg.report_id = b.report_id WHERE has_markets
+    UNION ALL SELECT report_id, 'top10_pct', round(sum(pct), 6) FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pct DESC) AS rn FROM holders WHERE pct IS NOT NULL)
+    WHERE rn <= 10 GROUP BY report_id)"""
+PROJECTION_FLAT = """SELECT b.report_id, CAST(b.report_id % 50 AS STRING) AS score, b.report_id % 9 = 0 AS rugged, CAST(b.report_id % 1000 AS STRING) AS total_holders,
+    CASE WHEN has_holders THEN coalesce(agg.n, 0) END AS top_holders_reported, CASE WHEN has_holders THEN coalesce(agg.n, 0) END AS top_holders_observed,
+    CASE WHEN has_markets THEN coalesce(magg.n, 0) END AS markets_observed, CAST(CASE WHEN b.report_id % 3 <> 0 THEN 15 END AS BIGINT) AS known_accounts_observed,
+    t.top1_pct, t.top5_pct, t.top10_pct, t.top20_pct, round(labelled_pct, 6) AS labelled_pct, round(largest_unlabelled_pct, 6) AS largest_unlabelled_pct,
+    CASE WHEN flags > 0 AND ins = 0 THEN 0 WHEN flags > 0 AND ins_known = ins THEN round(ins_pct, 6) END AS insider_pct, round(creator_pct, 6) AS creator_pct,
+    round(largest, 6) AS largest_market_usd, round(CASE WHEN total > 0 THEN largest / total * 100 END, 6) AS largest_market_share_pct,
+    CASE WHEN has_markets THEN coalesce(locks, 0) END AS markets_with_lock_data, CASE WHEN has_markets THEN coalesce(pos, 0) END AS markets_with_positive_lock,
+    CASE b.report_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS metadata_mutable, CASE b.report_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS freeze_authority_present
+    FROM b LEFT JOIN agg ON agg.report_id = b.report_id LEFT JOIN magg ON magg.report_id = b.report_id
+    LEFT JOIN (SELECT report_id, """ + ", ".join(f"round(sum(CASE WHEN rn <= {n} THEN pct END), 6) AS top{n}_pct" for n in risk.TOP_SIZES) + """ FROM
+        (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pct DESC) AS rn FROM holders WHERE pct IS NOT NULL) GROUP BY report_id) t ON t.report_id = b.report_id"""
 
 # --- temporal SQL -----------------------------------------------------------------------------------------------
 
@@ -246,7 +282,7 @@ def tel_sql(body, extra=""):
 
 
 def raw_events(spark, sf):
-    return fx.spread(fx.telemetry(spark, sf)).selectExpr("seq", "received_at", f"{fx.TELEMETRY_BODY} AS body")
+    return fx.telemetry(spark, sf).selectExpr("seq", "received_at", f"{fx.TELEMETRY_BODY} AS body")
 
 
 def telemetry(spark, sf):
@@ -266,7 +302,11 @@ def q_forbidden_keys(spark, sf):
 
 
 def q_retain_events(spark, sf):
-    return tidy(tm.retain_events(raw_events(spark, sf), NOW, retention_s=30 * 86400, max_events=5_000).select("seq", "received_at"))
+    return tidy(tm.retain_events(raw_events(spark, sf), NOW, retention_s=15 * 86400).select("seq", "received_at"))
+
+
+def q_retention_counts(spark, sf):
+    return tm.retention_counts(raw_events(spark, sf), NOW, 15 * 86400, TELEMETRY_MAX_EVENTS, 120)
 
 
 def q_latest_events(spark, sf):
@@ -405,10 +445,8 @@ QUERIES = {
     "risk_list": (q_risk_list, """SELECT o_orderkey AS report_id, CAST(CASE WHEN o_orderkey % 6 <> 0 THEN least(o_orderkey % 4, 2) END AS BIGINT) AS risks,
         CASE WHEN o_orderkey % 6 <> 0 THEN CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'R1' ELSE 'R1,R2' END END AS names FROM orders"""),
     "report_projection": (q_report_projection, None),
-    "report_long_form": (q_report_long_form, fx.with_ctes(("holders",), """SELECT report_id, 'score' AS metric, CAST(report_id % 50 AS DOUBLE) AS value FROM b
-        UNION ALL SELECT report_id, 'insider', CASE WHEN ins = 0 THEN 0 ELSE ins_pct END FROM agg WHERE flags > 0 AND (ins = 0 OR ins_known = ins)
-        UNION ALL SELECT report_id, 'topN_pct', sum(pct) FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pct DESC) AS rn FROM holders WHERE pct IS NOT NULL)
-        WHERE rn <= 10 GROUP BY report_id""", extra=H_KNOWN + ",\n" + HOLDER_AGG)),
+    "report_long_form": (q_report_long_form, fx.with_ctes(("holders", "markets"), LONG_FORM, extra=H_KNOWN + ",\n" + HOLDER_AGG + ",\n" + MARKET_FOLD)),
+    "report_projection_flat": (q_report_projection_flat, fx.with_ctes(("holders", "markets"), PROJECTION_FLAT, extra=H_KNOWN + ",\n" + HOLDER_AGG + ",\n" + MARKET_FOLD)),
     "leak_check": (q_leak_check, fx.with_ctes(("holders",), """SELECT b.report_id, (SELECT count(DISTINCT x) FROM (
         SELECT a AS x FROM holders h WHERE h.report_id = b.report_id UNION ALL SELECT o FROM holders h WHERE h.report_id = b.report_id
         UNION ALL SELECT j FROM (SELECT unnest(range(0, 50)) AS j) WHERE j % 10 < 3 AND b.report_id % 3 <> 0
@@ -418,7 +456,10 @@ QUERIES = {
     "validate_events": (q_validate_events, tel_sql(f"SELECT seq, type, CASE WHEN seq % 19 = 0 THEN '' ELSE at_text END AS at, {VALID} AS valid FROM tel")),
     "validation_counts": (q_validation_counts, tel_sql(f"SELECT count(*) FILTER (WHERE {VALID}) AS received, count(*) FILTER (WHERE NOT ({VALID})) AS invalid FROM tel")),
     "forbidden_keys": (q_forbidden_keys, tel_sql("SELECT seq, seq % 13 = 0 AS forbidden FROM tel")),
-    "retain_events": (q_retain_events, tel_sql(f"SELECT seq, epoch_us(received_at) AS received_at_us FROM tel WHERE received_at >= TIMESTAMP '{NOW}' - INTERVAL '30' DAY ORDER BY received_at DESC, seq DESC LIMIT 5000")),
+    "retain_events": (q_retain_events, tel_sql(f"SELECT seq, epoch_us(received_at) AS received_at_us FROM tel WHERE received_at >= TIMESTAMP '{NOW}' - INTERVAL '15' DAY")),
+    "retention_counts": (q_retention_counts, tel_sql(f"""SELECT count(*) AS events, count(*) FILTER (WHERE NOT young) AS expired, count(*) FILTER (WHERE young AND strlen(body) > 120) AS oversized,
+        greatest(count(*) FILTER (WHERE young AND strlen(body) <= 120) - {TELEMETRY_MAX_EVENTS}, 0) AS beyond_limit, least(count(*) FILTER (WHERE young AND strlen(body) <= 120), {TELEMETRY_MAX_EVENTS}) AS kept
+        FROM (SELECT received_at >= TIMESTAMP '{NOW}' - INTERVAL '15' DAY AS young, {fx.TELEMETRY_BODY} AS body FROM tel)""")),
     "latest_events": (q_latest_events, tel_sql("SELECT type, origin, seq, round(rpm60, 6) AS rpm60, round(latency_ms, 6) AS latency_ms FROM latest_tel", LATEST_TEL)),
     "stage_metrics": (q_stage_metrics, tel_sql(f"""SELECT {_stage('response_items', 'discovery_tick')}, {_stage('new_mints', 'discovery_tick')}, count(*) FILTER (WHERE type = 'search_lane_tick') AS lanes,
         {_stage('rpm60', 'search_lane_tick')}, {_stage('polled_tokens', 'search_flush')}, {_stage('source_versions', 'search_flush')}, {_stage('new_snapshots', 'search_flush')},

@@ -9,7 +9,9 @@ from tidemark.operators import ingest, registry as reg
 from tidemark.plans import fixtures as fx
 from tidemark.plans.common import tidy
 from tidemark.plans.cycle import ingest_batch
-from tidemark.sources import candidates as cand, payload as pl
+from tidemark.session import shared_dir
+from tidemark.sources import candidates as cand, payload as pl, tables
+from tidemark.streaming.collector import process_batch
 
 NOW = fx.FULL
 T = f"TIMESTAMP '{NOW}'"
@@ -25,7 +27,7 @@ MESSAGE_BODY = f"""'{{"mint":' || CASE WHEN event_type = 'error' THEN CAST(event
 def raw(spark, sf, table, body):
     frame = fx.events_k(spark, sf) if table == "events" else fx.table(spark, sf, table)
     used = ["event_id", "event_type", "user_id"] if table == "events" else ["l_partkey", "l_suppkey", "l_returnflag"]
-    return fx.spread(frame.select(*used)).selectExpr(f"{body} AS body")
+    return frame.select(*used).selectExpr(f"{body} AS body")
 
 
 def sources(spark, sf):
@@ -113,7 +115,7 @@ def q_newer_versions(spark, sf):
 
 def q_append_snapshots(spark, sf):
     newer = ingest.newer_versions(versions(spark, sf), fx.known_registry(spark, sf))
-    return tidy(_payload_seq(ingest.append_snapshots(newer, fx.known_snapshots(spark, sf))))
+    return tidy(_payload_seq(ingest.append_snapshots(newer, fx.known_snapshots(spark, sf), fx.polls(spark, sf))))
 
 
 def folded(spark, sf):
@@ -144,6 +146,19 @@ def q_ingest_batch(spark, sf):
     return tidy(rows.select("mint", "name", "tracking_enabled", "first_observed_at", "last_polled_at", "last_changed_at"))
 
 
+def q_stored_state(spark, sf):
+    """Two batches through the collector into a store, the first tried again after its commit; then the store is read back."""
+    root = shared_dir(spark)
+    tables.init_tables(spark, root)
+    polls, half = fx.polls(spark, sf), F.lit(fx.KNOWN_UNTIL).cast("timestamp")
+    early, late = polls.where(F.col("observed_at") <= half), polls.where(F.col("observed_at") > half)
+    for batch, rows in ((0, early), (0, late), (1, late)):  # a batch that is committed is not written again
+        process_batch(spark, root, rows, batch, writer="query")
+    history = tables.read_snapshots(spark, root).groupBy("mint").agg(F.count("*").alias("snapshots"), F.max("observed_at").alias("newest"))
+    state = tables.read_registry(spark, root).select("mint", "name", "first_observed_at", "last_polled_at", "last_changed_at")
+    return tidy(state.join(history, "mint", "left"))
+
+
 def q_store_summary(spark, sf):
     return batch(spark, sf).summary
 
@@ -221,6 +236,9 @@ QUERIES = {
         FROM known k LEFT JOIN facts f ON f.mint = k.mint""", VERSION_FACTS)),
     "ingest_batch": (q_ingest_batch, sql(("newer",), f"""SELECT f.mint, coalesce(k.name, 'polled ' || CAST(f.top.u AS STRING)) AS name,
         coalesce(k.tracking_enabled, true) AS tracking_enabled, {MERGED} FROM facts f LEFT JOIN known k ON k.mint = f.mint""", VERSION_FACTS)),
+    "stored_state": (q_stored_state, sql(("polls",), """SELECT id AS mint, 'polled ' || CAST(user_id AS STRING) AS name, epoch_us(min(source_time)) AS first_observed_at_us,
+        epoch_us(max(observed_at)) AS last_polled_at_us, epoch_us(max(source_time)) AS last_changed_at_us, count(DISTINCT source_time) AS snapshots,
+        epoch_us(max(source_time)) AS newest_us FROM polls GROUP BY id, user_id""")),
     "store_summary": (q_store_summary, sql(("newer",), """SELECT (SELECT count(*) FROM facts f WHERE f.mint NOT IN (SELECT mint FROM known WHERE name IS NOT NULL)) AS enriched_keys,
         (SELECT count(*) FROM newer) AS offered_snapshots,
         (SELECT count(*) FROM newer n JOIN events_k e ON e.event_id = n.event_id WHERE e.event_type <> 'purchase') AS added_snapshots""", VERSION_FACTS)),

@@ -171,9 +171,8 @@ def q_tick_series(spark, sf):
     summaries = []
     for hours in (0, 24):
         as_of = F.lit(NOW).cast("timestamp") + F.expr(f"make_dt_interval(0, {hours})")
-        found = lc.first_match(ev.evidence(registry, rows, as_of, CFG), CFG)
-        after = lc.apply_retirement(registry, found, as_of)
-        summaries.append(lc.cycle_summary(found, after).withColumn("as_of", as_of))
+        found = lc.outcome(ev.evidence(registry, rows, as_of, CFG), CFG)
+        summaries.append(lc.cycle_summary(found).withColumn("as_of", as_of))
     return tidy(tick_series(summaries[0].unionByName(summaries[1])))
 
 

@@ -6,6 +6,9 @@ the cluster (shuffle partitions, executor memory) are left to the caller; AQE co
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 RUNTIME_OPTIONS = {
@@ -36,3 +39,9 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **optio
     for name, value in {**RUNTIME_OPTIONS, **options}.items():
         builder = builder.config(name, value)
     return tune(builder.getOrCreate())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/state-{uuid.uuid4().hex}"

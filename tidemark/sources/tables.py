@@ -1,114 +1,230 @@
 """Reading and writing the stored tables.
 
-Registry and cursors are kept as the rows each batch changed (``batch=<id>`` directories); the current state is the row
-of the newest committed batch per key, so a small batch never rewrites a large table. Snapshots are append-only. A batch
-counts once its commit row exists, which is written last: outputs of a batch become visible together, and replaying a
-batch overwrites its own directories only. ``compact`` folds the changed rows into one.
+A root holds the tables and a log of commits. The store numbers its commits itself, so any number of streams, each with a
+checkpoint of its own, can follow one another on one root; the log remembers which writer's batch a commit was, and a batch
+that is committed already is never written again. One writer works on a root at a time.
+
+Registry and cursors are kept as the rows each commit changed (``commit=<n>`` directories); the current state is the newest
+committed row per key. Every ``FOLD_EVERY`` commits the whole state is written instead, and readers start there. Snapshots
+are append-only, partitioned by the hour they were observed in, so that reads of a time range and retention touch their
+hours only. A commit counts once its log entry exists, which is written last: outputs become visible together, and what a
+failed attempt left behind is overwritten by the next one, which gets the same number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schemas
 from tidemark.config import RETENTION_HOURS
-from tidemark.operators.ingest import expire_snapshots
 
-COMMITS = T.StructType([T.StructField("batch", T.LongType())])
+#: Commits after which registry and cursors are written whole again.
+FOLD_EVERY = 200
+STATE = ("registry", "rule_state")
 
+COMMITS = T.StructType(
+    [
+        T.StructField("commit", T.LongType()),
+        T.StructField("writer", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("base", T.LongType()),
+        T.StructField("cycle_at", T.TimestampType()),
+        T.StructField("retained_from", T.TimestampType()),
+    ]
+)
 
-def _with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+@dataclass(frozen=True)
+class Head:
+    """The newest commit: its number (-1 for none), the commit that holds the whole state, the instant of the last
+    lifecycle cycle, and the oldest instant that snapshots are kept from."""
+
+    commit: int = -1
+    base: int = -1
+    cycle_at: datetime | None = None
+    retained_from: datetime | None = None
 
 
 def _path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def _stored_schema(name: str) -> T.StructType:
+    extra = [T.StructField("hour", T.StringType())] if name == "snapshots" else []
+    return T.StructType([*schemas.TABLES[name].fields, *extra, T.StructField("commit", T.LongType())])
+
+
 def init_tables(spark: SparkSession, root: str) -> None:
     """Create the tables empty where they do not exist yet; existing ones are left alone."""
-    for name, schema in {**schemas.TABLES, "commits": COMMITS}.items():
-        target = _path(root, name)
-        stored = schema if name == "commits" else _with_batch(schema)
-        empty = spark.createDataFrame([], stored)
-        if name != "commits":
-            empty.write.mode("ignore").partitionBy("batch").parquet(target)
-        else:
-            empty.write.mode("ignore").parquet(target)
+    for name in schemas.TABLES:
+        layout = ("hour", "commit") if name == "snapshots" else ("commit",)
+        spark.createDataFrame([], _stored_schema(name)).write.mode("ignore").partitionBy(*layout).parquet(_path(root, name))
+    spark.createDataFrame([], COMMITS).write.mode("ignore").parquet(_path(root, "commits"))
+
 
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(COMMITS).parquet(_path(root, "commits"))
 
-def last_batch(spark: SparkSession, root: str) -> int:
-    """Newest committed batch, -1 when there is none."""
-    commits = spark.read.schema(COMMITS).parquet(_path(root, "commits"))
-    return commits.agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("batch")).first().batch
 
+def head(spark: SparkSession, root: str) -> Head:
+    newest = _log(spark, root).agg(F.max(F.struct(*COMMITS.names)).alias("row"), F.max("cycle_at").alias("cycle_at"), F.max("retained_from").alias("kept")).first()
+    if newest.row is None:
+        return Head()
+    return Head(newest.row.commit, newest.row.base, newest.cycle_at, newest.kept)
 
-def _committed(spark: SparkSession, root: str, name: str, before: int | None) -> DataFrame:
-    rows = spark.read.schema(_with_batch(schemas.TABLES[name])).parquet(_path(root, name))
-    limit = last_batch(spark, root) if before is None else before - 1
-    return rows.where(F.col("batch") <= limit)
 
+def commit_of(spark: SparkSession, root: str, writer: str, batch: int) -> int | None:
+    """The commit that holds this writer's batch, if there is one."""
+    return _log(spark, root).where((F.col("writer") == writer) & (F.col("batch") == batch)).agg(F.max("commit")).first()[0]
 
-def _newest_per_key(rows: DataFrame, name: str) -> DataFrame:
-    keys = schemas.PRIMARY_KEYS[name]
-    values = [c for c in schemas.TABLES[name].names if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
-    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in values])
 
+def _state(spark: SparkSession, root: str, name: str, keys: DataFrame | None = None) -> DataFrame:
+    at = head(spark, root)
+    rows = spark.read.schema(_stored_schema(name)).parquet(_path(root, name))
+    rows = rows.where((F.col("commit") >= at.base) & (F.col("commit") <= at.commit))
+    if keys is not None:
+        rows = rows.join(keys, schemas.PRIMARY_KEYS[name][0], "left_semi")
+    key = schemas.PRIMARY_KEYS[name]
+    values = [c for c in schemas.TABLES[name].names if c not in key]
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*values), "commit").alias("_row"))
+    return newest.select(*key, *[F.col(f"_row.{c}").alias(c) for c in values])
 
-def read_registry(
-    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None
-) -> DataFrame:
-    """Current registry; with ``before``, as it was before that batch.
+
+def read_registry(spark: SparkSession, root: str, keys: DataFrame | None = None) -> DataFrame:
+    """Current registry.
 
     With ``keys`` (one column ``mint``) only those rows: the keys are matched before the newest rows are worked out, so a
     small batch does not aggregate a large registry.
     """
-    rows = _committed(spark, root, "registry", before)
-    if keys is not None:
-        rows = rows.join(keys, "mint", "left_semi")
-    return _newest_per_key(rows, "registry")
+    return _state(spark, root, "registry", keys)
+
+
+def read_rule_state(spark: SparkSession, root: str) -> DataFrame:
+    return _state(spark, root, "rule_state")
+
 
+def hour_of(instant: datetime) -> str:
+    """The hour in UTC; an instant without a zone is local, as Spark hands them out."""
+    return instant.astimezone(timezone.utc).strftime("%Y%m%d%H")
 
-def read_rule_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    return _newest_per_key(_committed(spark, root, "rule_state", before), "rule_state")
 
+def _hour(column: str) -> Column:
+    return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyyMMddHH")
 
-def read_snapshots(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    return _committed(spark, root, "snapshots", before).drop("batch")
 
+def read_snapshots(spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """History inside the retention period, if wanted of a range of instants (ends included), whose hours alone are read."""
+    at = head(spark, root)
+    rows = spark.read.schema(_stored_schema("snapshots")).parquet(_path(root, "snapshots")).where(F.col("commit") <= at.commit)
+    lower = max((x.astimezone(timezone.utc) for x in (since, at.retained_from) if x), default=None)
+    if lower is not None:
+        rows = rows.where((F.col("hour") >= hour_of(lower)) & (F.col("observed_at") >= F.lit(lower)))
+    if until is not None:
+        rows = rows.where((F.col("hour") <= hour_of(until)) & (F.col("observed_at") <= F.lit(until)))
+    return rows.drop("hour", "commit")
 
-def commit_state(spark: SparkSession, root: str, outputs: Mapping[str, DataFrame], batch: int) -> None:
-    """Write the changed rows of one batch, then its commit row. Safe to repeat with the same batch number."""
-    for name, rows in outputs.items():
-        columns = schemas.TABLES[name].names
-        rows.select(*columns).write.mode("overwrite").parquet(f"{_path(root, name)}/batch={batch}")
-    marker = spark.range(1).select(F.lit(batch).cast("bigint").alias("batch"))
-    if last_batch(spark, root) < batch:
-        marker.write.mode("append").parquet(_path(root, "commits"))
 
+def write_snapshots(spark: SparkSession, root: str, rows: DataFrame, commit: int) -> DataFrame:
+    """Write the history rows of a commit that is not in the log yet, and read them back: later steps of the commit start
+    from the files instead of working the rows out again."""
+    at = _path(root, "snapshots")
+    _forget(spark, root, commit)
+    named = rows.select(*schemas.SNAPSHOTS.names).withColumn("hour", _hour("observed_at")).withColumn("commit", F.lit(commit).cast("long"))
+    named.write.mode("append").partitionBy("hour", "commit").parquet(at)
+    return spark.read.schema(_stored_schema("snapshots")).parquet(at).where(F.col("commit") == commit).drop("hour", "commit")
 
-def compact(spark: SparkSession, root: str, target: str, as_of=None, hours: float = RETENTION_HOURS) -> None:
-    """Write the current state as batch 0 of a fresh root and carry the snapshots over.
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _hours(spark: SparkSession, root: str) -> list[tuple[str, object]]:
+    system, where = _files(spark, _path(root, "snapshots"))
+    found = [s.getPath() for s in system.listStatus(where)] if system.exists(where) else []
+    return [(p.getName().removeprefix("hour="), p) for p in found if p.getName().startswith("hour=")]
+
+
+def _forget(spark: SparkSession, root: str, commit: int) -> None:
+    """Remove history rows that an attempt at this commit left without reaching the log."""
+    if commit <= head(spark, root).commit:
+        raise ValueError(f"commit {commit} is in the log already")
+    jvm = spark.sparkContext._jvm
+    for _, hour in _hours(spark, root):
+        left = jvm.org.apache.hadoop.fs.Path(hour, f"commit={commit}")
+        system = left.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(left):
+            system.delete(left, True)
+
+
+def commit_state(
+    spark: SparkSession,
+    root: str,
+    outputs: Mapping[str, DataFrame],
+    writer: str = "direct",
+    batch: int | None = None,
+    cycle_at: datetime | None = None,
+    fold: bool | None = None,
+) -> int:
+    """Write the changed rows of registry and cursors and the added snapshots, then the log entry; gives the commit.
+
+    A writer's batch that is in the log stays as it is. With ``fold`` (every ``FOLD_EVERY`` commits if not given) registry
+    and cursors are written whole. ``snapshots`` may be left out if ``write_snapshots`` has written them for the commit.
+    """
+    at = head(spark, root)
+    commit = at.commit + 1
+    batch = commit if batch is None else batch
+    known = commit_of(spark, root, writer, batch)
+    if known is not None:
+        return known
+    if "snapshots" in outputs:
+        write_snapshots(spark, root, outputs["snapshots"], commit)
+    fold = commit - at.base >= FOLD_EVERY if fold is None else fold
+    for name in STATE:
+        rows = outputs.get(name)
+        if fold:
+            current, keys = _state(spark, root, name), schemas.PRIMARY_KEYS[name]
+            rows = current if rows is None else current.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*current.columns))
+        if rows is not None:
+            rows.select(*schemas.TABLES[name].names).write.mode("overwrite").parquet(f"{_path(root, name)}/commit={commit}")
+    entry = (commit, writer, batch, commit if fold else max(at.base, 0), cycle_at, None)
+    spark.createDataFrame([entry], COMMITS).coalesce(1).write.mode("append").parquet(_path(root, "commits"))
+    return commit
+
+
+def retain(spark: SparkSession, root: str, as_of: datetime, hours: float = RETENTION_HOURS) -> int:
+    """Expire snapshots: readers see none older than ``hours`` (exactly that old is kept), and hours that lie before the
+    cut-off as a whole are dropped as directories. Gives the number of dropped hours; safe to repeat."""
+    cutoff = as_of - timedelta(hours=hours)
+    at = head(spark, root)
+    if at.retained_from is None or cutoff.astimezone(timezone.utc) > at.retained_from.astimezone(timezone.utc):
+        entry = (at.commit + 1, "retention", at.commit + 1, max(at.base, 0), None, cutoff)
+        spark.createDataFrame([entry], COMMITS).coalesce(1).write.mode("append").parquet(_path(root, "commits"))
+    system, _ = _files(spark, _path(root, "snapshots"))
+    old = [path for hour, path in _hours(spark, root) if hour.isdigit() and hour < hour_of(cutoff)]
+    for path in old:
+        system.delete(path, True)
+    return len(old)
+
+
+def compact(spark: SparkSession, root: str, target: str | None = None, as_of=None, hours: float = RETENTION_HOURS) -> None:
+    """Fold registry and cursors into one commit of the root, or of a fresh one, which the snapshots are copied to.
 
     With ``as_of`` snapshots beyond the retention period are left behind.
     """
-    init_tables(spark, target)
-    snapshots = read_snapshots(spark, root)
+    if target is None:
+        commit_state(spark, root, {}, "compaction", fold=True)
+    else:
+        init_tables(spark, target)
+        state = {"registry": read_registry(spark, root), "rule_state": read_rule_state(spark, root), "snapshots": read_snapshots(spark, root)}
+        commit_state(spark, target, state, "compaction", fold=True)
     if as_of is not None:
-        snapshots = expire_snapshots(snapshots, as_of, hours)
-    commit_state(
-        spark,
-        target,
-        {
-            "registry": read_registry(spark, root),
-            "rule_state": read_rule_state(spark, root),
-            "snapshots": snapshots,
-        },
-        0,
-    )
+        retain(spark, target or root, as_of, hours)
 
 
 def read_polls(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

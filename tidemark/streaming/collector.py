@@ -1,7 +1,9 @@
 """Landed poll responses to stored tables, micro-batch by micro-batch, with the lifecycle cycle on top.
 
-A micro-batch reads the state before its own number and writes under its number, so a replayed batch yields the same
-result; registry, history and cursors of a batch become visible together (see ``sources.tables``).
+A micro-batch reads the newest commit and becomes the next one; the log of the store says which batches of which stream are
+in already, and those are left alone (see ``sources.tables``). Pacing of cycles and of retention rests on instants in that
+log too, so a batch that is tried again decides as it did before. History is written first and read back, and a cycle works
+its outcome out once: registry, cursors and history of a batch come from the same rows.
 """
 
 from __future__ import annotations
@@ -11,14 +13,16 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.config import RuleConfig
-from tidemark.plans.cycle import ingest_batch, lifecycle_cycle
+from tidemark.config import RETENTION_HOURS, RuleConfig
+from tidemark.operators import evidence as ev, ingest, lifecycle as lc
+from tidemark.plans.cycle import ingest_batch
 from tidemark.sources import tables
 from tidemark.sources.payload import lifecycle_view
 
-# Flush interval and lifecycle interval in seconds.
+# Flush, lifecycle and retention intervals in seconds.
 FLUSH_SECONDS = 2
 CYCLE_SECONDS = 15
+RETENTION_SECONDS = 3600
 
 
 def replace_rows(base: DataFrame, changed: DataFrame) -> DataFrame:
@@ -30,30 +34,55 @@ def process_batch(
     spark: SparkSession,
     root: str,
     polls: DataFrame,
-    batch: int,
+    batch: int | None = None,
     as_of: datetime | None = None,
     cfg: RuleConfig = RuleConfig(),
-) -> None:
-    """Ingest one batch of polls; with ``as_of`` also run one lifecycle cycle over the result."""
+    writer: str = "direct",
+) -> int:
+    """Ingest one batch of polls; with ``as_of`` also run one lifecycle cycle over the result. Gives the commit.
+
+    A batch of this writer that is committed already is not run again; without a number it is a new one.
+    """
+    known = None if batch is None else tables.commit_of(spark, root, writer, batch)
+    if known is not None:
+        return known
+    commit = tables.head(spark, root).commit + 1
     # Ingest alone needs the polled keys only; a cycle looks at every active key.
     polled = polls.select(F.col("id").alias("mint")).distinct() if as_of is None else None
-    registry = tables.read_registry(spark, root, before=batch, keys=polled)
-    snapshots = tables.read_snapshots(spark, root, before=batch)
-    ingested = ingest_batch(polls, registry, snapshots)
-    outputs = {"snapshots": ingested.snapshots}
-    if as_of is None:
-        outputs["registry"] = ingested.registry
-    else:
-        cursors = tables.read_rule_state(spark, root, before=batch)
-        current = replace_rows(registry, ingested.registry)
-        history = lifecycle_view(snapshots.unionByName(ingested.snapshots))
-        cycle = lifecycle_cycle(current, history, cursors, as_of, cfg)
-        touched = ingested.registry.select("mint").unionByName(cycle.candidates.select("mint")).distinct()
-        outputs["registry"] = cycle.registry.join(touched, "mint", "left_semi")
-        outputs["rule_state"] = cycle.cursors.join(
-            cursors.withColumnRenamed("scanned_through", "_held"), ["mint", "rule_key"], "left"
-        ).where(F.col("_held").isNull() | (F.col("scanned_through") > F.col("_held")))
-    tables.commit_state(spark, root, outputs, batch)
+    registry = tables.read_registry(spark, root, keys=polled)
+    span = polls.agg(F.min("observed_at").alias("lo"), F.max("observed_at").alias("hi")).first()
+    ingested = ingest_batch(polls, registry, tables.read_snapshots(spark, root, span.lo, span.hi))
+    changed = ingested.registry.persist()
+    outcome = None
+    try:
+        added = tables.write_snapshots(spark, root, ingested.snapshots, commit)
+        outputs = {"registry": changed}
+        if as_of is not None:
+            cursors = tables.read_rule_state(spark, root)
+            current = replace_rows(registry, changed)
+            history = lifecycle_view(tables.read_snapshots(spark, root).unionByName(added))
+            outcome = lc.outcome(ev.evidence(current, history, as_of, cfg, cursors), cfg).persist()
+            candidates = lc.candidates(outcome)
+            touched = changed.select("mint").unionByName(candidates.select("mint")).distinct()
+            outputs["registry"] = lc.apply_retirement(current, candidates, as_of).join(touched, "mint", "left_semi")
+            moved = lc.clean_scans(outcome).withColumnRenamed("scanned_through", "_moved")
+            outputs["rule_state"] = (
+                moved.join(cursors, ["mint", "rule_key"], "left")
+                .where(F.col("scanned_through").isNull() | (F.col("_moved") > F.col("scanned_through")))
+                .select("mint", "rule_key", F.col("_moved").alias("scanned_through"))
+            )
+        return tables.commit_state(spark, root, outputs, writer, batch, as_of)
+    finally:
+        changed.unpersist()
+        if outcome is not None:
+            outcome.unpersist()
+
+
+def admit_candidates(spark: SparkSession, root: str, candidates: DataFrame, batch: int | None = None, writer: str = "discovery") -> int:
+    """Bring discovered keys (column ``mint``) into the stored registry; known ones, retired ones too, stay as they are."""
+    offered = candidates.select("mint").where("mint IS NOT NULL").distinct()
+    fresh = ingest.blank_rows(ingest.new_keys(offered, tables.read_registry(spark, root, keys=offered)))
+    return tables.commit_state(spark, root, {"registry": fresh}, writer, batch)
 
 
 def run_collector(
@@ -65,31 +94,32 @@ def run_collector(
     cycle_s: float | None = CYCLE_SECONDS,
     max_files: int | None = None,
     available_now: bool = False,
+    retention_s: float | None = RETENTION_SECONDS,
+    retention_hours: float = RETENTION_HOURS,
 ) -> StreamingQuery:
     """Start the stream. ``root`` and ``checkpoint`` must lie on storage all executors share.
 
-    A cycle runs when the newest poll is at least ``cycle_s`` after the previous cycle; None turns cycles off. The time
-    of the last cycle is only a pacing aid: after a restart the next batch runs one.
+    A cycle runs when the newest poll is at least ``cycle_s`` after the previous cycle; None turns cycles off. Snapshots are
+    expired when the cut-off has moved by ``retention_s``; None turns that off.
     """
     tables.init_tables(spark, root)
     reader = spark.readStream.schema(tables.schemas.POLL_RESPONSES)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     polls = tables.explode_polls(reader.json(source))
-    last_cycle: list[datetime] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             newest = batch.agg(F.max("observed_at").alias("at")).first().at
-            due = (
-                cycle_s is not None
-                and newest is not None
-                and (not last_cycle or newest - last_cycle[-1] >= timedelta(seconds=cycle_s))
-            )
-            process_batch(spark, root, batch, batch_id, newest if due else None, cfg)
-            if due:
-                last_cycle[:] = [newest]
+            last = tables.head(spark, root)
+            due = cycle_s is not None and newest is not None
+            due = due and (last.cycle_at is None or newest - last.cycle_at >= timedelta(seconds=cycle_s))
+            process_batch(spark, root, batch, batch_id, newest if due else None, cfg, writer=checkpoint)
+            if retention_s is not None and newest is not None:
+                cutoff = newest - timedelta(hours=retention_hours)
+                if last.retained_from is None or cutoff - last.retained_from >= timedelta(seconds=retention_s):
+                    tables.retain(spark, root, newest, retention_hours)
         finally:
             batch.unpersist()
 
