@@ -27,7 +27,9 @@ GRAMS = 40_000
 LONGEST = 4
 UNKNOWN = "und"
 FOLDS = 5
-MEMO_WORDS = 250_000
+MEMO_WORDS = 300_000
+#: Distinct words that a task counts before it hands them on.
+HELD_WORDS = 300_000
 SMOOTH = 0.5
 #: Words that count fully towards the certainty of a score.
 CERTAIN_WORDS = 24
@@ -59,6 +61,12 @@ def counts(docs: DataFrame, learns: Callable[[int | None], bool] = lambda i: not
                     if lang is not None and learns(i):
                         found[lang].update(words_of(text))
                 at += len(ids)
+                if sum(map(len, found.values())) > HELD_WORDS:
+                    yield from emitted(found)
+                    found.clear()
+        yield from emitted(found)
+
+    def emitted(found: dict[str, Counter]) -> Rows:
         for lang, words in found.items():
             sizes: list[Counter] = [words]
             for n in range(1, longest + 1):
@@ -138,60 +146,68 @@ class Scorer:
     """Scores of words by language; fallbacks are remembered up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.width = model, len(model.languages)
-        self.known = {word: k for k, word in enumerate(model.words)}
-        fixed = len(self.known)
-        self.rows = np.zeros((fixed + MEMO_WORDS, self.width), np.float32)
+        self.model, self.width, self.fixed = model, len(model.languages), len(model.words)
+        self.rows = np.zeros((self.fixed + MEMO_WORDS, max(1, self.width)), np.float32)
         for k, row in enumerate(model.words.values()):
             self.rows[k] = row
-        self.memo: dict[str, int] = {}
-        self.fixed = fixed
+        self.gram_at = [{gram: k for k, gram in enumerate(table)} for table in model.grams]
+        self.gram_rows = [np.array(list(table.values()), np.float32).reshape(-1, max(1, self.width)) for table in model.grams]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at = {word: k for k, word in enumerate(self.model.words)}
 
     def _fall_back(self, word: str) -> int:
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        at = self.memo[word] = self.fixed + len(self.memo)
+        at = self.at[word] = len(self.at)
         self.rows[at] = 0
-        for n in range(len(self.model.grams), 0, -1):
-            table = self.model.grams[n - 1]
-            found = [row for row in map(table.get, grams(word, n)) if row is not None]
+        for n in range(len(self.gram_at), 0, -1):
+            found = [k for k in map(self.gram_at[n - 1].get, grams(word, n)) if k is not None]
             if found:
-                self.rows[at] = sum(found) / len(found)
+                np.add.reduce(self.gram_rows[n - 1][found], axis=0, out=self.rows[at])
+                self.rows[at] /= len(found)
                 break
         return at
 
+    def _total(self, words: list[str]) -> np.ndarray:
+        """Sum over at most ``MEMO_WORDS`` words, so that all of them can be remembered at once."""
+        at = list(map(self.at.get, words))
+        if None in at:
+            unseen = {w for w, k in zip(words, at) if k is None}
+            if len(self.at) + len(unseen) > len(self.rows):
+                self._forget()
+                unseen = set(words).difference(self.at)
+            for word in unseen:
+                self._fall_back(word)
+            at = list(map(self.at.__getitem__, words))
+        return self.rows[at].sum(axis=0, dtype=np.float64)
+
     def predict(self, text: bytes | None) -> tuple[str, float]:
         words = words_of(text)
         if not self.width or not words or not any(map(str.isalpha, words)):
             return UNKNOWN, 0.0
-        known, memo = self.known.get, self.memo.get
-        total = np.zeros(self.width)
-        for k in range(0, len(words), 50_000):
-            # A remembered word may be forgotten before it is added up only if one slice fills the memory.
-            at = []
-            for word in words[k : k + 50_000]:
-                row = known(word)
-                if row is None:
-                    row = memo(word)
-                    if row is None:
-                        if len(self.memo) >= MEMO_WORDS and at:
-                            total += self.rows[at].sum(axis=0)
-                            at = []
-                        row = self._fall_back(word)
-                at.append(row)
-            total += self.rows[at].sum(axis=0, dtype=np.float64)
+        total = sum(self._total(words[k : k + MEMO_WORDS]) for k in range(0, len(words), MEMO_WORDS))
         sure = total * min(len(words), CERTAIN_WORDS) / len(words)
         odds = np.exp(sure - sure.max())
         best = int(total.argmax())
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
+_LAST: list[Scorer] = []
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The scorer of a model, kept by the worker process from one task to the next."""
+    if not _LAST or _LAST[0].model is not model:
+        _LAST[:] = [Scorer(model)]
+    return _LAST[0]
+
+
 def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; only the text decides."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Rows) -> Rows:
-        scorer = Scorer(sent.value)
+        scorer = scorer_of(sent.value)
         for ids, texts in id_text(batches):
             found = [scorer.predict(t) for t in texts]
             yield record(
@@ -214,7 +230,7 @@ def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     at = DOCUMENT_COLUMNS.index("text")
 
     def run(batches: Rows) -> Rows:
-        scorer = Scorer(sent.value)
+        scorer = scorer_of(sent.value)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
