@@ -1,6 +1,7 @@
 """Blocks of pages, the network's gradients, and extraction against plain cutting."""
 
 import html
+import pathlib
 import re
 
 import numpy as np
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.llm import html_labeller as labeller
 from tidemark.llm.html_blocks import blocks
 
+ROOT = pathlib.Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
 def net(spark):
-    return labeller.train(labeller.sample(spark.read.parquet(f"{SF}/pages.parquet"), 150))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(ROOT))
+    return labeller.trained(spark.read.parquet(f"{SF}/pages.parquet"), 150)
 
 
 def texts(page):
@@ -95,5 +98,5 @@ def test_odd_pages(spark, net):
     assert got.columns[:4] == ["page_id", "url", "text", "n_chars"] and got.count() == len(rows)
     assert {(r.page_id, r.text) for r in got.collect() if r.page_id in (1, 2)} == {(1, ""), (2, "")}
     assert labeller.extract(pages.filter("page_id = 99"), net).count() == 0
-    assert labeller.train(labeller.sample(pages.filter("page_id = 99"))) is None
+    assert labeller.trained(pages.filter("page_id = 99")) is None
     assert {r.text for r in labeller.extract(pages, None).collect()} == {""}

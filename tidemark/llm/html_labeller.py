@@ -11,6 +11,7 @@ repeated results, and an empty table an empty one.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 from zlib import crc32
@@ -252,12 +253,23 @@ def laid_out(texts: list[str], other: list[str], rng: np.random.Generator) -> tu
     return page, np.array(labels)
 
 
-def sample(pages: DataFrame, rows: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``rows`` pages, those with the smallest hashes of their ids."""
+def sample(pages: DataFrame, rows: int = SAMPLE_PAGES) -> DataFrame:
+    """(html) of at most ``rows`` pages, those with the smallest hashes of their ids, in one partition."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).filter("page_id IS NOT NULL AND html IS NOT NULL")
     few = F.broadcast(own.select(F.col("page_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows))
     chosen = own.join(few, F.col("page_id") == F.col("_id"), "left_semi")
-    return [r.html for r in chosen.orderBy("page_id", F.xxhash64("html")).limit(rows).collect()]
+    return chosen.orderBy("page_id", F.xxhash64("html")).limit(rows).select("html")
+
+
+def trained(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Network | None:
+    """The labeller, fitted in one task on the bounded sample; None without pages."""
+
+    def run(batches: Rows) -> Rows:
+        net = train([page for batch in batches for page in batch.column(0).to_pylist()])
+        yield record({"net": ([pickle.dumps(net)], pa.binary())})
+
+    got = sample(pages, rows).mapInArrow(run, "net binary").collect()
+    return pickle.loads(bytes(got[0].net)) if got else None
 
 
 def train(pages: list[str], seed: int = 3) -> Network | None:

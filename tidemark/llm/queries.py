@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return html_labeller.extract(pages, html_labeller.train(html_labeller.sample(pages)))
+    return html_labeller.extract(pages, html_labeller.trained(pages))
 
 
 def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
