@@ -180,15 +180,22 @@ def q_report_long_form(spark, sf):
 
 
 def q_leak_check(spark, sf):
+    """Every fourth projection is given an account address on purpose."""
     base = reports(spark, sf)
-    return tidy(risk.leak_check(base, risk.project_report(base)))
+    planted = F.when(F.col("report_id") % 4 == 0, F.concat(F.lit("see A"), (F.col("report_id") % 50).cast("string")))
+    projected = risk.project_report(base).withColumn("summary", F.struct("summary.*", planted.alias("note")))
+    return tidy(risk.leak_check(base, projected))
+
+
+# Well-formed and malformed keys of 31 to 46 characters, some between white space, one for each document.
+PLANTED_KEY = "substr(translate(md5(CAST(doc_id AS STRING)) || md5('k' || CAST(doc_id AS STRING)), '0', CASE WHEN doc_id % 7 = 0 THEN '0' ELSE 'z' END), 1, CAST(31 + doc_id % 16 AS INT))"
+PLANTED_WORD = f"CASE doc_id % 3 WHEN 0 THEN chr(9) || {PLANTED_KEY} || chr(10) ELSE {PLANTED_KEY} END"
 
 
 def q_valid_key(spark, sf):
-    rows = fx.table(spark, sf, "documents").select(
-        "doc_id", F.explode(F.split("text", " ")).alias("word")
-    )
-    return rows.groupBy(
+    docs = fx.table(spark, sf, "documents")
+    words = docs.select(F.explode(F.split("text", " ")).alias("word")).union(docs.selectExpr(f"{PLANTED_WORD} AS word"))
+    return words.groupBy(
         risk.valid_key(F.col("word")).alias("trimmed"), risk.valid_key(F.col("word"), trim=False).alias("exact")
     ).agg(F.count("*").alias("words"))
 
@@ -447,12 +454,13 @@ QUERIES = {
     "report_projection": (q_report_projection, None),
     "report_long_form": (q_report_long_form, fx.with_ctes(("holders", "markets"), LONG_FORM, extra=H_KNOWN + ",\n" + HOLDER_AGG + ",\n" + MARKET_FOLD)),
     "report_projection_flat": (q_report_projection_flat, fx.with_ctes(("holders", "markets"), PROJECTION_FLAT, extra=H_KNOWN + ",\n" + HOLDER_AGG + ",\n" + MARKET_FOLD)),
-    "leak_check": (q_leak_check, fx.with_ctes(("holders",), """SELECT b.report_id, (SELECT count(DISTINCT x) FROM (
-        SELECT a AS x FROM holders h WHERE h.report_id = b.report_id UNION ALL SELECT o FROM holders h WHERE h.report_id = b.report_id
-        UNION ALL SELECT j FROM (SELECT unnest(range(0, 50)) AS j) WHERE j % 10 < 3 AND b.report_id % 3 <> 0
-        UNION ALL SELECT q.o_custkey % 50 FROM orders q WHERE q.o_orderkey = b.report_id AND b.report_id % 5 <> 0)) AS addresses, false AS leaks FROM b""", extra=f"b AS ({REPORT_BASE})")),
-    "valid_key": (q_valid_key, r"""SELECT regexp_full_match(regexp_replace(word, '^\s+|\s+$', '', 'g'), '[1-9A-HJ-NP-Za-km-z]{32,44}') AS trimmed, regexp_full_match(word, '[1-9A-HJ-NP-Za-km-z]{32,44}') AS exact,
-        count(*) AS words FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1, 2"""),
+    "leak_check": (q_leak_check, fx.with_ctes(("holders",), """SELECT b.report_id, count(x) AS addresses,
+        b.report_id % 4 = 0 AND count(x) FILTER (WHERE starts_with('A' || CAST(b.report_id % 50 AS STRING), 'A' || CAST(x AS STRING))) > 0 AS leaks
+        FROM b LEFT JOIN (SELECT report_id, a AS x FROM holders UNION SELECT report_id, o FROM holders
+            UNION SELECT o_orderkey, j FROM orders, (SELECT unnest(range(0, 50)) AS j) WHERE j % 10 < 3 AND o_orderkey % 3 <> 0
+            UNION SELECT o_orderkey, o_custkey % 50 FROM orders WHERE o_orderkey % 5 <> 0) addr ON addr.report_id = b.report_id GROUP BY b.report_id""", extra=f"b AS ({REPORT_BASE})")),
+    "valid_key": (q_valid_key, rf"""SELECT regexp_full_match(regexp_replace(word, '^\s+|\s+$', '', 'g'), '[1-9A-HJ-NP-Za-km-z]{{32,44}}') AS trimmed, regexp_full_match(word, '[1-9A-HJ-NP-Za-km-z]{{32,44}}') AS exact,
+        count(*) AS words FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents UNION ALL SELECT {PLANTED_WORD} FROM documents) GROUP BY 1, 2"""),
     "validate_events": (q_validate_events, tel_sql(f"SELECT seq, type, CASE WHEN seq % 19 = 0 THEN '' ELSE at_text END AS at, {VALID} AS valid FROM tel")),
     "validation_counts": (q_validation_counts, tel_sql(f"SELECT count(*) FILTER (WHERE {VALID}) AS received, count(*) FILTER (WHERE NOT ({VALID})) AS invalid FROM tel")),
     "forbidden_keys": (q_forbidden_keys, tel_sql("SELECT seq, seq % 13 = 0 AS forbidden FROM tel")),

@@ -87,7 +87,7 @@ def q_admit_new(spark, sf):
 
 
 def q_discovery_tick(spark, sf):
-    return ingest.discovery_tick(sources(spark, sf), fx.known_registry(spark, sf))
+    return ingest.discovery_tick(sources(spark, sf), fx.known_registry(spark, sf), ["recent", "pools", "messages", "silent"])
 
 
 def versions(spark, sf):
@@ -214,7 +214,8 @@ QUERIES = {
         UNION ALL SELECT DISTINCT mint, true, CAST(1 AS BIGINT), CAST(NULL AS STRING) FROM cands WHERE mint NOT IN (SELECT mint FROM known)""", SOURCES)),
     "discovery_tick": (q_discovery_tick, sql(("known",), """SELECT c.source, count(*) AS candidate_occurrences, count(DISTINCT c.mint) AS unique_candidates,
         count(DISTINCT CASE WHEN c.source_order = f.o THEN c.mint END) AS new_keys
-        FROM cands c LEFT JOIN (SELECT mint, min(source_order) AS o FROM cands WHERE mint NOT IN (SELECT mint FROM known) GROUP BY mint) f ON f.mint = c.mint GROUP BY c.source""", SOURCES)),
+        FROM cands c LEFT JOIN (SELECT mint, min(source_order) AS o FROM cands WHERE mint NOT IN (SELECT mint FROM known) GROUP BY mint) f ON f.mint = c.mint GROUP BY c.source
+        UNION ALL SELECT 'silent', 0, 0, 0""", SOURCES)),
     "collapse_versions": (q_collapse_versions, sql(("versions",), """SELECT mint, updated_at, epoch_us(source_time) AS source_time_us, epoch_us(observed_at) AS observed_at_us,
         epoch_us(last_polled_at) AS last_polled_at_us, arrival_seq, CAST(0 AS BIGINT) AS payload_r,
         (SELECT round(e.value, 6) FROM events_k e WHERE e.event_id = v.event_id) AS payload_mcap FROM versions v""")),

@@ -132,7 +132,8 @@ def _rule(rule):
 def q_evidence(spark, sf):
     columns = [
         "mint", "latest_at", "checkpoint_at", "changes_in_window", "has_economic", "holder_at", "rule4_scanned",
-        "rule4_crossing", "rule5_scanned", "rule5_crossing",
+        "rule4_crossing", "rule5_scanned", "rule5_crossing", "latest_mcap", "latest_liquidity", "latest_holders", "checkpoint_mcap",
+        "checkpoint_liquidity", "checkpoint_holders",
     ]
     return tidy(_evidence(spark, sf, cursors=True).select(*columns))
 
@@ -179,7 +180,9 @@ def q_tick_series(spark, sf):
 EVIDENCE_SQL = """SELECT r.mint, epoch_us(l.observed_at) AS latest_at_us, epoch_us(a.observed_at) AS checkpoint_at_us,
     sig.n AS changes_in_window, coalesce((SELECT bool_or(s.mcap IS NOT NULL OR s.liquidity IS NOT NULL) FROM snaps s WHERE s.mint = r.mint), false) AS has_economic,
     epoch_us(h.observed_at) AS holder_at_us, epoch_us(f.scanned_through) AS rule4_scanned_us, epoch_us(f.crossing_at) AS rule4_crossing_us,
-    epoch_us(g.scanned_through) AS rule5_scanned_us, epoch_us(g.crossing_at) AS rule5_crossing_us
+    epoch_us(g.scanned_through) AS rule5_scanned_us, epoch_us(g.crossing_at) AS rule5_crossing_us,
+    round(l.mcap, 6) AS latest_mcap, round(l.liquidity, 6) AS latest_liquidity, CAST(l.holder_count AS DOUBLE) AS latest_holders,
+    round(a.mcap, 6) AS checkpoint_mcap, round(a.liquidity, 6) AS checkpoint_liquidity, CAST(h.holder_count AS DOUBLE) AS checkpoint_holders
     FROM spread r LEFT JOIN latest l ON l.mint = r.mint LEFT JOIN asof2 a ON a.mint = r.mint LEFT JOIN sig ON sig.mint = r.mint
     LEFT JOIN asof6 h ON h.mint = r.mint LEFT JOIN scan_all f ON f.mint = r.mint AND f.rule_key = 'rule4'
     LEFT JOIN scan_all g ON g.mint = r.mint AND g.rule_key = 'rule5' WHERE r.tracking_enabled"""

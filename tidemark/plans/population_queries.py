@@ -95,7 +95,15 @@ def q_visible_recent(spark, sf):
 
 
 def q_normalised_rows(spark, sf):
-    return tidy(pr.normalise_row(projection(spark, sf)).select("mint", "launchpad", "last_changed_at", "disabled_at", "holders"))
+    return tidy(pr.normalise_row(projection(spark, sf, RECENT_MINUTES)).select("mint", "launchpad", "last_changed_at", "disabled_at", "holders"))
+
+
+# A key that was retired shortly before the instant.
+LOOKED_UP = "M000020"
+
+
+def q_token_lookup(spark, sf):
+    return tidy(pr.lookup(fx.registry(spark, sf, NOW), fx.current_rows(spark, sf, NOW), LOOKED_UP, NOW, RECENT_MINUTES))
 
 
 def q_capabilities(spark, sf):
@@ -106,6 +114,15 @@ def q_rank_desc(spark, sf):
     return tidy(rk.rank_tokens(fx.part_tokens(spark, sf), "holders", "desc", 20))
 
 
+def q_rank_result(spark, sf):
+    """One ranking with matches and one without, each as one row."""
+    tokens = fx.part_tokens(spark, sf)
+    some = rk.rank_result(tokens, "market_cap", "asc", 7, " BRAND#7 ")
+    none = rk.rank_result(tokens.withColumn("volume_5m", F.lit(None).cast("double")), "volume_5m", "desc", 3)
+    keys = F.array_join(F.transform("tokens", lambda t: t["mint"]), ",").alias("mints")
+    return some.union(none).select("sort_by", "sort_order", "launchpad", "matched_count", "returned_count", keys)
+
+
 def q_rank_asc_filtered(spark, sf):
     return tidy(rk.rank_tokens(fx.part_tokens(spark, sf), "market_cap", "asc", 10, "brand#7"))
 
@@ -176,11 +193,11 @@ def q_top_volume(spark, sf):
 
 
 def q_market_pulse(spark, sf):
-    return tidy(mp.market_pulse(population(spark, sf, BEFORE)), 4)
+    return tidy(mp.market_pulse(population(spark, sf, NOW)), 4)
 
 
 def q_market_pulse_by_group(spark, sf):
-    return tidy(mp.market_pulse(population(spark, sf, BEFORE), ["launchpad"]), 4)
+    return tidy(mp.market_pulse(population(spark, sf, NOW), ["launchpad"]), 4)
 
 
 def series(spark, sf):
@@ -318,9 +335,14 @@ QUERIES = {
     "current_projection": (q_current_projection, fx.with_ctes(("latest", "reg"), f"SELECT {PROJECTION_OUT} FROM ({_token_sql('latest', 'reg', T, 'r.tracking_enabled')})")),
     "visible_recent": (q_visible_recent, fx.with_ctes(("latest", "reg"), f"SELECT {PROJECTION_OUT} FROM ({_token_sql('latest', 'reg', T, VISIBLE)})")),
     "normalised_rows": (q_normalised_rows, fx.with_ctes(("latest", "reg"), f"""SELECT mint, launchpad, strftime(last_changed_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS last_changed_at,
-        CAST(NULL AS STRING) AS disabled_at, CAST(holders AS BIGINT) AS holders FROM ({_token_sql('latest', 'reg', T, 'r.tracking_enabled')})""")),
+        strftime(disabled_at, '%Y-%m-%dT%H:%M:%S+00:00') AS disabled_at, CAST(holders AS BIGINT) AS holders FROM ({_token_sql('latest', 'reg', T, VISIBLE)})""")),
+    "token_lookup": (q_token_lookup, fx.with_ctes(("latest", "reg"), f"SELECT {PROJECTION_OUT} FROM ({_token_sql('latest', 'reg', T, VISIBLE)}) WHERE mint = '{LOOKED_UP}'")),
     "capabilities": (q_capabilities, fx.with_ctes(("tok",), "SELECT CASE WHEN launchpad <> '' THEN launchpad ELSE 'unknown' END AS value, count(*) AS active_tokens FROM tok WHERE coalesce(tracking_enabled, true) GROUP BY 1")),
     "rank_desc": (q_rank_desc, rank_sql("holders", "DESC", 20)),
+    "rank_result": (q_rank_result, fx.with_ctes(("tok",), """SELECT 'market_cap' AS sort_by, 'asc' AS sort_order, 'BRAND#7' AS launchpad, max(m) AS matched_count, count(*) AS returned_count,
+        string_agg(mint, ',' ORDER BY rank) AS mints FROM (SELECT mint, row_number() OVER (ORDER BY market_cap, mint) AS rank, count(*) OVER () AS m FROM tok
+        WHERE coalesce(tracking_enabled, true) AND market_cap IS NOT NULL AND lower(launchpad) = 'brand#7') WHERE rank <= 7
+        UNION ALL SELECT 'volume_5m', 'desc', NULL, 0, 0, ''""")),
     "rank_asc_filtered": (q_rank_asc_filtered, rank_sql("market_cap", "ASC", 10, "AND lower(launchpad) = 'brand#7'")),
     "search_tokens": (q_search_tokens, fx.with_ctes(("tok",), f"""SELECT rank, mint, symbol, name, round(market_cap, 6) AS market_cap FROM (
         SELECT t.*, row_number() OVER (ORDER BY {SEARCH_ORDER.format(raw="'Red'")}) AS rank FROM tok t WHERE t.tracking_enabled AND {SEARCHED.format(q="'red'")}) WHERE rank <= 8""")),
@@ -342,8 +364,8 @@ QUERIES = {
         SELECT *, row_number() OVER (ORDER BY a.ratio_after - b.ratio_before DESC, a.volume_after - b.volume_before DESC, mint) AS rank FROM (
         SELECT mint, max(ts) AS ts, arg_min(s, (ts, seq)) AS b, arg_max(s, (ts, seq)) AS a FROM signals s WHERE ts >= TIMESTAMP '{END}' - INTERVAL '15' DAY GROUP BY mint)
         WHERE a.volume_after > b.volume_before AND a.ratio_after > b.ratio_before) WHERE rank <= 5""", extra=SIGNALS)),
-    "market_pulse": (q_market_pulse, pop_sql("SELECT * FROM pulse", pulse_sql("prev"))),
-    "market_pulse_by_group": (q_market_pulse_by_group, pop_sql("SELECT * FROM pulse", pulse_sql("prev", "launchpad"))),
+    "market_pulse": (q_market_pulse, pop_sql("SELECT * FROM pulse", pulse_sql("curr"))),
+    "market_pulse_by_group": (q_market_pulse_by_group, pop_sql("SELECT * FROM pulse", pulse_sql("curr", "launchpad"))),
     "pulse_series": (q_pulse_series, fx.with_ctes(("snaps",), "SELECT epoch_us(ts) AS ts_us, * EXCLUDE (ts) FROM pulse", extra=SERIES)),
     "robust_log": (q_robust_log, fx.with_ctes(("tok",), "SELECT round(low, 6) AS low, round(CASE WHEN high > low THEN high ELSE low + 1 END, 6) AS high FROM lim", extra=LOGS)),
     "normalized_log": (q_normalized_log, fx.with_ctes(("tok",), "SELECT mint, round(market_score, 6) AS market_score, round(size, 6) AS size FROM sized", extra=SCORED)),

@@ -134,7 +134,8 @@ def write_snapshots(spark: SparkSession, root: str, rows: DataFrame, commit: int
     at = _path(root, "snapshots")
     _forget(spark, root, commit)
     named = rows.select(*schemas.SNAPSHOTS.names).withColumn("hour", _hour("observed_at")).withColumn("commit", F.lit(commit).cast("long"))
-    named.write.mode("append").partitionBy("hour", "commit").parquet(at)
+    # One file for an hour of few rows, several for a large one.
+    named.hint("rebalance", "hour").write.mode("append").partitionBy("hour", "commit").parquet(at)
     return spark.read.schema(_stored_schema("snapshots")).parquet(at).where(F.col("commit") == commit).drop("hour", "commit")
 
 
