@@ -226,27 +226,53 @@ def test_feed_sequence_skips_empty_batches(spark, tmp_path):
     first = population(spark, [("a", True, 1.0, 5.0), ("b", True, 2.0, 5.0)])
     later = population(spark, [("a", True, 3.0, 5.0), ("c", True, 2.0, 5.0)])
     for batch, rows_ in enumerate([first, first, later, later]):
-        feed.publish_feed(spark, root, rows_, batch)
-    feed.publish_feed(spark, root, later, 3)
-    events = spark.read.parquet(root + "/feed")
+        feed.publish_tick(spark, root, rows_, T0 + timedelta(seconds=batch), "w", batch)
+    assert feed.publish_tick(spark, root, first, T0, "w", 3) == feed.last_tick(spark, root)  # published already
+    assert feed.publish_tick(spark, root, later, T0, "other", 0).tick == 4  # another stream counts from zero again
+    events = feed.feed_events(spark, root)
     assert rows(events.where("sequence = 1"), "type", "mint") == [("universe_snapshot", "a"), ("universe_snapshot", "b")]
     assert rows(events.where("sequence = 2"), "type", "mint") == [
         ("token_added", "c"), ("token_retired", "b"), ("token_updated", "a"),
     ]
-    assert events.where("sequence > 2").count() == 0
+    assert events.where("sequence > 2").count() == 0 and feed.feed_events(spark, root, after=1).count() == 3
+    assert sorted(os.listdir(root + "/population")) == ["tick=4"]
 
 
-def test_pulse_keeps_minimum_gap(spark, tmp_path):
+def test_pulse_keeps_minimum_gap(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed, "KEEP_TICKS", 2)
     root = str(tmp_path)
     tokens = population(spark, [("a", True, 1.0, 5.0)])
     base = datetime(2024, 5, 1)
     offsets = [0, 0.999, 1.0, 6 * 3600 + 1.0]
-    kept = [
-        feed.publish_pulse(spark, root, tokens, base + timedelta(seconds=s), i) for i, s in enumerate(offsets)
-    ]
+    kept = [feed.publish_tick(spark, root, tokens, base + timedelta(seconds=s)).pulse_at == base + timedelta(seconds=s) for s in offsets]
     assert kept == [True, False, True, True]
     points = feed.pulse_history(spark, root).select("ts").collect()
     assert sorted(p.ts for p in points) == [base + timedelta(seconds=s) for s in (1.0, 6 * 3600 + 1.0)]
+    assert sorted(os.listdir(root + "/ticks")) == ["tick=2", "tick=3"]
+
+
+def test_observer_follows_the_store(spark, landed, tmp_path):
+    store, root = str(tmp_path / "store"), str(tmp_path / "out")
+    tables.init_tables(spark, store)
+    collector.process_batch(spark, store, tables.read_polls(spark, landed + "/a.json"))
+
+    def observe(checkpoint, until):
+        query = feed.run_observer(spark, store, root, str(tmp_path / checkpoint))
+        try:
+            for _ in range(120):
+                if feed.last_tick(spark, root).sequence >= until or query.exception():
+                    break
+                time.sleep(1)
+        finally:
+            query.stop()
+        assert query.exception() is None
+
+    observe("one", 1)
+    collector.process_batch(spark, store, tables.read_polls(spark, landed + "/c.json"))
+    observe("two", 2)  # a checkpoint of its own on the same feed
+    events = feed.feed_events(spark, root)
+    assert rows(events.where("sequence = 1"), "type", "mint") == [("universe_snapshot", "A"), ("universe_snapshot", "B")]
+    assert ("token_added", "D") in rows(events.where("sequence = 2"), "type", "mint")
 
 
 def test_windowed_streams(spark, tmp_path):

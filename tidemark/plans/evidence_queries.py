@@ -289,7 +289,7 @@ def tel_sql(body, extra=""):
 
 
 def raw_events(spark, sf):
-    return fx.telemetry(spark, sf).selectExpr("seq", "received_at", f"{fx.TELEMETRY_BODY} AS body")
+    return fx.dealt(fx.telemetry(spark, sf)).selectExpr("seq", "received_at", f"{fx.TELEMETRY_BODY} AS body")
 
 
 def telemetry(spark, sf):

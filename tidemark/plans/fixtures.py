@@ -108,6 +108,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt over the shuffle partitions, at every size alike, before bodies are derived from them that are many
+    times their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id",
@@ -155,7 +161,7 @@ def payload_snapshots(spark: SparkSession, sf_dir: str, as_of: str) -> DataFrame
         {text('name', 'name')}, {text('symbol', 'symbol')}, '"id":"' || mint || '"',
         '"stats5m":{{' || concat_ws(',', {stats5m}) || '}}', '"stats1h":{{' || concat_ws(',', {stats1h}) || '}}',
         '"audit":{{' || concat_ws(',', {audit}) || '}}') || '}}'"""
-    return snapshots(spark, sf_dir, as_of).selectExpr("mint", "observed_at", f"parse_json({body}) AS payload")
+    return dealt(snapshots(spark, sf_dir, as_of)).selectExpr("mint", "observed_at", f"parse_json({body}) AS payload")
 
 
 def lifecycle_rows(spark: SparkSession, sf_dir: str, as_of: str) -> DataFrame:
@@ -276,7 +282,7 @@ def iso_text(column) -> F.Column:
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a source version polled one to three times, five seconds apart."""
-    repeated = events_k(spark, sf_dir).withColumn("r", F.explode(F.expr("sequence(0, CAST(event_id % 3 AS INT))")))
+    repeated = dealt(events_k(spark, sf_dir)).withColumn("r", F.explode(F.expr("sequence(0, CAST(event_id % 3 AS INT))")))
     payload = """parse_json('{' || concat_ws(',', '"id":"' || mint || '"', '"updatedAt":"' || updated_at || '"',
         '"name":"polled ' || CAST(user_id AS STRING) || '"', '"symbol":"S' || CAST(event_id % 7 AS STRING) || '"',
         '"decimals":' || CAST(event_id % 9 AS STRING), '"tokenProgram":"prog"',
@@ -414,7 +420,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     risks = """transform(filter(sequence(0, CAST(o_orderkey % 4 AS INT)), i -> i > 0), i -> named_struct(
         'name', CASE WHEN i <> 3 THEN 'R' || CAST(i AS STRING) END, 'score', CASE WHEN i <> 3 THEN i * 10 END, 'other', i))"""
     return (
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+        dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
         .selectExpr("*", "CAST(o_orderkey % 25 AS INT) AS n_holders", "'A' || CAST(o_custkey % 50 AS STRING) AS creator")
         .selectExpr("*", f"{holders} AS holders", f"{markets} AS markets", f"{accounts} AS accounts", f"{risks} AS risks")
         .selectExpr("o_orderkey AS report_id", f"parse_json({body}) AS report")

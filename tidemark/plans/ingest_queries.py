@@ -27,7 +27,7 @@ MESSAGE_BODY = f"""'{{"mint":' || CASE WHEN event_type = 'error' THEN CAST(event
 def raw(spark, sf, table, body):
     frame = fx.events_k(spark, sf) if table == "events" else fx.table(spark, sf, table)
     used = ["event_id", "event_type", "user_id"] if table == "events" else ["l_partkey", "l_suppkey", "l_returnflag"]
-    return frame.select(*used).selectExpr(f"{body} AS body")
+    return fx.dealt(frame.select(*used)).selectExpr(f"{body} AS body")
 
 
 def sources(spark, sf):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidemark import schemas
 from tidemark.config import RETENTION_HOURS
+from tidemark.sources import files
 
 #: Commits after which registry and cursors are written whole again.
 FOLD_EVERY = 200
@@ -139,28 +140,16 @@ def write_snapshots(spark: SparkSession, root: str, rows: DataFrame, commit: int
     return spark.read.schema(_stored_schema("snapshots")).parquet(at).where(F.col("commit") == commit).drop("hour", "commit")
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _hours(spark: SparkSession, root: str) -> list[tuple[str, object]]:
-    system, where = _files(spark, _path(root, "snapshots"))
-    found = [s.getPath() for s in system.listStatus(where)] if system.exists(where) else []
-    return [(p.getName().removeprefix("hour="), p) for p in found if p.getName().startswith("hour=")]
+def _hours(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    return files.partitions(spark, _path(root, "snapshots"), "hour")
 
 
 def _forget(spark: SparkSession, root: str, commit: int) -> None:
     """Remove history rows that an attempt at this commit left without reaching the log."""
     if commit <= head(spark, root).commit:
         raise ValueError(f"commit {commit} is in the log already")
-    jvm = spark.sparkContext._jvm
     for _, hour in _hours(spark, root):
-        left = jvm.org.apache.hadoop.fs.Path(hour, f"commit={commit}")
-        system = left.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if system.exists(left):
-            system.delete(left, True)
+        files.remove(spark, f"{hour}/commit={commit}")
 
 
 def commit_state(
@@ -206,11 +195,8 @@ def retain(spark: SparkSession, root: str, as_of: datetime, hours: float = RETEN
     if at.retained_from is None or cutoff.astimezone(timezone.utc) > at.retained_from.astimezone(timezone.utc):
         entry = (at.commit + 1, "retention", at.commit + 1, max(at.base, 0), None, cutoff)
         spark.createDataFrame([entry], COMMITS).coalesce(1).write.mode("append").parquet(_path(root, "commits"))
-    system, _ = _files(spark, _path(root, "snapshots"))
     old = [path for hour, path in _hours(spark, root) if hour.isdigit() and hour < hour_of(cutoff)]
-    for path in old:
-        system.delete(path, True)
-    return len(old)
+    return sum(files.remove(spark, path) for path in old)
 
 
 def compact(spark: SparkSession, root: str, target: str | None = None, as_of=None, hours: float = RETENTION_HOURS) -> None:
