@@ -93,3 +93,16 @@ def test_no_cross_join_or_python_worker(spark, name):
     text = plan(QUERIES[name][0](spark, SF))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython", "InPandas"):
         assert word not in text
+
+
+@pytest.mark.parametrize("name, most", [("cycle_summary", 4), ("advance_cursor", 5), ("append_snapshots", 7)])
+def test_scans_of_one_pass(spark, name, most):
+    """Evidence, outcome and what follows from it are worked out once."""
+    text = plan(QUERIES[name][0](spark, SF))
+    assert text.count("FileScan") <= most
+
+
+def test_one_path_for_all_sizes(spark):
+    """Derived inputs are dealt out by the session's setting, never by the size of the table."""
+    rows = spark.range(3)
+    assert f"RoundRobinPartitioning({spark.conf.get('spark.sql.shuffle.partitions')})" in plan(fx.dealt(rows))
