@@ -100,11 +100,5 @@ def move_flags(diff: DataFrame) -> DataFrame:
 
 
 def unit_hash(key: Column) -> Column:
-    """Stable number in 0..1 per text: 32-bit FNV-1a over its characters."""
-    codes = F.transform(F.split(key, ""), lambda c: F.ascii(c).cast("bigint"))
-    mixed = F.aggregate(
-        F.filter(codes, lambda c: c > 0),
-        F.lit(2166136261).cast("bigint"),
-        lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)),
-    )
-    return mixed / F.lit(4294967295.0)
+    """Stable number in 0..1 per text, the same in every engine: the leading 32 bits of its MD5."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)

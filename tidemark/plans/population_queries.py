@@ -377,6 +377,5 @@ QUERIES = {
         sqrt((sum(pi() * pow(coalesce(size, 4) + 5, 2)) + pi() * 46 * 46) / (pi() * CAST(0.64 AS DOUBLE))) + 30), 4) AS radius FROM sized GROUP BY launchpad""", extra=SCORED)),
     "move_flags": (q_move_flags, pop_sql("""SELECT mint, round(m, 6) AS move, abs(m) >= CAST(0.03 AS DOUBLE) AS visible, abs(m) >= CAST(0.1 AS DOUBLE) AS strong, CAST(sign(m) AS BIGINT) AS direction
         FROM (SELECT mint, (c_mcap - p_mcap) / p_mcap AS m FROM diff WHERE type = 'token_updated' AND c_mcap > 0 AND p_mcap > 0)""", DIFF)),
-    "unit_hash": (q_unit_hash, fx.with_ctes(("tok",), """SELECT mint, round(list_reduce([CAST(2166136261 AS BIGINT)] || list_transform(string_split(mint, ''), lambda c: CAST(ascii(c) AS BIGINT)),
-        lambda h, c: (xor(h, c) * 16777619) & 4294967295) / CAST(4294967295 AS DOUBLE), 9) AS unit FROM tok""")),
+    "unit_hash": (q_unit_hash, fx.with_ctes(("tok",), "SELECT mint, round(CAST('0x' || substr(md5(mint), 1, 8) AS BIGINT) / CAST(4294967295 AS DOUBLE), 9) AS unit FROM tok")),
 }
