@@ -7,7 +7,7 @@ ROOT = pathlib.Path(__file__).resolve().parents[2]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, fp long, ids string, start int, block string, n_words long, _id int"
 
 
-@pytest.fixture(autouse=True)
+@pytest.fixture(autouse=True, scope="session")
 def workers_see_package(spark, tmp_path_factory):
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(ROOT))
     if spark.sparkContext.getCheckpointDir() is None:
