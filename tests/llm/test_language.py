@@ -31,7 +31,7 @@ def test_bounds_keep_the_most_frequent(docs):
 
 
 def test_words_come_first_and_unseen_ones_fall_back():
-    model = language.Model(["a", "b"], {"see": np.array([-1.0, -9.0], np.float32)}, [{"z": np.array([-1.0, -2.0], np.float32)}, {"q>": np.array([-5.0, -1.0], np.float32)}, {}, {}])
+    model = language.Model.of(["a", "b"], {"see": np.array([-1.0, -9.0], np.float32)}, [{"z": np.array([-1.0, -2.0], np.float32)}, {"q>": np.array([-5.0, -1.0], np.float32)}, {}, {}])
     scorer = language.Scorer(model)
     assert scorer.predict(b"See")[0] == "a"  # a known word, its n-grams unread
     assert scorer.predict(b"zq")[0] == "b"  # two characters before one
@@ -42,7 +42,7 @@ def test_words_come_first_and_unseen_ones_fall_back():
 def test_forgotten_words_are_still_added(monkeypatch):
     monkeypatch.setattr(language, "MEMO_WORDS", 3)
     grams = [{c: np.array([-1.0, -3.0], np.float32) for c in "abcdefgh"}, {}, {}, {}]
-    small = language.Scorer(language.Model(["a", "b"], {}, grams))
+    small = language.Scorer(language.Model.of(["a", "b"], {}, grams))
     assert small.predict(b"a b c d e f g h " * 3)[0] == "a"
 
 

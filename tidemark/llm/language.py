@@ -27,9 +27,9 @@ GRAMS = 40_000
 LONGEST = 4
 UNKNOWN = "und"
 FOLDS = 5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 #: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 300_000
+HELD_WORDS = 250_000
 SMOOTH = 0.5
 #: Words that count fully towards the certainty of a score.
 CERTAIN_WORDS = 24
@@ -44,11 +44,6 @@ def words_of(text: bytes | None) -> list[str]:
     return _WORD.findall((text or b"").decode().lower())
 
 
-def grams(word: str, n: int) -> list[str]:
-    padded = f"<{word}>" if n > 1 else word
-    return [padded[k : k + n] for k in range(len(padded) - n + 1)]
-
-
 def counts(docs: DataFrame, learns: Callable[[int | None], bool] = lambda i: not held_out(i), longest: int = LONGEST) -> DataFrame:
     """(lang, size, gram, n) over all learning rows; size 0 is a whole word, else the length of the n-gram."""
 
@@ -95,9 +90,21 @@ def counts(docs: DataFrame, learns: Callable[[int | None], bool] = lambda i: not
 
 @dataclass
 class Model:
+    """Log frequencies by language: a row of a matrix for every known word, and for every n-gram of each length."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]  # log frequency by language
-    grams: list[dict[str, np.ndarray]]  # by length
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: list[dict[str, int]]
+    gram_rows: list[np.ndarray]
+
+    @classmethod
+    def of(cls, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]) -> Model:
+        def matrix(rows: dict[str, np.ndarray]) -> np.ndarray:
+            return np.array(list(rows.values()), np.float32).reshape(-1, max(1, len(languages)))
+
+        number = lambda rows: {name: k for k, name in enumerate(rows)}
+        return cls(languages, number(words), matrix(words), [number(g) for g in grams], [matrix(g) for g in grams])
 
 
 def train(docs: DataFrame, words: int = WORDS, n_grams: int = GRAMS, longest: int = LONGEST, **options) -> Model:
@@ -122,7 +129,7 @@ def train(docs: DataFrame, words: int = WORDS, n_grams: int = GRAMS, longest: in
             least.append((lang, size, floor))
     languages = sorted({lang for lang, _ in by_kind})
     if not least:
-        return Model([], {}, [{} for _ in range(longest)])
+        return Model.of([], {}, [{} for _ in range(longest)])
     wanted = F.lit(False)
     for lang, size, floor in least:
         wanted |= (F.col("lang") == lang) & (F.col("size") == size) & (F.col("n") >= floor)
@@ -139,46 +146,51 @@ def train(docs: DataFrame, words: int = WORDS, n_grams: int = GRAMS, longest: in
         every = np.log([totals.get((lang, size), 0) + SMOOTH * (types.get((lang, size), 0) + 1) for lang in languages])
         for gram, row in found.items():
             found[gram] = (np.log(row + SMOOTH) - every).astype(np.float32)
-    return Model(languages, tables[0], tables[1:])
+    return Model.of(languages, tables[0], tables[1:])
 
 
 class Scorer:
-    """Scores of words by language; fallbacks are remembered up to a bound."""
+    """Scores of words by language; fallbacks are remembered up to a bound, for one task."""
 
     def __init__(self, model: Model):
         self.model, self.width, self.fixed = model, len(model.languages), len(model.words)
-        self.rows = np.zeros((self.fixed + MEMO_WORDS, max(1, self.width)), np.float32)
-        for k, row in enumerate(model.words.values()):
-            self.rows[k] = row
-        self.gram_at = [{gram: k for k, gram in enumerate(table)} for table in model.grams]
-        self.gram_rows = [np.array(list(table.values()), np.float32).reshape(-1, max(1, self.width)) for table in model.grams]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at = {word: k for k, word in enumerate(self.model.words)}
-
-    def _fall_back(self, word: str) -> int:
-        at = self.at[word] = len(self.at)
-        self.rows[at] = 0
-        for n in range(len(self.gram_at), 0, -1):
-            found = [k for k in map(self.gram_at[n - 1].get, grams(word, n)) if k is not None]
-            if found:
-                np.add.reduce(self.gram_rows[n - 1][found], axis=0, out=self.rows[at])
-                self.rows[at] /= len(found)
-                break
-        return at
+        self.rows = np.concatenate([model.word_rows, np.zeros((MEMO_WORDS, model.word_rows.shape[1]), np.float32)])
+        self.memo: dict[str, int] = {}
+
+    def _fall_back(self, words: list[str]) -> None:
+        """Rows of words that are not known: the mean over their longest n-grams that are, or nothing."""
+        for n in range(len(self.model.grams), 0, -1):
+            known, named, found, sizes, left = self.model.grams[n - 1].get, [], [], [], []
+            for word in words:
+                padded = f"<{word}>" if n > 1 else word
+                hits = [k for k in map(known, [padded[i : i + n] for i in range(len(padded) - n + 1)]) if k is not None]
+                if hits:
+                    named.append(word)
+                    found += hits
+                    sizes.append(len(hits))
+                else:
+                    left.append(word)
+            if named:
+                starts = np.cumsum(sizes) - sizes
+                at = self.fixed + len(self.memo)
+                self.rows[at : at + len(named)] = np.add.reduceat(self.model.gram_rows[n - 1][found], starts) / np.array(sizes, np.float32)[:, None]
+                self.memo.update(zip(named, range(at, at + len(named))))
+            words = left
+        at = self.fixed + len(self.memo)
+        self.rows[at : at + len(words)] = 0
+        self.memo.update(zip(words, range(at, at + len(words))))
 
     def _total(self, words: list[str]) -> np.ndarray:
         """Sum over at most ``MEMO_WORDS`` words, so that all of them can be remembered at once."""
-        at = list(map(self.at.get, words))
+        at = list(map(self.model.words.get, words))
         if None in at:
-            unseen = {w for w, k in zip(words, at) if k is None}
-            if len(self.at) + len(unseen) > len(self.rows):
-                self._forget()
-                unseen = set(words).difference(self.at)
-            for word in unseen:
-                self._fall_back(word)
-            at = list(map(self.at.__getitem__, words))
+            unknown = {w for w, k in zip(words, at) if k is None}
+            unseen = unknown.difference(self.memo)
+            if len(self.memo) + len(unseen) > MEMO_WORDS:
+                self.memo, unseen = {}, unknown
+            self._fall_back(sorted(unseen))
+            memo = self.memo
+            at = [memo[w] if k is None else k for w, k in zip(words, at)]
         return self.rows[at].sum(axis=0, dtype=np.float64)
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
@@ -192,22 +204,12 @@ class Scorer:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-_LAST: list[Scorer] = []
-
-
-def scorer_of(model: Model) -> Scorer:
-    """The scorer of a model, kept by the worker process from one task to the next."""
-    if not _LAST or _LAST[0].model is not model:
-        _LAST[:] = [Scorer(model)]
-    return _LAST[0]
-
-
 def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; only the text decides."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Rows) -> Rows:
-        scorer = scorer_of(sent.value)
+        scorer = Scorer(sent.value)
         for ids, texts in id_text(batches):
             found = [scorer.predict(t) for t in texts]
             yield record(
@@ -230,7 +232,7 @@ def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     at = DOCUMENT_COLUMNS.index("text")
 
     def run(batches: Rows) -> Rows:
-        scorer = scorer_of(sent.value)
+        scorer = Scorer(sent.value)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
