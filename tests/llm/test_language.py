@@ -1,7 +1,11 @@
 """Language identification: held-out accuracy, fallback, odd rows."""
 
+import base64
+
 import numpy as np
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import language
 
 SF = "/root/testdata/sf0.01"
@@ -56,3 +60,21 @@ def test_odd_rows(odd, empty, docs):
     assert {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
     kept = language.identified(odd, model, 0.4)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == odd.count() - 3
+
+
+def test_texts_in_no_learnt_language_go(spark, docs, odd):
+    clean = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(7)
+    mash = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)) for n in (2, 5, 40)]
+    blob = base64.b64encode(rng.bytes(600)).decode()
+    bad = [(-k, t, None) for k, t in enumerate([*mash, blob, "съешь же ещё этих мягких булок", "今天天气怎么样", "γειά σου κόσμε"], 1)]
+    words = [w for (t,) in clean.filter("text is not null").select("text").limit(200).collect() for w in language.words_of(t.encode())[:3]]
+    short = [(10_000 + k, " ".join(words[k : k + 2]), None) for k in range(0, 400, 2)]
+    every = docs([*map(tuple, clean.collect()), *short, *bad])
+    stage = corpus_pipeline.language_id(spark, every, "")
+    kept = {r.doc_id for r in stage.select("doc_id").collect()}
+    lettered = {r.doc_id for r in clean.collect() if any(map(str.isalpha, r.text or ""))}
+    assert not kept & {i for i, _, _ in bad}
+    assert lettered <= kept and len(kept - lettered) == len(short)
+    # Nothing to learn from: letters decide.
+    assert corpus_pipeline.language_id(spark, odd.withColumn("lang", F.lit(None).cast("string")), "").count() == odd.count() - 3

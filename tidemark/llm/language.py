@@ -33,6 +33,13 @@ HELD_WORDS = 250_000
 SMOOTH = 0.5
 #: Words that count fully towards the certainty of a score.
 CERTAIN_WORDS = 24
+#: Lengths of the n-grams that tell whether a text is in a learnt language at all: letters for its script, three for its words.
+FIT_SIZES = (1, 3)
+#: Spreads below the mean of a language at which a long text no longer counts as one of it, and those added for one n-gram;
+#: the latter shrink with the root of their number.
+FIT_SPREADS = 2.0
+FIT_SHORT = 2.0
+LEAST_SPREAD = 0.1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -97,6 +104,24 @@ class Model:
     word_rows: np.ndarray
     grams: list[dict[str, int]]
     gram_rows: list[np.ndarray]
+    #: By size of FIT_SIZES, each by language: log frequency of n-grams that are not known; mean and spread over all that were learnt.
+    fit: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+
+    def fits(self, words: list[str]) -> np.ndarray:
+        """Per word and size of FIT_SIZES: spreads from the mean, summed over its n-grams, in the language where it fits best, so
+        that texts of several languages fit too; then the numbers of n-grams."""
+        sums, numbers = [], []
+        for n in FIT_SIZES:
+            known, at, sizes, other = self.grams[n - 1].get, [], [], len(self.gram_rows[n - 1])
+            least, mean, spread = self.fit[n]
+            rows = (np.concatenate([self.gram_rows[n - 1], least[None]]) - mean) / np.maximum(spread, LEAST_SPREAD)
+            for word in words:
+                padded = f"<{word}>" if n > 1 else word
+                at += [known(padded[i : i + n], other) for i in range(len(padded) - n + 1)]
+                sizes.append(len(padded) - n + 1)
+            sums.append(np.add.reduceat(rows[at], np.cumsum(sizes) - sizes).max(axis=1) if words else [])
+            numbers.append(sizes)
+        return np.array([*sums, *numbers], np.float32).T
 
     @classmethod
     def of(cls, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]) -> Model:
@@ -128,6 +153,7 @@ def train(docs: DataFrame, words: int = WORDS, n_grams: int = GRAMS, longest: in
         if floor is not None:
             least.append((lang, size, floor))
     languages = sorted({lang for lang, _ in by_kind})
+    floors, fit = {(lang, size): floor for lang, size, floor in least}, {}
     if not least:
         return Model.of([], {}, [{} for _ in range(longest)])
     wanted = F.lit(False)
@@ -146,19 +172,34 @@ def train(docs: DataFrame, words: int = WORDS, n_grams: int = GRAMS, longest: in
         every = np.log([totals.get((lang, size), 0) + SMOOTH * (types.get((lang, size), 0) + 1) for lang in languages])
         for gram, row in found.items():
             found[gram] = (np.log(row + SMOOTH) - every).astype(np.float32)
-    return Model.of(languages, tables[0], tables[1:])
+    for size in FIT_SIZES:
+        found = []
+        for lang in languages:
+            n, e = np.array(by_kind.get((lang, size), [(0, 1)]), float).T
+            every = np.log(totals.get((lang, size), 0) + SMOOTH * (types.get((lang, size), 0) + 1))
+            logs = np.log(np.where(n >= floors.get((lang, size), np.inf), n, 0) + SMOOTH) - every
+            share = n * e / max(1.0, (n * e).sum())
+            mean = (share * logs).sum()
+            found.append((np.log(SMOOTH) - every, mean, np.sqrt((share * (logs - mean) ** 2).sum())))
+        fit[size] = tuple(np.array(found, np.float32).T)
+    model = Model.of(languages, tables[0], tables[1:])
+    model.fit = fit
+    return model
 
 
 class Scorer:
     """Scores of words by language; fallbacks are remembered up to a bound, for one task."""
 
-    def __init__(self, model: Model):
-        self.model, self.width, self.fixed = model, len(model.languages), len(model.words)
-        self.rows = np.concatenate([model.word_rows, np.zeros((MEMO_WORDS, model.word_rows.shape[1]), np.float32)])
+    def __init__(self, model: Model, word_fits: np.ndarray | None = None):
+        """``word_fits``: ``model.fits`` of the known words; with it ``fits`` can be asked."""
+        self.model, self.width, self.fixed, self.with_fits = model, len(model.languages), len(model.words), word_fits is not None
+        known = np.concatenate([model.word_rows, word_fits], axis=1) if self.with_fits else model.word_rows
+        self.rows = np.concatenate([known, np.zeros((MEMO_WORDS, known.shape[1]), np.float32)])
         self.memo: dict[str, int] = {}
 
     def _fall_back(self, words: list[str]) -> None:
         """Rows of words that are not known: the mean over their longest n-grams that are, or nothing."""
+        every, width = words, self.model.word_rows.shape[1]
         for n in range(len(self.model.grams), 0, -1):
             known, named, found, sizes, left = self.model.grams[n - 1].get, [], [], [], []
             for word in words:
@@ -173,12 +214,14 @@ class Scorer:
             if named:
                 starts = np.cumsum(sizes) - sizes
                 at = self.fixed + len(self.memo)
-                self.rows[at : at + len(named)] = np.add.reduceat(self.model.gram_rows[n - 1][found], starts) / np.array(sizes, np.float32)[:, None]
+                self.rows[at : at + len(named), :width] = np.add.reduceat(self.model.gram_rows[n - 1][found], starts) / np.array(sizes, np.float32)[:, None]
                 self.memo.update(zip(named, range(at, at + len(named))))
             words = left
         at = self.fixed + len(self.memo)
         self.rows[at : at + len(words)] = 0
         self.memo.update(zip(words, range(at, at + len(words))))
+        if self.with_fits and every:
+            self.rows[[self.memo[w] for w in every], width:] = self.model.fits(every)
 
     def _total(self, words: list[str]) -> np.ndarray:
         """Sum over at most ``MEMO_WORDS`` words, so that all of them can be remembered at once."""
@@ -193,16 +236,34 @@ class Scorer:
             at = [memo[w] if k is None else k for w, k in zip(words, at)]
         return self.rows[at].sum(axis=0, dtype=np.float64)
 
-    def predict(self, text: bytes | None) -> tuple[str, float]:
+    def _totals(self, text: bytes | None) -> tuple[int, np.ndarray | None]:
+        """Number of words and sum of their rows; no sum without letters or languages."""
         words = words_of(text)
         if not self.width or not words or not any(map(str.isalpha, words)):
+            return 0, None
+        return len(words), sum(self._total(words[k : k + MEMO_WORDS]) for k in range(0, len(words), MEMO_WORDS))
+
+    def _best(self, n: int, total: np.ndarray | None) -> tuple[str, float]:
+        if total is None:
             return UNKNOWN, 0.0
-        total = sum(self._total(words[k : k + MEMO_WORDS]) for k in range(0, len(words), MEMO_WORDS))
-        sure = total * min(len(words), CERTAIN_WORDS) / len(words)
+        total = total[: self.width]
+        sure = total * min(n, CERTAIN_WORDS) / n
         odds = np.exp(sure - sure.max())
         best = int(total.argmax())
         return self.model.languages[best], float(odds[best] / odds.sum())
 
+    def predict(self, text: bytes | None) -> tuple[str, float]:
+        return self._best(*self._totals(text))
+
+    def fitting(self, text: bytes | None) -> tuple[str, float, bool]:
+        """Language and score, and whether the n-grams of the text are about as frequent as usual in learnt languages."""
+        n, total = self._totals(text)
+        if total is None:
+            return UNKNOWN, 0.0, False
+        sums, numbers = total[self.width :].reshape(2, -1)
+        fits = sums / numbers >= -(FIT_SPREADS + FIT_SHORT / np.sqrt(numbers))
+        return *self._best(n, total), bool(fits.all())
+
 
 def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; only the text decides."""
@@ -225,16 +286,27 @@ def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     return named.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """``documents`` whose language is recognised with at least this score, their columns unchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def identified(docs: DataFrame, model: Model, least: float, fitting: bool = False) -> DataFrame:
+    """``documents`` whose language is recognised with at least this score, their columns unchanged.
+
+    ``fitting``: texts that are like none of the learnt languages go too; where nothing was learnt, all with a letter stay.
+    """
+    fitting = fitting and bool(model.languages)
+    word_fits = model.fits(list(model.words)) if fitting else None
+    lettered = not model.languages
+    sent = docs.sparkSession.sparkContext.broadcast((model, word_fits))
     own = docs.select(*DOCUMENT_COLUMNS)
     at = DOCUMENT_COLUMNS.index("text")
 
+    def keeps(scorer: Scorer, text: bytes | None) -> bool:
+        if lettered:
+            return any(map(str.isalpha, words_of(text)))
+        lang, score, fits = scorer.fitting(text) if fitting else (*scorer.predict(text), True)
+        return lang != UNKNOWN and score >= least and fits
+
     def run(batches: Rows) -> Rows:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(*sent.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(at).cast(pa.binary())]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([keeps(scorer, t.as_py()) for t in batch.column(at).cast(pa.binary())], pa.bool_()))
 
     return own.mapInArrow(run, own.schema)
