@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, decontamination, html_labeller, language, pitman_yor, quality_rules, simhash, substrings, token_files, weak_labels
+from tidemark.llm import byte_bpe, collocations, decontamination, html_labeller, language, oracle, pitman_yor, quality_rules, simhash, substrings, token_files, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_labeller": (op1_html_labeller, None),
     "op2_weak_labels": (op2_weak_labels, None),
@@ -70,4 +74,5 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, None),
     "op9_language": (op9_language, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_collocations": (op11_collocations, oracle.COLLOCATIONS),
 }
