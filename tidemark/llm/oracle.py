@@ -30,3 +30,26 @@ FROM lowest JOIN totals USING (lang)
 WHERE NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = lowest.lang AND x.phrase = lowest.phrase AND 100 * x.a >= 50 * lowest.a)
 QUALIFY rank <= 2000
 """
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reached AS (
+  SELECT a, b FROM edges
+  UNION
+  SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b),
+roots AS (SELECT a AS doc_id, min(b) AS root FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.root, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN roots r USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, collocations, decontamination, html_labeller, language, oracle, pitman_yor, quality_rules, simhash, substrings, token_files, weak_labels
+from tidemark.llm import byte_bpe, collocations, decontamination, html_labeller, jaccard_join, language, oracle, pitman_yor, quality_rules, simhash, substrings, token_files, weak_labels, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_labeller": (op1_html_labeller, None),
     "op2_weak_labels": (op2_weak_labels, None),
@@ -75,4 +83,6 @@ QUERIES = {
     "op9_language": (op9_language, None),
     "op10_quality_rules": (op10_quality_rules, None),
     "op11_collocations": (op11_collocations, oracle.COLLOCATIONS),
+    "op12_whitening": (op12_whitening, None),
+    "op13_jaccard_join": (op13_jaccard_join, oracle.JACCARD_JOIN),
 }
