@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.config import RULES
-from tidemark.operators import evidence as ev, lifecycle as lc
+from tidemark.operators import evidence as ev, evidence_state as es, lifecycle as lc
 from tidemark.operators.telemetry import tick_series
 from tidemark.plans import fixtures as fx
 from tidemark.plans.common import CFG, tidy
@@ -129,13 +129,25 @@ def _rule(rule):
     return run
 
 
+EVIDENCE_COLUMNS = [
+    "mint", "latest_at", "checkpoint_at", "changes_in_window", "has_economic", "holder_at", "rule4_scanned",
+    "rule4_crossing", "rule5_scanned", "rule5_crossing", "latest_mcap", "latest_liquidity", "latest_holders", "checkpoint_mcap",
+    "checkpoint_liquidity", "checkpoint_holders",
+]
+
+
 def q_evidence(spark, sf):
-    columns = [
-        "mint", "latest_at", "checkpoint_at", "changes_in_window", "has_economic", "holder_at", "rule4_scanned",
-        "rule4_crossing", "rule5_scanned", "rule5_crossing", "latest_mcap", "latest_liquidity", "latest_holders", "checkpoint_mcap",
-        "checkpoint_liquidity", "checkpoint_holders",
-    ]
-    return tidy(_evidence(spark, sf, cursors=True).select(*columns))
+    return tidy(_evidence(spark, sf, cursors=True).select(*EVIDENCE_COLUMNS))
+
+
+def q_evidence_carried(spark, sf):
+    """The same evidence from the state of the older days, late rows that came after it, and the rows of the last days."""
+    registry, rows = inputs(spark, sf)
+    cursors, closed = fx.cursors(spark, sf), F.col("observed_at") < F.lit(fx.BEFORE).cast("timestamp")
+    late = F.pmod(F.xxhash64("mint", "observed_at"), F.lit(10)) == 0
+    state = es.fold(registry, rows.where(closed & ~late), CFG, cursors)
+    state = es.merge(state, es.fold(registry, rows.where(closed & late), CFG, cursors))
+    return tidy(es.carried(registry, state, rows.where(~closed), NOW, CFG, cursors).select(*EVIDENCE_COLUMNS))
 
 
 def _cycle(spark, sf):
@@ -233,6 +245,7 @@ QUERIES = {
     "source_state": (q_source_state, _sql("""SELECT mint, epoch_us(first_observed_at) AS first_observed_at_us,
         epoch_us(last_polled_at) AS last_polled_at_us, epoch_us(last_changed_at) AS last_changed_at_us FROM spread WHERE tracking_enabled""")),
     "evidence": (q_evidence, _sql(EVIDENCE_SQL, EXTRA + SCAN_ALL)),
+    "evidence_carried": (q_evidence_carried, _sql(EVIDENCE_SQL, EXTRA + SCAN_ALL)),
     **{
         f"{rule}_scan": (_scan(rule), _sql(f"""SELECT mint, rule_key, epoch_us(scanned_through) AS scanned_through_us,
         epoch_us(crossing_at) AS crossing_at_us FROM ({_scan_sql(rule, column, True)})"""))
