@@ -32,7 +32,11 @@ INSIDE = 50
 TOP = 2000
 UNKNOWN = "und"
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_TEXT = 6 << 20
+BLOCK_TEXT = 8 << 20
+#: Bits of a fingerprint that travel: phrases that share them are told apart by their text.
+KEPT_BITS = ((1 << 48) - 1) << 16
+#: Words whose bytes are hashed or compared at once.
+STEP = 1 << 17
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
@@ -81,27 +85,28 @@ class Words:
         inside = np.zeros(len(data) + 2, np.int8)
         inside[1:-1] = kind == 0
         turn = np.diff(inside)
-        start = np.flatnonzero(turn == 1)
-        return cls(start, np.flatnonzero(turn == -1), np.cumsum(kind == 2, dtype=np.int32)[start])
+        start, end = (np.flatnonzero(turn == way).astype(np.int32) for way in (1, -1))
+        return cls(start, end, np.cumsum(kind == 2, dtype=np.int32)[start])
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of all spans behind each other."""
-    begin = np.cumsum(size) - size
-    return data[np.arange(int(size.sum())) + np.repeat(start - begin, size)]
+    begin = np.cumsum(size, dtype=np.int32) - size
+    return data[np.arange(int(size.sum()), dtype=np.int32) + np.repeat(start - begin, size)]
 
 
 def word_ids(data: np.ndarray, words: Words, hashes: np.ndarray) -> np.ndarray:
     """A number for every word such that equal numbers mean equal bytes: hashes decide, the text is compared."""
     _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    first, ids = first.astype(np.int32), ids.astype(np.int32)
     size = words.end - words.start
     rep = first[ids]
     same = size == size[rep]
     check = np.flatnonzero(same & (rep != np.arange(len(rep))))
-    if len(check):
-        equal = _gathered(data, words.start[check], size[check]) == _gathered(data, words.start[rep[check]], size[check])
-        begin = np.cumsum(size[check]) - size[check]
-        same[check] = np.logical_and.reduceat(equal, begin)
+    for some in np.split(check, range(STEP, len(check), STEP)):
+        if len(some):
+            equal = _gathered(data, words.start[some], size[some]) == _gathered(data, words.start[rep[some]], size[some])
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(size[some]) - size[some])
     odd = np.flatnonzero(~same)
     if len(odd):
         known: dict[bytes, int] = {}
@@ -110,12 +115,21 @@ def word_ids(data: np.ndarray, words: Words, hashes: np.ndarray) -> np.ndarray:
     return ids
 
 
+def word_hashes(data: np.ndarray, words: Words, powers: Powers) -> np.ndarray:
+    out = np.empty(len(words.start), np.uint64)
+    for a in range(0, len(out), STEP):
+        start, end = words.start[a : a + STEP], words.end[a : a + STEP]
+        part = data[start[0] : end[-1]].astype(np.uint64)
+        out[a : a + STEP] = mixed(spans(part, powers, start - start[0], end - start[0]) + (end - start).astype(np.uint64))
+    return out
+
+
 def grouped(prints: np.ndarray, at: np.ndarray, ids: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, count, first word) of every different run of ``n`` words in a language, ascending by fingerprint."""
-    order = np.argsort(prints, kind="stable")
+    order = np.argsort(prints, kind="stable").astype(np.int32)
     prints, at = prints[order], at[order]
     first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.empty(0, np.int64)
-    count = np.diff(np.append(first, len(prints)))
+    count = np.diff(np.append(first, len(prints))).astype(np.int32)
     rep = np.repeat(at[first], count)
     same = code[at] == code[rep]
     for k in range(n):
@@ -165,7 +179,7 @@ class Block:
         names = sorted(set(self.langs))
         code = np.array([names.index(g) for g in self.langs], np.uint16)[doc]
         salt = np.array([xxh64_intdigest(g, 7) for g in names], np.uint64)[code]
-        hashes = mixed(spans(data.astype(np.uint64), byte_powers, words.start, words.end) + (words.end - words.start).astype(np.uint64)) & self.mask
+        hashes = word_hashes(data, words, byte_powers) & self.mask
         ids = word_ids(data, words, hashes)
         tagged = xxh64(text)
         tagged.update(b"\0".join(self.langs))
@@ -174,7 +188,7 @@ class Block:
 
         lists = []
         for n in range(1, self.max_words + 1):
-            at = np.arange(max(0, len(ids) - n + 1))
+            at = np.arange(max(0, len(ids) - n + 1), dtype=np.int32)
             at = at[words.piece[at] == words.piece[at + n - 1]]
             prints = mixed(spans(hashes, word_powers, at, at + n) + salt[at] + np.uint64(n)) & self.mask
             lists.append(grouped(prints, at, ids, code, n))
@@ -184,7 +198,7 @@ class Block:
             arrays = []
             for n, ((prints, count, at), cut) in enumerate(zip(lists, cuts)):
                 of = slice(cut[b], cut[b + 1])
-                where = (at[of] * self.max_words + n).astype(np.uint32 if len(ids) * self.max_words < 1 << 32 else np.uint64)
+                where = (at[of].astype(np.int64) * self.max_words + n).astype(np.uint32 if len(ids) * self.max_words < 1 << 32 else np.uint64)
                 arrays += [_planes(np.diff(prints[of], prepend=np.uint64(0))), _planes(count[of].astype(np.uint32)), where.dtype.str.encode(), _planes(where)]
             if any(len(a) for a in arrays[::4]):
                 parts.append(b)
@@ -283,7 +297,7 @@ def _texts(raw: bytes, copies: int, packs: list[bytes], max_words: int) -> Itera
                     yield pa.RecordBatch.from_arrays([lang, pa.array(n[some] + 1, pa.int32()), phrases, pa.array(count[a + some].astype(np.int64))], names=list(kinds))
 
 
-def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, mask: int = (1 << 64) - 1) -> DataFrame:
+def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, mask: int = KEPT_BITS) -> DataFrame:
     """(lang, words, phrase, n): all runs of up to ``max_words`` words with at least ``min_count`` occurrences in their language,
     and with ``words`` = 0 the number of all its words. ``mask`` cuts fingerprints short, to test that collisions are harmless."""
     buckets = partitions(docs.sparkSession)
