@@ -2,11 +2,13 @@
 
 import json
 import os
+import shutil
 import time
 from datetime import datetime, timedelta, timezone
 
+import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from tidemark import schemas
 from tidemark.config import RuleConfig
@@ -70,32 +72,20 @@ def test_stream_equals_batch_and_is_repeatable(spark, landed, tmp_path):
 
     polls = tables.read_polls(spark, landed)
     assert polls.count() == 7
-    whole = ingest_batch(polls, spark.createDataFrame([], schemas.REGISTRY), spark.createDataFrame([], schemas.SNAPSHOTS))
-    assert rows(whole.registry, "mint", "last_polled_at", "source_updated_at") == rows(
+    batch_form = ingest_batch(polls, spark.createDataFrame([], schemas.REGISTRY), spark.createDataFrame([], schemas.SNAPSHOTS))
+    assert rows(batch_form.registry, "mint", "last_polled_at", "source_updated_at") == rows(
         registry, "mint", "last_polled_at", "source_updated_at"
     )
 
     # Repeating the last batch changes nothing.
-    last = tables.head(spark, root).commit
+    before = whole(spark, root)
     batch = tables.read_polls(spark, landed + "/c.json")
-    before = rows(registry, "mint", "last_polled_at", "last_changed_at")
-    assert collector.process_batch(spark, root, batch, 2, writer=checkpoint) == tables.commit_of(spark, root, checkpoint, 2)
-    assert tables.head(spark, root).commit == last
-    assert rows(tables.read_registry(spark, root), "mint", "last_polled_at", "last_changed_at") == before
-    assert tables.read_snapshots(spark, root).count() == 4
-    assert spark.read.parquet(root + "/commits").where("batch IS NOT NULL AND writer <> 'retention'").count() == 3
+    collector.process_batch(spark, root, batch, 2, writer=str(query.id))
+    assert whole(spark, root) == before
 
     some = spark.createDataFrame([("A",), ("D",), ("unknown",)], "mint string")
     assert rows(tables.read_registry(spark, root, keys=some), "mint") == [("A",), ("D",)]
 
-    trimmed = str(tmp_path / "trimmed")
-    tables.compact(spark, root, trimmed, as_of=T0 + timedelta(seconds=20 + 3600), hours=1)
-    assert rows(tables.read_snapshots(spark, trimmed), "mint", micros("observed_at")) == [("A", 20.0), ("D", 30.0)]
-
-    target = str(tmp_path / "compacted")
-    tables.compact(spark, root, target)
-    assert rows(tables.read_registry(spark, target), "mint", "last_polled_at", "last_changed_at") == before
-
 
 def test_cycle_retires_and_moves_cursors(spark, landed, tmp_path):
     root = str(tmp_path / "state")
@@ -124,17 +114,15 @@ def keys_of(spark, root):
     return [r[0] for r in rows(tables.read_registry(spark, root), "mint")]
 
 
-@pytest.mark.parametrize("compacted", [None, "in place", "elsewhere"])
-def test_fresh_checkpoint_on_a_filled_root(spark, landed, tmp_path, compacted):
+def slots(root):
+    return sorted(f"{name}/{d}" for name in tables.STATE for d in os.listdir(f"{root}/{name}"))
+
+
+def test_fresh_checkpoint_on_a_filled_root(spark, landed, tmp_path):
     """A second stream with a checkpoint of its own numbers its batches from zero again; nothing stored is lost."""
     root = str(tmp_path / "state")
     tables.init_tables(spark, root)
     collector.process_batch(spark, root, tables.read_polls(spark, landed + "/a.json"))
-    if compacted == "in place":
-        tables.compact(spark, root)
-    elif compacted == "elsewhere":
-        tables.compact(spark, root, str(tmp_path / "other"))
-        root = str(tmp_path / "other")
     assert keys_of(spark, root) == ["A", "B"]
     late = str(tmp_path / "late")
     os.mkdir(late)
@@ -147,46 +135,92 @@ def test_fresh_checkpoint_on_a_filled_root(spark, landed, tmp_path, compacted):
 
 
 @pytest.mark.parametrize("cycle", [False, True])
-def test_replay_after_commit_changes_nothing(spark, landed, tmp_path, cycle):
+def test_repeated_batch_changes_nothing(spark, landed, tmp_path, cycle):
     root = str(tmp_path / "state")
     tables.init_tables(spark, root)
     cfg = RuleConfig(observation_s=1, collapse_grace_s=0)
     first, second = (tables.read_polls(spark, f"{landed}/{n}.json") for n in "ab")
     collector.process_batch(spark, root, first, 0, writer="w")
-    at = T0 + timedelta(seconds=21)
-    done = collector.process_batch(spark, root, second, 1, at if cycle else None, cfg, "w")
-    before, files = whole(spark, root), sorted(p for d, _, names in os.walk(root) for p in (os.path.join(d, n) for n in names))
-    # The other way round: a batch that ran without a cycle is offered again with one.
-    assert collector.process_batch(spark, root, second, 1, None if cycle else at, cfg, "w") == done
-    assert whole(spark, root) == before
-    assert sorted(p for d, _, names in os.walk(root) for p in (os.path.join(d, n) for n in names)) == files
-    assert (tables.head(spark, root).cycle_at is not None) == cycle
+    at = T0 + timedelta(seconds=21) if cycle else None
+    done = collector.process_batch(spark, root, second, 1, at, cfg, "w")
+    before, places = whole(spark, root), slots(root)
+    assert collector.process_batch(spark, root, second, 1, at, cfg, "w") == done
+    assert whole(spark, root) == before and slots(root) == places
+    assert (tables.clock(spark, root).cycle_at is not None) == cycle
 
 
-def test_failed_attempt_is_overwritten(spark, landed, tmp_path):
-    root = str(tmp_path / "state")
-    tables.init_tables(spark, root)
-    polls = tables.read_polls(spark, landed + "/a.json")
-    number = tables.head(spark, root).commit + 1
-    tables.write_snapshots(spark, root, tables.read_snapshots(spark, root).unionByName(
-        spark.createDataFrame([("lost", T0)], "mint string, observed_at timestamp").withColumn("payload", F.parse_json(F.lit("{}")))), number)
-    assert tables.read_snapshots(spark, root).count() == 0
-    assert collector.process_batch(spark, root, polls) == number
-    assert rows(tables.read_snapshots(spark, root), "mint") == [("A",), ("B",)]
-    with pytest.raises(ValueError, match="in the log"):
-        tables.write_snapshots(spark, root, tables.read_snapshots(spark, root), number)
-
-
-def test_state_is_folded_in_place(spark, landed, tmp_path, monkeypatch):
+def test_attempts_that_failed_half_way_are_completed(spark, landed, tmp_path, monkeypatch):
+    root, straight = str(tmp_path / "state"), str(tmp_path / "straight")
+    cfg, at = RuleConfig(observation_s=1, collapse_grace_s=0), T0 + timedelta(seconds=21)
+    first, second = (tables.read_polls(spark, f"{landed}/{n}.json") for n in "ab")
+    for where in (root, straight):
+        tables.init_tables(spark, where)
+        collector.process_batch(spark, where, first, 0, writer="w")
+    collector.process_batch(spark, straight, second, 1, at, cfg, "w")
+    write = DataFrameWriter.parquet
+    for good in (1, 2):  # the writer dies after so many of its tables
+        done = []
+
+        def dying(self, path, *args, **kw):
+            if len(done) >= good:
+                raise RuntimeError("lost")
+            done.append(path)
+            return write(self, path, *args, **kw)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(DataFrameWriter, "parquet", dying)
+            with pytest.raises(RuntimeError, match="lost"):
+                collector.process_batch(spark, root, second, 1, at, cfg, "w")
+    collector.process_batch(spark, root, second, 1, at, cfg, "w")
+    assert whole(spark, root) == whole(spark, straight)
+
+
+def test_ring_and_bases_keep_every_row(spark, landed, tmp_path, monkeypatch):
+    """More batches than slots: the oldest rows survive in the bases and the number of directories is bounded."""
+    monkeypatch.setattr(tables, "SLOTS", 4)
     monkeypatch.setattr(tables, "FOLD_EVERY", 2)
     root = str(tmp_path / "state")
     tables.init_tables(spark, root)
     for name in "abc":
         collector.process_batch(spark, root, tables.read_polls(spark, f"{landed}/{name}.json"))
-    assert tables.head(spark, root).base > 0
-    assert keys_of(spark, root) == ["A", "B", "D"]
-    assert collector.admit_candidates(spark, root, spark.createDataFrame([("A",), ("new",), ("new",), (None,)], "mint string")) == 3
-    assert keys_of(spark, root) == ["A", "B", "D", "new"]
+    for k in range(8):
+        collector.admit_candidates(spark, root, spark.createDataFrame([("A",), (f"n{k}",), (f"n{k}",), (None,)], "mint string"))
+    assert keys_of(spark, root) == ["A", "B", "D", *(f"n{k}" for k in range(8))]
+    assert len(os.listdir(root + "/registry")) <= 1 + 4 + 2 + 1
+    assert rows(tables.read_registry(spark, root).where("mint = 'A'"), micros("last_polled_at")) == [(30.0,)]
+
+
+def test_cycles_from_carried_evidence(spark, tmp_path):
+    """Cycles start from the folded hours and read the open ones only; a row that comes hours late still counts."""
+    cfg = RuleConfig(observation_s=60, collapse_grace_s=600)
+    hour = 3600
+    batches = [
+        [(10, token("A", 10, mcap=9000, liquidity=9000, holderCount=900)), (20, token("B", 20, mcap=9000, liquidity=9000, holderCount=900))],
+        [(hour, token("A", hour, mcap=8000, liquidity=8000, holderCount=900)), (hour + 5, token("C", hour, mcap=9000, liquidity=9000, holderCount=900))],
+        [(3 * hour, token("A", 3 * hour, mcap=7000, liquidity=7000, holderCount=900))],
+        [(1200, token("B", 1200, mcap=100, liquidity=9000, holderCount=900)), (4 * hour, token("C", 4 * hour, mcap=6000, liquidity=6000, holderCount=9))],  # B: hours late
+        [(5 * hour, token("A", 5 * hour, mcap=7000, liquidity=500, holderCount=900))],
+    ]
+
+    root = str(tmp_path / "state")
+    tables.init_tables(spark, root)
+    for number, batch in enumerate(batches):
+        source = str(tmp_path / str(number))
+        os.makedirs(source)
+        land(source, "x.json", [response(10 * number + k, at, t) for k, (at, t) in enumerate(batch)], time.time())
+        now = T0 + timedelta(seconds=max(at for at, _ in batch) + 5)
+        collector.process_batch(spark, root, tables.read_polls(spark, source), number, now, cfg, "w")
+    assert rows(tables.read_registry(spark, root), "mint", "disabled_reason", micros("disabled_at")) == [
+        ("A", "liquidity_below_1000", 5 * hour + 5.0), ("B", "mcap_collapse_below_2000", 4 * hour + 5.0), ("C", None, None)
+    ]
+    cursors = rows(tables.read_rule_state(spark, root), "mint", "rule_key", micros("scanned_through"))
+    assert cursors == [("A", "rule4", 3.0 * hour), ("A", "rule5", 3.0 * hour), ("B", "rule4", 1200.0), ("C", "rule4", 4.0 * hour), ("C", "rule5", 4.0 * hour)]
+    closed = tables.clock(spark, root).closed_until
+    assert closed.astimezone(timezone.utc) == T0 + timedelta(hours=4)
+    text = tables.read_measures(spark, root, since=closed)._jdf.queryExecution().executedPlan().toString()
+    assert "hour" in text.split("PartitionFilters")[1][:200] and "payload" not in text.split("ReadSchema")[1]
+    files = {os.path.basename(os.path.dirname(f)) for f in tables.read_measures(spark, root, since=closed).select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert files == {"hour=2024050104", "hour=2024050105"}
 
 
 def test_retention_while_the_stream_runs(spark, tmp_path):
@@ -202,7 +236,8 @@ def test_retention_while_the_stream_runs(spark, tmp_path):
     # 5.5 h minus 4 h: the first two polls are gone, and so is the hour that held them.
     kept = rows(tables.read_snapshots(spark, root), "mint", micros("observed_at"))
     assert kept == [("A", 10800.0), ("A", 19800.0), ("K2", 10800.0), ("K3", 19800.0)]
-    assert "hour=2024050100" not in os.listdir(root + "/snapshots")
+    assert not [f for f in os.listdir(root + "/snapshots/hour=2024050100") if f.startswith("part-") and pq.read_metadata(f"{root}/snapshots/hour=2024050100/{f}").num_rows]
+    assert tables.retain(spark, root, T0 + timedelta(hours=5.5), 4) == 0
     assert keys_of(spark, root) == ["A", "K0", "K1", "K2", "K3"]
     plan = tables.read_snapshots(spark, root, T0 + timedelta(hours=5), T0 + timedelta(hours=6))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "hour" in plan.split("PartitionFilters")[1][:200]

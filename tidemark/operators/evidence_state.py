@@ -12,7 +12,7 @@ the next crossing is unknown. They are folded anew from their history, before an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.config import RuleConfig
 from tidemark.functions.coerce import instant, seconds
@@ -28,10 +28,17 @@ NEWEST = {
 }
 EARLIEST = ("economic_at", *(f"{rule}_crossing" for rule in ev.SCANS))
 COLUMNS = ("mint", *FACTS, *(c for at, values in NEWEST.items() for c in (at, *values)), "changes_in_window", *EARLIEST)
-SCHEMA = ", ".join(
-    f"{c} {'string' if c == 'mint' else 'long' if c == 'changes_in_window' else 'timestamp' if c.endswith(('_at', '_crossing')) else 'double'}"
-    for c in COLUMNS
-)
+
+
+def _type(column: str) -> T.DataType:
+    if column == "mint":
+        return T.StringType()
+    if column == "changes_in_window":
+        return T.LongType()
+    return T.TimestampType() if column.endswith(("_at", "_crossing")) else T.DoubleType()
+
+
+SCHEMA = T.StructType([T.StructField(c, _type(c)) for c in COLUMNS])
 
 
 def _marks(registry: DataFrame, cursors: DataFrame | None) -> DataFrame:

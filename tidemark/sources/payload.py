@@ -17,19 +17,21 @@ from tidemark.functions.coerce import (
 )
 
 
-def lifecycle_view(snapshots: DataFrame) -> DataFrame:
-    """Measures the retirement rules read."""
+def lifecycle_columns() -> list[Column]:
     payload = F.col("payload")
-    return snapshots.select(
-        "mint",
-        "observed_at",
+    return [
         rule_measure(payload, "$.mcap").alias("mcap"),
         rule_measure(payload, "$.liquidity").alias("liquidity"),
         rule_measure(payload, "$.holderCount").alias("holders"),
         (not_blank(text_of(payload, "$.mcap")) | not_blank(text_of(payload, "$.liquidity"))).alias("has_economic"),
         measure(payload, "$.mcap").alias("scan_mcap"),
         measure(payload, "$.liquidity").alias("scan_liquidity"),
-    )
+    ]
+
+
+def lifecycle_view(snapshots: DataFrame) -> DataFrame:
+    """Measures the retirement rules read."""
+    return snapshots.select("mint", "observed_at", *lifecycle_columns())
 
 
 def sum_if_any(left: Column, right: Column) -> Column:
@@ -38,17 +40,14 @@ def sum_if_any(left: Column, right: Column) -> Column:
     return F.when(left.isNotNull() | right.isNotNull(), F.coalesce(left, zero) + F.coalesce(right, zero))
 
 
-def current_view(snapshots: DataFrame) -> DataFrame:
-    """Fields of the current projection. Text that is no number becomes NULL instead of failing the query."""
+def current_columns() -> list[Column]:
     payload = F.col("payload")
     buys = integer_measure(payload, "$.stats5m.numBuys")
     sells = integer_measure(payload, "$.stats5m.numSells")
     buy_volume = measure(payload, "$.stats5m.buyVolume")
     sell_volume = measure(payload, "$.stats5m.sellVolume")
     launchpad = text_of(payload, "$.launchpad")
-    return snapshots.select(
-        "mint",
-        "observed_at",
+    return [
         text_of(payload, "$.name").alias("name"),
         text_of(payload, "$.symbol").alias("symbol"),
         F.when(launchpad != "", launchpad).alias("launchpad"),
@@ -60,7 +59,12 @@ def current_view(snapshots: DataFrame) -> DataFrame:
         buy_volume.alias("buy_volume_5m"),
         sell_volume.alias("sell_volume_5m"),
         sum_if_any(buy_volume, sell_volume).alias("volume_5m"),
-    )
+    ]
+
+
+def current_view(snapshots: DataFrame) -> DataFrame:
+    """Fields of the current projection. Text that is no number becomes NULL instead of failing the query."""
+    return snapshots.select("mint", "observed_at", *current_columns())
 
 
 def snake_case(key: Column) -> Column:

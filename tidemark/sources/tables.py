@@ -1,111 +1,175 @@
 """Reading and writing the stored tables.
 
-A root holds the tables and a log of commits. The store numbers its commits itself, so any number of streams, each with a
-checkpoint of its own, can follow one another on one root; the log remembers which writer's batch a commit was, and a batch
-that is committed already is never written again. One writer works on a root at a time.
-
-Registry and cursors are kept as the rows each commit changed (``commit=<n>`` directories); the current state is the newest
-committed row per key. Every ``FOLD_EVERY`` commits the whole state is written instead, and readers start there. Snapshots
-are append-only, partitioned by the hour they were observed in, so that reads of a time range and retention touch their
-hours only. A commit counts once its log entry exists, which is written last: outputs become visible together, and what a
-failed attempt left behind is overwritten by the next one, which gets the same number.
+History is appended below ``snapshots/hour=<hour>``, at most once per key and instant, with the typed columns that rules and
+projection read next to the payload. State tables (registry, cursors, carried evidence) hold changed rows: a batch writes its
+rows as one slot of a ring of ``SLOTS`` directories, and the current state is the newest row per key by ``seq``, which is one
+more than any number stored before. Every ``FOLD_EVERY`` batches the whole state goes to one of two base slots in turn, so a
+slot of the ring holds nothing new when its turn comes again, and the number of directories stays the same for ever.
+
+Exactly-once rests on Structured Streaming and on writes that may be repeated: the checkpoint repeats at most the newest
+batch of a query, rows carry the query and batch they are of, a batch looks past its own rows and overwrites its own slot,
+and history rows that are stored already are not appended again. One query writes to a root at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schemas
 from tidemark.config import RETENTION_HOURS
-from tidemark.sources import files
+from tidemark.operators import evidence_state as es
+from tidemark.sources.payload import current_columns, lifecycle_columns
 
-#: Commits after which registry and cursors are written whole again.
-FOLD_EVERY = 200
-STATE = ("registry", "rule_state")
-
-COMMITS = T.StructType(
+SLOTS, FOLD_EVERY = 64, 32
+TAGS = T.StructType(
     [
-        T.StructField("commit", T.LongType()),
-        T.StructField("writer", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("query", T.StringType()),
         T.StructField("batch", T.LongType()),
-        T.StructField("base", T.LongType()),
         T.StructField("cycle_at", T.TimestampType()),
-        T.StructField("retained_from", T.TimestampType()),
+        T.StructField("closed_until", T.TimestampType()),
     ]
 )
+STATE = {
+    "registry": (schemas.REGISTRY, ["mint"]),
+    "rule_state": (schemas.RULE_STATE, ["mint", "rule_key"]),
+    "evidence": (es.SCHEMA, ["mint"]),
+}
+
+
+@dataclass(frozen=True)
+class Tag:
+    """A batch of a query. A batch without a number is a query of its own."""
+
+    query: str
+    batch: int
+
+    @classmethod
+    def of(cls, query: str, batch: int | None = None) -> Tag:
+        return cls(f"{query}-{uuid.uuid4().hex}", 0) if batch is None else cls(query, batch)
+
+    @property
+    def own(self) -> Column:
+        return F.col("query").eqNullSafe(self.query) & F.col("batch").eqNullSafe(self.batch)
 
 
 @dataclass(frozen=True)
-class Head:
-    """The newest commit: its number (-1 for none), the commit that holds the whole state, the instant of the last
-    lifecycle cycle, and the oldest instant that snapshots are kept from."""
+class Clock:
+    """What the stored rows say: the newest number, the instant of the last cycle, and up to where evidence is folded."""
 
-    commit: int = -1
-    base: int = -1
+    seq: int = -1
     cycle_at: datetime | None = None
-    retained_from: datetime | None = None
+    closed_until: datetime | None = None
+
+
+def _loose(schema: T.StructType) -> list[T.StructField]:
+    return [T.StructField(f.name, f.dataType) for f in schema]
+
 
+def _state_schema(name: str) -> T.StructType:
+    return T.StructType([*_loose(STATE[name][0]), *TAGS])
 
-def _path(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
 
+def _typed(snapshots: DataFrame) -> DataFrame:
+    """History with the columns of its two typed views."""
+    return snapshots.select("mint", "observed_at", "payload", F.struct(*lifecycle_columns()).alias("rules"), F.struct(*current_columns()).alias("view"))
 
-def _stored_schema(name: str) -> T.StructType:
-    extra = [T.StructField("hour", T.StringType())] if name == "snapshots" else []
-    return T.StructType([*schemas.TABLES[name].fields, *extra, T.StructField("commit", T.LongType())])
+
+@cache
+def _history_schema(spark: SparkSession) -> T.StructType:
+    rows = _typed(spark.createDataFrame([], T.StructType(_loose(schemas.SNAPSHOTS)))).schema
+    return T.StructType([*_loose(rows), T.StructField("query", T.StringType()), T.StructField("batch", T.LongType())])
 
 
 def init_tables(spark: SparkSession, root: str) -> None:
     """Create the tables empty where they do not exist yet; existing ones are left alone."""
-    for name in schemas.TABLES:
-        layout = ("hour", "commit") if name == "snapshots" else ("commit",)
-        spark.createDataFrame([], _stored_schema(name)).write.mode("ignore").partitionBy(*layout).parquet(_path(root, name))
-    spark.createDataFrame([], COMMITS).write.mode("ignore").parquet(_path(root, "commits"))
+    for name in STATE:
+        spark.createDataFrame([], _state_schema(name)).write.mode("ignore").parquet(f"{root}/{name}/slot=first")
+    spark.createDataFrame([], _history_schema(spark)).write.mode("ignore").parquet(f"{root}/snapshots/hour=first")
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(COMMITS).parquet(_path(root, "commits"))
+# ---- state ----------------------------------------------------------------------------------------------------------------
 
 
-def head(spark: SparkSession, root: str) -> Head:
-    newest = _log(spark, root).agg(F.max(F.struct(*COMMITS.names)).alias("row"), F.max("cycle_at").alias("cycle_at"), F.max("retained_from").alias("kept")).first()
-    if newest.row is None:
-        return Head()
-    return Head(newest.row.commit, newest.row.base, newest.cycle_at, newest.kept)
+def _stored(spark: SparkSession, root: str, name: str, tag: Tag | None) -> DataFrame:
+    """All stored rows, without those of the batch that asks. A slot that is overwritten meanwhile holds nothing new."""
+    rows = spark.read.option("ignoreMissingFiles", "true").schema(_state_schema(name)).parquet(f"{root}/{name}").drop("slot")
+    return rows if tag is None else rows.where(~tag.own)
 
 
-def commit_of(spark: SparkSession, root: str, writer: str, batch: int) -> int | None:
-    """The commit that holds this writer's batch, if there is one."""
-    return _log(spark, root).where((F.col("writer") == writer) & (F.col("batch") == batch)).agg(F.max("commit")).first()[0]
+def _newest(rows: DataFrame, name: str) -> DataFrame:
+    key = STATE[name][1]
+    values = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "seq").alias("_row")).select(*key, "_row.*")
 
 
-def _state(spark: SparkSession, root: str, name: str, keys: DataFrame | None = None) -> DataFrame:
-    at = head(spark, root)
-    rows = spark.read.schema(_stored_schema(name)).parquet(_path(root, name))
-    rows = rows.where((F.col("commit") >= at.base) & (F.col("commit") <= at.commit))
+def _read(spark: SparkSession, root: str, name: str, keys: DataFrame | None, tag: Tag | None) -> DataFrame:
+    rows = _stored(spark, root, name, tag)
     if keys is not None:
-        rows = rows.join(keys, schemas.PRIMARY_KEYS[name][0], "left_semi")
-    key = schemas.PRIMARY_KEYS[name]
-    values = [c for c in schemas.TABLES[name].names if c not in key]
-    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*values), "commit").alias("_row"))
-    return newest.select(*key, *[F.col(f"_row.{c}").alias(c) for c in values])
+        rows = rows.join(keys, "mint", "left_semi")
+    return _newest(rows, name).select(*STATE[name][0].names)
 
 
-def read_registry(spark: SparkSession, root: str, keys: DataFrame | None = None) -> DataFrame:
-    """Current registry.
+def read_registry(spark: SparkSession, root: str, keys: DataFrame | None = None, tag: Tag | None = None) -> DataFrame:
+    """Current registry, before the batch ``tag`` if given.
 
     With ``keys`` (one column ``mint``) only those rows: the keys are matched before the newest rows are worked out, so a
     small batch does not aggregate a large registry.
     """
-    return _state(spark, root, "registry", keys)
+    return _read(spark, root, "registry", keys, tag)
+
+
+def read_rule_state(spark: SparkSession, root: str, keys: DataFrame | None = None, tag: Tag | None = None) -> DataFrame:
+    return _read(spark, root, "rule_state", keys, tag)
+
 
+def read_evidence(spark: SparkSession, root: str, tag: Tag | None = None) -> DataFrame:
+    """Evidence state of the hours before ``clock(...).closed_until``."""
+    return _read(spark, root, "evidence", None, tag)
 
-def read_rule_state(spark: SparkSession, root: str) -> DataFrame:
-    return _state(spark, root, "rule_state")
+
+def clock(spark: SparkSession, root: str, tag: Tag | None = None) -> Clock:
+    marks = [_stored(spark, root, name, tag).select("seq", "cycle_at", "closed_until") for name in STATE]
+    every = marks[0].unionByName(marks[1]).unionByName(marks[2])
+    row = every.agg(F.coalesce(F.max("seq"), F.lit(-1)), F.max("cycle_at"), F.max("closed_until")).first()
+    return Clock(*row)
+
+
+def write_state(
+    spark: SparkSession,
+    root: str,
+    outputs: Mapping[str, DataFrame],
+    tag: Tag,
+    cycle_at: datetime | None = None,
+    closed_until: datetime | None = None,
+) -> int:
+    """Write the changed rows of a batch; gives its number. Repeating a batch writes the same slot again."""
+    before = clock(spark, root, tag)
+    seq = before.seq + 1
+    if seq % FOLD_EVERY == 0:
+        base = f"base{seq // FOLD_EVERY % 2}"
+        for name in STATE:
+            _newest(_stored(spark, root, name, tag), name).select(*_state_schema(name).names).write.mode("overwrite").parquet(f"{root}/{name}/slot={base}")
+    marks = {
+        "seq": F.lit(seq).cast("long"),
+        "query": F.lit(tag.query),
+        "batch": F.lit(tag.batch).cast("long"),
+        "cycle_at": F.lit(cycle_at or before.cycle_at).cast("timestamp"),
+        "closed_until": F.lit(closed_until or before.closed_until).cast("timestamp"),
+    }
+    for name, rows in outputs.items():
+        tagged = rows.select(*STATE[name][0].names).withColumns(marks)
+        tagged.write.mode("overwrite").parquet(f"{root}/{name}/slot={seq % SLOTS}")
+    return seq
+
+
+# ---- history --------------------------------------------------------------------------------------------------------------
 
 
 def hour_of(instant: datetime) -> str:
@@ -117,101 +181,58 @@ def _hour(column: str) -> Column:
     return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyyMMddHH")
 
 
-def read_snapshots(spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-    """History inside the retention period, if wanted of a range of instants (ends included), whose hours alone are read."""
-    at = head(spark, root)
-    rows = spark.read.schema(_stored_schema("snapshots")).parquet(_path(root, "snapshots")).where(F.col("commit") <= at.commit)
-    lower = max((x.astimezone(timezone.utc) for x in (since, at.retained_from) if x), default=None)
-    if lower is not None:
-        rows = rows.where((F.col("hour") >= hour_of(lower)) & (F.col("observed_at") >= F.lit(lower)))
+def _history(spark: SparkSession, root: str, since: datetime | None, until: datetime | None) -> DataFrame:
+    """Stored history of a range of instants (ends included); only its hours are read."""
+    schema = T.StructType([*_history_schema(spark), T.StructField("hour", T.StringType())])
+    rows = spark.read.schema(schema).parquet(f"{root}/snapshots")
+    if since is not None:
+        rows = rows.where((F.col("hour") >= hour_of(since)) & (F.col("observed_at") >= F.lit(since.astimezone(timezone.utc))))
     if until is not None:
-        rows = rows.where((F.col("hour") <= hour_of(until)) & (F.col("observed_at") <= F.lit(until)))
-    return rows.drop("hour", "commit")
+        rows = rows.where((F.col("hour") <= hour_of(until)) & (F.col("observed_at") <= F.lit(until.astimezone(timezone.utc))))
+    return rows
 
 
-def write_snapshots(spark: SparkSession, root: str, rows: DataFrame, commit: int) -> DataFrame:
-    """Write the history rows of a commit that is not in the log yet, and read them back: later steps of the commit start
-    from the files instead of working the rows out again."""
-    at = _path(root, "snapshots")
-    _forget(spark, root, commit)
-    named = rows.select(*schemas.SNAPSHOTS.names).withColumn("hour", _hour("observed_at")).withColumn("commit", F.lit(commit).cast("long"))
-    # One file for an hour of few rows, several for a large one.
-    named.hint("rebalance", "hour").write.mode("append").partitionBy("hour", "commit").parquet(at)
-    return spark.read.schema(_stored_schema("snapshots")).parquet(at).where(F.col("commit") == commit).drop("hour", "commit")
+def read_snapshots(spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    return _history(spark, root, since, until).select(*schemas.SNAPSHOTS.names)
 
 
-def _hours(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    return files.partitions(spark, _path(root, "snapshots"), "hour")
+def read_measures(
+    spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None, without: Tag | None = None, only: Tag | None = None
+) -> DataFrame:
+    """The stored ``lifecycle_view``; payloads are not read. ``without`` leaves out one batch, ``only`` reads one."""
+    rows = _history(spark, root, since, until)
+    if without is not None:
+        rows = rows.where(~without.own)
+    if only is not None:
+        rows = rows.where(only.own)
+    return rows.select("mint", "observed_at", "rules.*")
 
 
-def _forget(spark: SparkSession, root: str, commit: int) -> None:
-    """Remove history rows that an attempt at this commit left without reaching the log."""
-    if commit <= head(spark, root).commit:
-        raise ValueError(f"commit {commit} is in the log already")
-    for _, hour in _hours(spark, root):
-        files.remove(spark, f"{hour}/commit={commit}")
+def read_current(spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """The stored ``current_view``; payloads are not read."""
+    return _history(spark, root, since, until).select("mint", "observed_at", "view.*")
 
 
-def commit_state(
-    spark: SparkSession,
-    root: str,
-    outputs: Mapping[str, DataFrame],
-    writer: str = "direct",
-    batch: int | None = None,
-    cycle_at: datetime | None = None,
-    fold: bool | None = None,
-) -> int:
-    """Write the changed rows of registry and cursors and the added snapshots, then the log entry; gives the commit.
-
-    A writer's batch that is in the log stays as it is. With ``fold`` (every ``FOLD_EVERY`` commits if not given) registry
-    and cursors are written whole. ``snapshots`` may be left out if ``write_snapshots`` has written them for the commit.
-    """
-    at = head(spark, root)
-    commit = at.commit + 1
-    batch = commit if batch is None else batch
-    known = commit_of(spark, root, writer, batch)
-    if known is not None:
-        return known
-    if "snapshots" in outputs:
-        write_snapshots(spark, root, outputs["snapshots"], commit)
-    fold = commit - at.base >= FOLD_EVERY if fold is None else fold
-    for name in STATE:
-        rows = outputs.get(name)
-        if fold:
-            current, keys = _state(spark, root, name), schemas.PRIMARY_KEYS[name]
-            rows = current if rows is None else current.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*current.columns))
-        if rows is not None:
-            rows.select(*schemas.TABLES[name].names).write.mode("overwrite").parquet(f"{_path(root, name)}/commit={commit}")
-    entry = (commit, writer, batch, commit if fold else max(at.base, 0), cycle_at, None)
-    spark.createDataFrame([entry], COMMITS).coalesce(1).write.mode("append").parquet(_path(root, "commits"))
-    return commit
+def append_history(root: str, rows: DataFrame, tag: Tag) -> None:
+    """Append history rows of a batch that are not stored yet (see ``ingest.append_snapshots``)."""
+    marks = {"query": F.lit(tag.query), "batch": F.lit(tag.batch).cast("long"), "hour": _hour("observed_at")}
+    # One file for an hour of few rows, several for a large one.
+    _typed(rows).withColumns(marks).hint("rebalance", "hour").write.mode("append").partitionBy("hour").parquet(f"{root}/snapshots")
 
 
 def retain(spark: SparkSession, root: str, as_of: datetime, hours: float = RETENTION_HOURS) -> int:
-    """Expire snapshots: readers see none older than ``hours`` (exactly that old is kept), and hours that lie before the
-    cut-off as a whole are dropped as directories. Gives the number of dropped hours; safe to repeat."""
-    cutoff = as_of - timedelta(hours=hours)
-    at = head(spark, root)
-    if at.retained_from is None or cutoff.astimezone(timezone.utc) > at.retained_from.astimezone(timezone.utc):
-        entry = (at.commit + 1, "retention", at.commit + 1, max(at.base, 0), None, cutoff)
-        spark.createDataFrame([entry], COMMITS).coalesce(1).write.mode("append").parquet(_path(root, "commits"))
-    old = [path for hour, path in _hours(spark, root) if hour.isdigit() and hour < hour_of(cutoff)]
-    return sum(files.remove(spark, path) for path in old)
-
-
-def compact(spark: SparkSession, root: str, target: str | None = None, as_of=None, hours: float = RETENTION_HOURS) -> None:
-    """Fold registry and cursors into one commit of the root, or of a fresh one, which the snapshots are copied to.
-
-    With ``as_of`` snapshots beyond the retention period are left behind.
-    """
-    if target is None:
-        commit_state(spark, root, {}, "compaction", fold=True)
-    else:
-        init_tables(spark, target)
-        state = {"registry": read_registry(spark, root), "rule_state": read_rule_state(spark, root), "snapshots": read_snapshots(spark, root)}
-        commit_state(spark, target, state, "compaction", fold=True)
-    if as_of is not None:
-        retain(spark, target or root, as_of, hours)
+    """Empty the hours that lie before the cut-off as a whole and give their number; safe to repeat. Readers that want the
+    cut-off to the microsecond name it as ``since``."""
+    cutoff = hour_of(as_of - timedelta(hours=hours))
+    schema = _history_schema(spark)
+    rows = spark.read.schema(T.StructType([*schema, T.StructField("hour", T.StringType())])).parquet(f"{root}/snapshots")
+    old = [r.hour for r in rows.where(F.col("hour") < cutoff).select("hour").distinct().collect()]
+    for hour in old:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/snapshots/hour={hour}")
+    return len(old)
+
+
+# ---- landed polls ---------------------------------------------------------------------------------------------------------
 
 
 def read_polls(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
