@@ -35,9 +35,14 @@ def _windows(rows, items):
             if seen.setdefault(tuple(words[k : k + 20]), (r.doc_id, k)) != (r.doc_id, k):
                 gone[k : k + 20] = [True] * 20
         if any(gone):
-            kept = [w for w, x in zip(words, gone) if not x]
-            if kept:
-                out[r.doc_id] = b" ".join(kept).decode()
+            places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", r.text)]
+            text = r.text
+            for k in reversed(range(len(words))):  # words go from behind, each with the blanks after it
+                if gone[k]:
+                    text = text[: places[k][0]] + (text[places[k + 1][0] :] if k + 1 < len(words) else "")
+                    places[k + 1 :] = [(a - places[k + 1][0] + places[k][0], b) for a, b in places[k + 1 :]]
+            if not all(gone):
+                out[r.doc_id] = text.rstrip(" \t\n\r\x0b\x0c") if gone[-1] else text
         else:
             out[r.doc_id] = r.text
     return out

@@ -100,6 +100,25 @@ def test_near_duplicates(docs, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.representatives(empty).count() == 0
 
 
+def test_representatives_of_groups_that_share_an_id(docs):
+    """Ids drawn from few, so that unlinked groups have the same smallest id: every group keeps one text of its own."""
+    draw = random.Random(9)
+    texts = [" ".join(f"g{g}w{k}" for k in range(30)) for g in range(12)] + [""]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1])]
+    rows += [(draw.choice([None, 1, 2, 3, 4]), draw.choice(texts)) for _ in range(80)]
+    prints = {t: plain_fingerprint(t) for t in texts}
+    root = roots(sorted(set(prints.values())))
+    kept = [(r.doc_id, r.text) for r in simhash.representatives(docs(rows)).collect()]
+    for group in set(root.values()):
+        inside = [(i, t) for i, t in rows if root[prints[t]] == group]
+        ids = [i for i, _ in inside if i is not None]
+        own = [(i, t) for i, t in kept if root[prints[t]] == group]
+        if inside and ids:
+            assert len(own) == 1 and own[0] in inside and own[0][0] == min(ids)
+        else:
+            assert sorted(own, key=str) == sorted(set(inside), key=str)
+
+
 def test_numbers_of_bits_other_than_two_are_refused(spark):
     with pytest.raises(ValueError, match="two bits"):
         simhash.pigeonring_links(spark.createDataFrame([(1,)], "fp long"), max_diff=3)

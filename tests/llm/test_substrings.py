@@ -73,9 +73,9 @@ def test_common_runs_are_found(docs):
 
 def test_dedup_keeps_columns_and_changes_texts(docs, odd, empty):
     words = " ".join(f"w{k}" for k in range(50))
-    rows = [(1, f"First\nline {words}"), (2, f"start {words} end"), (3, words), (4, "untouched\ntext")]
+    rows = [(1, f"First\nline {words}"), (2, f"start {words} end"), (3, words), (4, "untouched\ntext"), (5, f" one\n\ntwo\t{words}\nthree\nfour"), (6, f"{words} \n x\n y "), (7, f"x\n y \n{words}")]
     got = {r.doc_id: r for r in substrings.dedup(docs(rows)).collect()}
-    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "start end", 4: "untouched\ntext"}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "start end", 4: "untouched\ntext", 5: " one\n\ntwo\tthree\nfour", 6: "x\n y ", 7: "x\n y"}
     assert got[2].n_chars == len("start end") and got[2].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
     assert substrings.dedup(odd).count() == odd.count()
     assert substrings.dedup(empty).count() == 0 and substrings.dedup_digest(empty).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, dealt_anew
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:
@@ -15,13 +15,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = _neighbours(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    return both.filter("v > u").join(dealt_anew(least, "u"), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the smallest of them (edges have a < b)."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    tied = edges.join(least, "b")
+    tied = edges.join(dealt_anew(least, "b"), "b")
     moved = tied.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import DOCUMENT_COLUMNS, Rows, checkpointed, id_text, map_text, record, stored
+from tidemark.llm.common import DOCUMENT_COLUMNS, Rows, checkpointed, dealt_anew, id_text, map_text, record, stored
 from tidemark.llm.components import connected_components
 
 WIDTH = 3
@@ -87,7 +87,7 @@ def pigeonring_links(prints: DataFrame, max_diff: int = MAX_DIFF, segments: int
     keys = F.array(*[F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(_literal(m)).alias("key")) for i, m in enumerate(equal)])
     keyed = prints.select("fp", F.explode(keys).alias("k")).select("k.start", "k.key", "fp")
     shared = keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = checkpointed(keyed.join(shared, ["start", "key"]))
+    members = checkpointed(keyed.join(dealt_anew(shared, "key"), ["start", "key"]))
 
     few = members.filter(F.col("n") <= pair_limit)
     pairs = few.select("start", "key", F.col("fp").alias("a")).join(few.select("start", "key", F.col("fp").alias("b")), ["start", "key"]).filter("a < b")
@@ -112,27 +112,27 @@ def pigeonring_links(prints: DataFrame, max_diff: int = MAX_DIFF, segments: int
 
 
 def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, text_hash, component_id): every row with the smallest id reachable over links, itself included."""
+    """(doc_id, fp, text_hash, component_id, root): every row with the smallest id reachable over links, itself included;
+    ``root`` tells groups apart also where an id stands on the texts of several."""
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = checkpointed(connected_components(pigeonring_links(distinct.select("fp"), max_diff)).withColumnRenamed("node", "fp"))
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    grouped = linked.join(least, "root").select("fp", "component_id")
-    alone = distinct.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    return prints.join(checkpointed(grouped.union(alone)), "fp").select("doc_id", "fp", "text_hash", "component_id")
+    grouped = linked.join(least, "root").select("fp", "component_id", "root")
+    alone = distinct.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"), F.col("fp").alias("root"))
+    return prints.join(checkpointed(grouped.union(alone)), "fp").select("doc_id", "fp", "text_hash", "component_id", "root")
 
 
 def representatives(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """One row of every group with the columns of ``docs``: that of the smallest id, once if the row is repeated.
+    """One row of every group with the columns of ``docs``: that of the smallest (id, text hash), once if the row is repeated.
 
-    If an id stands on different texts, the text of the group's smallest (id, text hash) stays. Groups whose rows have no
-    id keep one row for each of their texts.
+    Groups whose rows have no id keep one row for each of their texts.
     """
     groups = near_duplicates(docs, max_diff)
-    named = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("text_hash").alias("_hash"))
-    nameless = groups.filter("component_id IS NULL").select("component_id", F.col("text_hash").alias("_hash")).distinct()
-    keep = checkpointed(named.union(nameless).withColumnRenamed("component_id", "_id"))
+    named = groups.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    nameless = groups.filter("component_id IS NULL").select("doc_id", "text_hash").distinct()
+    keep = checkpointed(named.union(nameless).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     hashed = docs.select(*[F.col(c) for c in DOCUMENT_COLUMNS], F.xxhash64(F.col("text")).alias("_text_hash"))
     kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*DOCUMENT_COLUMNS)

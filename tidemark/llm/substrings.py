@@ -14,6 +14,7 @@ that does not repeat itself. Null, empty and short texts have no window and keep
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -219,6 +220,28 @@ def _kept(text: bytes, spans: list, window: int) -> tuple[list[bytes], int]:
     return [words[k] for k in np.flatnonzero(keep).tolist()], len(words) - int(keep.sum())
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut(text: bytes, spans: list, window: int) -> bytes:
+    """The text without the words that ``_kept`` removes. What separates kept words stays as it was; a removed passage goes
+    with the blanks behind it, at the end of the text with those before it."""
+    found = [m.span() for m in _WORD.finditer(text)]
+    edge = np.zeros(len(found) + 1, np.int64)
+    for s in spans:
+        edge[s["start"]] += 1
+        edge[s["start"] + s["n"] + window - 1] -= 1
+    keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()
+    parts = [text[: found[0][0]]] if keep else []
+    for k in keep:
+        a = found[k][0]
+        if k + 1 < len(found):
+            parts.append(text[a : found[k + 1][0] if k != keep[-1] else found[k][1]])
+        else:
+            parts.append(text[a:])
+    return b"".join(parts)
+
+
 def _joined(docs: DataFrame, window: int, width: int, columns: tuple[str, ...]) -> DataFrame:
     """The columns of ``docs`` with the repeated windows of each row."""
     found = stored(repeated_windows(docs, window, width))
@@ -254,8 +277,8 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> D
 def dedup(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFrame:
     """``documents`` without repeated windows.
 
-    Changed texts are their kept words joined by blanks, with ``n_chars`` to match; texts without a repeat stay as they are,
-    and a document of which nothing is left goes.
+    Changed texts keep their line breaks and other blanks between kept words, with ``n_chars`` to match; texts without a repeat
+    stay as they are, and a document of which nothing is left goes.
     """
     schema = docs.select(*DOCUMENT_COLUMNS).schema
 
@@ -266,10 +289,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFram
             for row in rows:
                 spans = row.pop("_spans")
                 if spans:
-                    words, _ = _kept(row["text"].encode(), spans, window)
-                    if not words:
+                    left = _cut(row["text"].encode(), spans, window)
+                    if not left:
                         continue
-                    row["text"] = b" ".join(words).decode()
+                    row["text"] = left.decode()
                     row["n_chars"] = len(row["text"])
                 out.append(row)
             names = list(DOCUMENT_COLUMNS)
