@@ -286,8 +286,8 @@ def predict(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     return named.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: Model, least: float, fitting: bool = False) -> DataFrame:
-    """``documents`` whose language is recognised with at least this score, their columns unchanged.
+def identified(docs: DataFrame, model: Model, least: float | None = None, fitting: bool = False) -> DataFrame:
+    """``documents`` whose language is recognised, with at least the score ``least`` if given; their columns are unchanged.
 
     ``fitting``: texts that are like none of the learnt languages go too; where nothing was learnt, all with a letter stay.
     """
@@ -302,7 +302,7 @@ def identified(docs: DataFrame, model: Model, least: float, fitting: bool = Fals
         if lettered:
             return any(map(str.isalpha, words_of(text)))
         lang, score, fits = scorer.fitting(text) if fitting else (*scorer.predict(text), True)
-        return lang != UNKNOWN and score >= least and fits
+        return lang != UNKNOWN and fits and (least is None or score >= least)
 
     def run(batches: Rows) -> Rows:
         scorer = Scorer(*sent.value)
