@@ -12,16 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import byte_bpe, decontamination, language, simhash, substrings
 from tidemark.llm.common import shared_dir
 
-#: Texts whose best language is less certain than this are rejected; texts without letters always are. A short clean text
-#: may be of any language, so none is asked for here: what is rejected is a text that is like no learnt language.
-LEAST_CERTAINTY = 0.0
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised by a model of all rows that name theirs; rows without a text or a letter go, and
-    those whose letters are in none of its languages. Without any row that names a language all texts with a letter stay."""
+    those whose letters are in none of its languages. No certainty between languages is asked for, since a short clean text may
+    be of any. Without any row that names a language all texts with a letter stay."""
     model = language.train(docs, learns=lambda i: True)
-    return language.identified(docs, model, LEAST_CERTAINTY, fitting=True)
+    return language.identified(docs, model, fitting=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
