@@ -5,9 +5,10 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import Row, functions as F
 
-from tidemark.functions import coerce as co
+from tidemark.functions import coerce as co, quantile
 from tidemark.functions.quantile import exact_quantiles
 from tidemark.sources import payload as pl
 
@@ -83,3 +84,26 @@ def test_exact_quantiles_against_numpy(spark):
     whole = exact_quantiles(df.where("g = 'hot'"), "v", {"m": 0.5}, accuracy=100).first()
     assert math.isclose(whole.m, got["hot"].q50, rel_tol=1e-12)
     assert exact_quantiles(df.where("g = 'none'"), "v", {"m": 0.5}).first().m is None
+
+
+def test_quantiles_of_ten_million_rows_and_of_null_groups(spark):
+    n = 10_000_000
+    rows = spark.range(0, n, 1, 16).selectExpr(f"CAST(pmod(id * 7919, {n}) AS DOUBLE) AS v")
+    got = exact_quantiles(rows, "v", {"a": 0.05, "m": 0.5, "b": 0.995}).first()
+    assert (got.a, got.m, got.b) == tuple(float(np.quantile(np.arange(n), q)) for q in (0.05, 0.5, 0.995))
+    groups = spark.createDataFrame([(None, 1, 1.0), (None, 1, 2.0), ("x", None, 5.0), ("x", 1, 7.0)], "g string, h int, v double")
+    assert sorted(map(str, exact_quantiles(groups, "v", {"m": 0.5}, ["g", "h"]).collect())) == sorted(
+        map(str, [Row(g=None, h=1, m=1.5), Row(g="x", h=None, m=5.0), Row(g="x", h=1, m=7.0)])
+    )
+
+
+@pytest.mark.parametrize("proposal", [-1e9, 0.0, 499.5, 1e9, None])
+def test_quantiles_survive_any_sketch(spark, monkeypatch, proposal):
+    """Whatever range and grid the sketch proposes, counts decide."""
+    rows = spark.range(1000).selectExpr("CAST(id DIV 2 * 2 AS DOUBLE) AS v", "CAST(id % 3 AS STRING) AS g")
+    wrong = lambda value, cuts, accuracy: F.transform(F.array_repeat(F.lit(proposal).cast("double"), F.size(cuts)), lambda x: x + F.min(value) * 0)
+    monkeypatch.setattr(quantile.F, "percentile_approx", wrong)
+    for by in ([], ["g"]):
+        for r in exact_quantiles(rows, "v", {"a": 0.0, "m": 0.5, "n": 0.77, "b": 1.0}, by).collect():
+            sample = [float(i // 2 * 2) for i in range(1000) if not by or str(i % 3) == r.g]
+            assert [r.a, r.m, r.n, r.b] == [float(np.quantile(sample, q)) for q in (0.0, 0.5, 0.77, 1.0)]

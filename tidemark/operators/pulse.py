@@ -72,7 +72,7 @@ def _pulse_columns(top_volume: Column, median: Column) -> dict[str, Column]:
 
 
 def market_pulse(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row for the population, or one per group with at least one active key. Group columns must not be NULL."""
+    """One row for the population, or one per group with at least one active key; NULL is a group like any other."""
     by = list(by)
     active = _active(tokens, by)
     base = [
@@ -89,7 +89,10 @@ def market_pulse(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     medians = exact_quantiles(active, "liquidity", {"median": 0.5}, by)
     top = _top_sum(active, by)
     if by:
-        joined = active.groupBy(*by).agg(*base).join(medians, by, "left").join(top, by, "left")
+        joined = active.groupBy(*by).agg(*base)
+        for side in (medians, top):
+            side = side.withColumnsRenamed({c: f"_of_{c}" for c in by})
+            joined = joined.join(side, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], "left").drop(*(f"_of_{c}" for c in by))
         derived = _pulse_columns(F.col("top_volume"), F.col("median"))
     else:
         joined = active.agg(*base)
