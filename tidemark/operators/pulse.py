@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.config import PULSE_INTERVAL_S, PULSE_RETENTION_S
 from tidemark.functions.coerce import finite, percent, seconds
 from tidemark.functions.quantile import exact_quantiles
+from tidemark.operators.sampling import spaced
 
 TOP = 10
 COLUMNS = (
@@ -137,11 +138,23 @@ def pulse_series(
 ) -> DataFrame:
     """Pulse per sampled instant of ``ts`` + token rows: the first instant of every interval, newest ``keep_s`` kept.
 
-    Sampling by fixed intervals is the form that needs no pass over the series in order; the exact minimum-gap form is
-    part of the streaming feed, where the last kept instant is known.
+    Sampling by fixed intervals is the form that needs no pass over the series in order; ``spaced_pulse_series`` keeps the exact
+    minimum gap.
     """
     step = int(every_s * 1_000_000)
     sampled = populations.groupBy(F.floor(F.unix_micros("ts") / F.lit(step)).alias("_slot")).agg(F.min("ts").alias("ts"))
     newest = sampled.agg(F.max("ts").alias("ts")).scalar()
     kept = sampled.where(F.col("ts") >= newest - seconds(keep_s)).select("ts")
     return market_pulse(populations.join(kept, "ts", "left_semi"), by=["ts"])
+
+
+def spaced_pulse_series(
+    populations: DataFrame,
+    every_s: float = PULSE_INTERVAL_S,
+    keep_s: float = PULSE_RETENTION_S,
+) -> DataFrame:
+    """Pulse per kept instant: the first, then always the first one at least ``every_s`` later; newest ``keep_s`` kept."""
+    kept = spaced(populations.select("ts"), every_s)
+    newest = kept.agg(F.max("ts").alias("ts")).scalar()
+    kept = kept.where(F.col("ts") >= newest - seconds(keep_s))
+    return market_pulse(populations.join(kept, "ts", "left_semi"), by=["ts"])

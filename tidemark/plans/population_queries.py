@@ -217,6 +217,10 @@ def q_pulse_series(spark, sf):
     return tidy(mp.pulse_series(series(spark, sf), every_s=6 * 3600, keep_s=20 * 86400), 4)
 
 
+def q_pulse_series_spaced(spark, sf):
+    return tidy(mp.spaced_pulse_series(series(spark, sf), every_s=5 * 3600 + 420, keep_s=20 * 86400), 4)
+
+
 def pulse_sql(source, by=""):
     key = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
@@ -245,6 +249,11 @@ SERIES = f"""pops AS (SELECT date_trunc('minute', observed_at) AS ts, mint, user
 kept AS (SELECT min(ts) AS ts FROM pops GROUP BY epoch_us(ts) // 21600000000),
 chosen AS (SELECT * FROM pops WHERE ts IN (SELECT ts FROM kept WHERE ts >= (SELECT max(ts) FROM kept) - INTERVAL '20' DAY)),
 """ + pulse_sql("chosen", "ts")
+SPACED = SERIES.replace(
+    "kept AS (SELECT min(ts) AS ts FROM pops GROUP BY epoch_us(ts) // 21600000000)",
+    """kept AS (SELECT min(ts) AS ts FROM pops UNION ALL
+    SELECT min(p.ts) AS ts FROM kept k, pops p WHERE p.ts >= k.ts + INTERVAL '18420' SECOND HAVING min(p.ts) IS NOT NULL)""",
+)
 PULSE_OUT = "* REPLACE (epoch_us(ts) AS ts)"
 
 
@@ -367,6 +376,7 @@ QUERIES = {
     "market_pulse": (q_market_pulse, pop_sql("SELECT * FROM pulse", pulse_sql("curr"))),
     "market_pulse_by_group": (q_market_pulse_by_group, pop_sql("SELECT * FROM pulse", pulse_sql("curr", "launchpad"))),
     "pulse_series": (q_pulse_series, fx.with_ctes(("snaps",), "SELECT epoch_us(ts) AS ts_us, * EXCLUDE (ts) FROM pulse", extra=SERIES)),
+    "pulse_series_spaced": (q_pulse_series_spaced, fx.with_ctes(("snaps",), "SELECT epoch_us(ts) AS ts_us, * EXCLUDE (ts) FROM pulse", extra=SPACED).replace("WITH ", "WITH RECURSIVE ", 1)),
     "robust_log": (q_robust_log, fx.with_ctes(("tok",), "SELECT round(low, 6) AS low, round(CASE WHEN high > low THEN high ELSE low + 1 END, 6) AS high FROM lim", extra=LOGS)),
     "normalized_log": (q_normalized_log, fx.with_ctes(("tok",), "SELECT mint, round(market_score, 6) AS market_score, round(size, 6) AS size FROM sized", extra=SCORED)),
     "freshness": (q_freshness, """SELECT c_custkey, round(CASE WHEN c_acctbal * 400 >= 2592000 THEN 0 WHEN c_acctbal * 400 >= 0
