@@ -41,9 +41,14 @@ def latest_view(current: DataFrame) -> DataFrame:
 
 def current_projection(registry: DataFrame, current: DataFrame, as_of, recent_minutes: float | None = None) -> DataFrame:
     """One row per visible key that has at least one snapshot."""
+    return project_newest(registry, latest_view(current), as_of, recent_minutes)
+
+
+def project_newest(registry: DataFrame, newest: DataFrame, as_of, recent_minutes: float | None = None) -> DataFrame:
+    """The projection from a state with the newest row per key (``latest_view``, or a table that ``sources.newest`` keeps)."""
     now = instant(as_of)
     facts = visible(registry, as_of, recent_minutes).withColumnsRenamed({"name": "_name", "symbol": "_symbol"})
-    joined = latest_view(current).join(facts, "mint")
+    joined = newest.join(facts, "mint")
     since = F.coalesce("first_pool_created_at", "created_at", "first_observed_at", "observed_at")
     derived = {
         "name": F.coalesce("name", "_name", F.lit("")),

@@ -16,6 +16,8 @@ from tidemark.operators import (
 )
 from tidemark.plans import fixtures as fx
 from tidemark.plans.common import CFG, tidy
+from tidemark.session import shared_dir
+from tidemark.sources import newest
 
 NOW, BEFORE = fx.FULL, fx.BEFORE
 T, T0 = f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{BEFORE}'"
@@ -90,6 +92,15 @@ def q_current_projection(spark, sf):
     return tidy(projection(spark, sf))
 
 
+def q_projection_bucketed(spark, sf):
+    """The same projection from bucketed tables: the newest state of the older days, refreshed with the rows that came since."""
+    root, buckets = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, known = fx.current_rows(spark, sf, NOW), F.col("observed_at") <= F.lit(BEFORE).cast("timestamp")
+    state = newest.refresh(spark, newest.create_newest(f"{root}/newest", rows.where(known), buckets), rows.where(~known))
+    registry = newest.create(f"{root}/registry", fx.registry(spark, sf, NOW), buckets)
+    return tidy(pr.project_newest(registry.read(spark), state.read(spark), NOW))
+
+
 def q_visible_recent(spark, sf):
     return tidy(projection(spark, sf, RECENT_MINUTES))
 
@@ -341,6 +352,7 @@ SEARCHED = """CASE WHEN lower(t.mint) LIKE '%' || {q} || '%' OR lower(t.symbol)
 SEARCH_ORDER = "(t.mint = {raw}) DESC, t.market_cap DESC NULLS LAST, lower(t.symbol || chr(1) || t.name || chr(1) || t.mint)"
 
 QUERIES = {
+    "projection_bucketed": (q_projection_bucketed, fx.with_ctes(("latest", "reg"), f"SELECT {PROJECTION_OUT} FROM ({_token_sql('latest', 'reg', T, 'r.tracking_enabled')})")),
     "current_projection": (q_current_projection, fx.with_ctes(("latest", "reg"), f"SELECT {PROJECTION_OUT} FROM ({_token_sql('latest', 'reg', T, 'r.tracking_enabled')})")),
     "visible_recent": (q_visible_recent, fx.with_ctes(("latest", "reg"), f"SELECT {PROJECTION_OUT} FROM ({_token_sql('latest', 'reg', T, VISIBLE)})")),
     "normalised_rows": (q_normalised_rows, fx.with_ctes(("latest", "reg"), f"""SELECT mint, launchpad, strftime(last_changed_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS last_changed_at,
