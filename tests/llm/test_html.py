@@ -3,6 +3,7 @@
 import html
 import pathlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -31,11 +32,28 @@ def test_blocks():
     assert texts("<script>var t='</p>';</script><style>p{}</style>x < y & z<script>never closed") == ["x < y & z"]
     assert texts("<p title='a>b'>c</p><p title=\"open>d</p><!-- open") == ["c", "d"]
     assert [b.path for b in blocks('<div class="Ad big" id=x><p>a</p></div>b')] == [("div ad big x", "p"), ()]
+    assert texts("<p>Let <math><mi>x</mi></math> be 5.</p><svg><p>rest <object>of it</object><video>all</p>") == ["Let x be 5.", "rest of itall"]
+    assert texts("a<template>b<p>c</p>d") == ["ab", "c", "d"]
     assert [b.path for b in blocks("<p><b>a<br><p>b")] == [("p", "b"), ("p",)]
     assert blocks("<li><a href=x>abc</a> d</li>")[0].links == 3
     assert len(texts("<p>x" * 20_000)) == 20_000
 
 
+@pytest.mark.parametrize("pattern", ["<b ", "<b>t ", "<div>t ", "<li>t ", "<p>t ", "<a href='", '<b "', "<!-- ", "<!", "<template>", "<td>t<table>", "</b>", "&amp", "<b '>\"", "<x/ "])
+def test_hostile_pages_take_linear_time(pattern):
+    begin = time.perf_counter()
+    blocks(pattern * (1_000_000 // len(pattern)))
+    blocks(pattern * (1_000_000 // len(pattern)) + ">")
+    assert time.perf_counter() - begin < 30  # each under 2 s on a quiet machine; hours before
+
+
+def test_wrappers_lose_their_names():
+    page = '<body class="single has-sidebar"><form id=f><div class="content-sidebar-wrap"><nav class=menu>Home</nav><article><h1>T</h1><p>%s</p></article><div class=comments>Nice</div></div></form></body>' % ("word " * 50)
+    assert [b.path for b in blocks(page)] == [("body", "div", "div", "nav menu"), ("body", "div", "div", "article", "h1"), ("body", "div", "div", "article", "p"), ("body", "div", "div", "div comments")]
+    page = "<body><article><h1>T</h1><p>short</p></article><div class=comments>%s</div></body>" % ("a long comment " * 20)
+    assert blocks(page)[-1].path == ("body", "div comments")
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = labeller.Network.fresh(rng)
@@ -80,6 +98,19 @@ def test_extraction_of_the_test_pages(spark, net):
     assert wrong <= len(got) // 200
 
 
+@pytest.mark.parametrize("around", ['<body class="single has-sidebar search-enabled">%s</body>', '<div class="content-sidebar-wrap">%s</div>', '<form id="form1">%s</form>'])
+def test_names_around_the_whole_page_do_not_matter(spark, net, around):
+    features, found, wanted, shown = labeller.Features(), 0, 0, 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").limit(100).collect():
+        inner = r.html.partition("<body")[2].partition(">")[2].partition("</body>")[0] or r.html
+        page = blocks(around % inner)
+        good = labeller.label(net, [page], features)[0]
+        want = [any(e.startswith("article") for e in b.path) for b in page]
+        found += sum(g and w for g, w in zip(good, want))
+        wanted, shown = wanted + sum(want), shown + int(good.sum())
+    assert found / wanted > 0.95 and found / shown > 0.95
+
+
 def test_parts_that_the_sample_lacks(net):
     rng, features = np.random.default_rng(8), labeller.Features()
     lines = ["A first line of an article that says something.", "And then the next one follows, with more words in it.", "The last one is short."]
