@@ -97,7 +97,7 @@ def test_quantiles_of_ten_million_rows_and_of_null_groups(spark):
     )
 
 
-@pytest.mark.parametrize("proposal", [-1e9, 0.0, 499.5, 1e9, None])
+@pytest.mark.parametrize("proposal", [-1e9, 499.5, None])
 def test_quantiles_survive_any_sketch(spark, monkeypatch, proposal):
     """Whatever range and grid the sketch proposes, counts decide."""
     rows = spark.range(1000).selectExpr("CAST(id DIV 2 * 2 AS DOUBLE) AS v", "CAST(id % 3 AS STRING) AS g")

@@ -17,7 +17,7 @@ def fold(values, gap):
     return kept
 
 
-@pytest.mark.parametrize("seed, block", [(1, sampling.BLOCK), (2, 2), (3, 5)])
+@pytest.mark.parametrize("seed, block", [(1, sampling.BLOCK), (2, 2)])
 def test_equals_a_sequential_fold(spark, seed, block):
     draw, values, at = random.Random(seed), [], -7_000_000
     for _ in range(300):  # dense stretches, exact gaps, long silences, instants before 1970
