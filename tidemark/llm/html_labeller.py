@@ -277,7 +277,9 @@ def train(pages: list[str], seed: int = 3) -> Network | None:
     rng, features = np.random.default_rng(seed), Features()
     x, y = [], []
     for page in pages:
-        found = blocks(page)[:SAMPLE_BLOCKS]
+        found = blocks(page)
+        if len(found) > SAMPLE_BLOCKS:  # both ends, so that what follows a long article is learnt too
+            found = found[: SAMPLE_BLOCKS // 2] + found[-SAMPLE_BLOCKS // 2 :]
         if not found:
             continue
         labels = np.array([not is_other(b.path) for b in found])
