@@ -266,7 +266,8 @@ def _live_sets(docs: DataFrame, rows: DataFrame, live: DataFrame, width: int, id
     own_id = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     one = rows.join(live, "node").groupBy("node").agg(F.min(F.struct(own_id.alias("id"), "text_hash")).alias("r")).select("r.id", "r.text_hash")
     texts = picked(docs, id_col, text_col).select(own_id.alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(checkpointed(one), ["id", "text_hash"], "left_semi").select("id", "text")
+    # Repeated rows meet in the join's own partitions: this takes no exchange of its own.
+    texts = texts.join(checkpointed(one), ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("id", "text")
 
     def run(batches: Rows) -> Rows:
         for _, chunk in id_text(batches):
@@ -280,7 +281,7 @@ def _live_sets(docs: DataFrame, rows: DataFrame, live: DataFrame, width: int, id
                 }
             )
 
-    return stored(texts.mapInArrow(run, "node long, n long, bits binary, hashes binary").dropDuplicates(["node"]))
+    return stored(texts.mapInArrow(run, "node long, n long, bits binary, hashes binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -373,7 +374,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     roots = checkpointed(connected_components(verified(pairs, sets, percent)))
     apart = stored(_ordered(_still_apart(crowd, roots, sets, percent, slice_size)))
     if not apart.isEmpty():
-        more = verified(apart, sets, percent)
+        own = apart.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        more = verified(apart, stored(sets.join(own, "node", "left_semi")), percent)
         edges = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = checkpointed(connected_components(edges.union(more)))
 
