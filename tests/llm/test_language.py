@@ -1,8 +1,12 @@
 """Language identification: held-out accuracy, fallback, odd rows."""
 
 import base64
+import collections
+import math
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -78,3 +82,65 @@ def test_texts_in_no_learnt_language_go(spark, docs, odd):
     assert lettered <= kept and len(kept - lettered) == len(short)
     # Nothing to learn from: letters decide.
     assert corpus_pipeline.language_id(spark, odd.withColumn("lang", F.lit(None).cast("string")), "").count() == odd.count() - 3
+
+
+def plain_model(rows, most_words, most_grams):
+    """Counts by size, gram and language, cut to what one of the languages keeps; totals and numbers of entries before the cut."""
+    counted = collections.Counter()
+    for text, lang in rows:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            counted[0, word, lang] += 1
+            for n in range(1, language.LONGEST + 1):
+                padded = f"<{word}>" if n > 1 else word
+                counted.update((n, padded[k : k + n], lang) for k in range(len(padded) - n + 1))
+    langs, kept, every = sorted({lang for _, lang in rows}), set(), {}
+    for size in range(language.LONGEST + 1):
+        for lang in langs:
+            own = {g: n for (s, g, x), n in counted.items() if (s, x) == (size, lang)}
+            every[size, lang] = math.log(sum(own.values()) + language.SMOOTH * (len(own) + 1))
+            floors = [f for f in set(own.values()) if sum(n >= f for n in own.values()) <= (most_grams if size else most_words)]
+            kept |= {(size, g) for g, n in own.items() if floors and n >= min(floors)}
+    return {(s, g): [math.log(counted[s, g, x] + language.SMOOTH) - every[s, x] for x in langs] for s, g in kept}
+
+
+def plain_language(model, langs, text):
+    total = [0.0] * len(langs)
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        rows = [model[0, word]] if (0, word) in model else []
+        for n in range(language.LONGEST, 0, -1):
+            padded = f"<{word}>" if n > 1 else word
+            rows = rows or [model[n, padded[k : k + n]] for k in range(len(padded) - n + 1) if (n, padded[k : k + n]) in model]
+        for k in range(len(langs)):
+            total[k] += sum(r[k] for r in rows) / max(1, len(rows))
+    return total
+
+
+@pytest.mark.parametrize("most_words, most_grams", [(30_000, 40_000), (40, 60)])
+def test_model_and_predictions_equal_a_plain_version(spark, most_words, most_grams):
+    table = spark.read.parquet(f"{SF.replace('0.01', '0.001')}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in table.collect() if r.text is not None]
+    plain = plain_model([(r.text, r.lang) for r in rows if r.lang is not None], most_words, most_grams)
+    model = language.train(table, words=most_words, n_grams=most_grams, learns=lambda i: True)
+    assert model.languages == sorted({r.lang for r in rows if r.lang is not None})
+    got = {(0, w): model.word_rows[k] for w, k in model.words.items()}
+    got |= {(n + 1, g): model.gram_rows[n][k] for n, named in enumerate(model.grams) for g, k in named.items()}
+    assert got.keys() == plain.keys()
+    assert all(np.allclose(got[key], plain[key], atol=1e-4) for key in plain)
+    found = {r.doc_id: r.lang_pred for r in language.predict(table, model).collect()}
+    clear = 0
+    for r in rows:
+        total = plain_language(plain, model.languages, r.text)
+        first, second = sorted(total, reverse=True)[:2]
+        if first - second > 0.01:
+            clear += 1
+            assert found[r.doc_id] == model.languages[int(np.argmax(total))]
+    assert clear > 50
+
+
+def test_kept_entries_count_in_every_language(docs):
+    """A word that one language keeps has its counts in the others too, however high their own floors are."""
+    rows = [(1, "shared " * 3 + "often " * 9 + "more " * 8, "aa"), (2, "shared " * 5, "bb")]
+    model = language.train(docs(rows), words=1, learns=lambda i: True)
+    assert set(model.words) == {"often", "shared"}
+    row = model.word_rows[model.words["shared"]]
+    assert np.allclose(row, [math.log(3.5) - math.log(20 + 0.5 * 4), math.log(5.5) - math.log(5 + 0.5 * 2)], atol=1e-5)

@@ -1,8 +1,8 @@
 """Language identification, word first: log frequency of known words, else progressively shorter character n-grams.
 
 Counts cover every learning document. What is sent to the tasks is bounded: per language the words and n-grams above a
-count that at most ``WORDS`` and ``GRAMS`` of them reach; any other word falls back to its n-grams, and an n-gram to a
-shorter one. Null, empty and letterless texts are ``und`` with score 0. Without learning documents every text is ``und``.
+count that at most ``WORDS`` and ``GRAMS`` of them reach, each with its counts in all languages; any other word falls back to
+its n-grams, and an n-gram to a shorter one. Null, empty and letterless texts are ``und`` with score 0. Without learning documents every text is ``und``.
 Ties between languages go to the first name; repeated rows give repeated results. Rows without a language are not learnt
 from; rows without an id count as held out.
 """
@@ -153,14 +153,14 @@ def train(docs: DataFrame, words: int = WORDS, n_grams: int = GRAMS, longest: in
         if floor is not None:
             least.append((lang, size, floor))
     languages = sorted({lang for lang, _ in by_kind})
-    floors, fit = {(lang, size): floor for lang, size, floor in least}, {}
     if not least:
         return Model.of([], {}, [{} for _ in range(longest)])
     wanted = F.lit(False)
     for lang, size, floor in least:
         wanted |= (F.col("lang") == lang) & (F.col("size") == size) & (F.col("n") >= floor)
-    # Bounded by the two limits, languages and lengths.
-    kept = counted.filter(wanted).toArrow()
+    # An entry that one language keeps counts in all of them. Bounded by the two limits, languages and lengths, as is what is sent.
+    entries = counted.filter(wanted).select("size", "gram").distinct()
+    kept = counted.join(F.broadcast(entries), ["size", "gram"], "left_semi").toArrow()
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
     number = {lang: k for k, lang in enumerate(languages)}
     for lang, size, gram, n in zip(*(kept[c].to_pylist() for c in ("lang", "size", "gram", "n"))):
@@ -168,20 +168,21 @@ def train(docs: DataFrame, words: int = WORDS, n_grams: int = GRAMS, longest: in
         if row is None:
             row = tables[size][gram] = np.zeros(len(languages))
         row[number[lang]] = n
+    fit = {}
     for size, found in enumerate(tables):
-        every = np.log([totals.get((lang, size), 0) + SMOOTH * (types.get((lang, size), 0) + 1) for lang in languages])
+        whole = np.array([totals.get((lang, size), 0) for lang in languages], float)
+        every = np.log(whole + SMOOTH * (np.array([types.get((lang, size), 0) for lang in languages]) + 1))
+        if size in FIT_SIZES:
+            # Over all occurrences that were learnt; those of entries that are not kept score as unknown ones do.
+            held = np.array(list(found.values())).reshape(-1, len(languages))
+            held = np.concatenate([np.zeros((1, len(languages))), held])
+            share = held / np.maximum(whole, 1)
+            share[0] = 1 - share.sum(axis=0)
+            logs = np.log(held + SMOOTH) - every
+            mean = (share * logs).sum(axis=0)
+            fit[size] = tuple(x.astype(np.float32) for x in (logs[0], mean, np.sqrt((share * (logs - mean) ** 2).sum(axis=0))))
         for gram, row in found.items():
             found[gram] = (np.log(row + SMOOTH) - every).astype(np.float32)
-    for size in FIT_SIZES:
-        found = []
-        for lang in languages:
-            n, e = np.array(by_kind.get((lang, size), [(0, 1)]), float).T
-            every = np.log(totals.get((lang, size), 0) + SMOOTH * (types.get((lang, size), 0) + 1))
-            logs = np.log(np.where(n >= floors.get((lang, size), np.inf), n, 0) + SMOOTH) - every
-            share = n * e / max(1.0, (n * e).sum())
-            mean = (share * logs).sum()
-            found.append((np.log(SMOOTH) - every, mean, np.sqrt((share * (logs - mean) ** 2).sum())))
-        fit[size] = tuple(np.array(found, np.float32).T)
     model = Model.of(languages, tables[0], tables[1:])
     model.fit = fit
     return model

@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
     # At most ``rows`` pairs of numbers: bounded, so it is sent to every task and the texts stay where they are.
     sample = F.broadcast(labelled_sample(labels, rows))
     joined = picked(docs, "doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
-    got = joined.mapInArrow(run, "features array<double>, label int").orderBy("label", "features").limit(2 * rows).collect()
+    got = joined.mapInArrow(run, "features array<double>, label int").orderBy(F.xxhash64("features"), "features", "label").limit(2 * rows).collect()
     if len({r.label for r in got}) < 2:
         return Trees(np.empty((0, 0), np.int64), np.empty((0, 0)), np.empty((0, 1)), 20.0)
     return fit(np.array([r.features for r in got]), np.array([r.label for r in got], float), signs())
