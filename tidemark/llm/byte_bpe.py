@@ -2,6 +2,7 @@
 
 Null and empty texts have no tokens and decode to no bytes. Rows are independent, so repeated rows give repeated results
 and an empty table an empty one. Text of any length is encoded whole: it is cut where no match of the pattern can cross.
+Bytes that are no UTF-8 are encoded as U+FFFD.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Rows, id_text, map_text, record
+from tidemark.llm.common import Rows, as_text, id_text, map_text, record
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters after which a long text is cut at the next safe boundary.
@@ -62,7 +63,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def run(batches: Rows) -> Rows:
         coder = codec(path, pattern)
         for ids, texts in id_text(batches):
-            tokens = [encode_text(coder, (t or b"").decode()) for t in texts]
+            tokens = [encode_text(coder, as_text(t)) for t in texts]
             yield record({"doc_id": (ids, pa.int64()), "ids": (tokens, pa.list_(pa.int32()))})
 
     return map_text(docs, run, "doc_id long, ids array<int>", id_col, text_col)
@@ -94,7 +95,7 @@ def round_trip(
         for ids, texts in id_text(batches):
             counts, coded, decoded, held = [], [], [], []
             for text in texts:
-                tokens = encode_text(coder, (text or b"").decode())
+                tokens = encode_text(coder, as_text(text))
                 counts.append(len(tokens))
                 coded.append(hashlib.sha256(",".join(map(names.__getitem__, tokens)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode_bytes(tokens)).hexdigest())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,9 +22,12 @@ Rows = Iterator[pa.RecordBatch]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, set here only where it is unset."""
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``. It is set here only where it is unset and the
+    session is local; on a cluster a folder of the driver's machine would be lost to the executors."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext.getCheckpointDir():
@@ -77,6 +81,11 @@ def id_text(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iter
             yield ids, texts
 
 
+def as_text(text: bytes | None) -> str:
+    """The characters of a text (None: empty); bytes that are no UTF-8 read as U+FFFD, as in Python's ``errors="replace"``."""
+    return (text or b"").decode(errors="replace")
+
+
 def record(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 

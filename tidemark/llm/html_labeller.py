@@ -5,7 +5,7 @@ It is fitted on at most ``SAMPLE_PAGES`` pages, those with the smallest hashes o
 labels for their blocks; the same texts are laid out again under other containers, so that it also knows page parts that the
 sample lacks. Every page is read whole and every block labelled.
 
-Null and empty pages, and pages without article text, have the empty text. Pages are independent: repeated rows give
+Null and empty pages, and pages without article text, have the empty text; bytes that are no UTF-8 read as U+FFFD. Pages are independent: repeated rows give
 repeated results, and an empty table an empty one.
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Rows, id_text, record
+from tidemark.llm.common import Rows, as_text, id_text, record
 from tidemark.llm.html_blocks import Block, blocks
 
 #: Bounds of what the labeller is fitted on: pages, and blocks of one page.
@@ -265,7 +265,7 @@ def trained(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Network | None:
     """The labeller, fitted in one task on the bounded sample; None without pages."""
 
     def run(batches: Rows) -> Rows:
-        net = train([page for batch in batches for page in batch.column(0).to_pylist()])
+        net = train([page for batch in batches for page in map(as_text, batch.column(0).cast(pa.binary()).to_pylist())])
         yield record({"net": ([pickle.dumps(net)], pa.binary())})
 
     got = sample(pages, rows).mapInArrow(run, "net binary").collect()
@@ -320,7 +320,7 @@ def extract(pages: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             urls, at = batch.column(2).to_pylist(), 0
             for ids, texts in id_text([batch]):
-                read = [blocks((t or b"").decode()) for t in texts]
+                read = [blocks(as_text(t)) for t in texts]
                 kept = label(net, read, features)
                 main = ["\n".join(b.text for b, ok in zip(page, good) if ok) for page, good in zip(read, kept)]
                 yield record(

@@ -4,7 +4,7 @@ Counts cover every learning document. What is sent to the tasks is bounded: per
 count that at most ``WORDS`` and ``GRAMS`` of them reach, each with its counts in all languages; any other word falls back to
 its n-grams, and an n-gram to a shorter one. Null, empty and letterless texts are ``und`` with score 0. Without learning documents every text is ``und``.
 Ties between languages go to the first name; repeated rows give repeated results. Rows without a language are not learnt
-from; rows without an id count as held out.
+from; rows without an id count as held out. Bytes that are no UTF-8 separate words.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import DOCUMENT_COLUMNS, Rows, id_text, record, stored
+from tidemark.llm.common import DOCUMENT_COLUMNS, Rows, as_text, id_text, record, stored
 
 #: Bounds of the model: entries per language.
 WORDS = 30_000
@@ -48,7 +48,7 @@ def held_out(i: int | None, folds: int = FOLDS) -> bool:
 
 
 def words_of(text: bytes | None) -> list[str]:
-    return _WORD.findall((text or b"").decode().lower())
+    return _WORD.findall(as_text(text).lower())
 
 
 def counts(docs: DataFrame, learns: Callable[[int | None], bool] = lambda i: not held_out(i), longest: int = LONGEST) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import BLOCK_BYTES, DOCUMENT_COLUMNS, Rows, frequent_keys, id_text, map_text, member, mixed, pack, partitions, record, stored, task_counts, unpack
+from tidemark.llm.common import BLOCK_BYTES, DOCUMENT_COLUMNS, Rows, as_text, frequent_keys, id_text, map_text, member, mixed, pack, partitions, record, stored, task_counts, unpack
 
 WINDOW = 20
 WIDTH = 5
@@ -284,19 +284,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFram
 
     def run(batches: Rows) -> Rows:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for row in rows:
-                spans = row.pop("_spans")
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in DOCUMENT_COLUMNS}
+            kind, texts = columns["text"].type, columns["text"].cast(pa.large_binary()).to_pylist()
+            chars, keep = columns["n_chars"].to_pylist(), [True] * len(texts)
+            for k, spans in enumerate(batch.column(batch.schema.get_field_index("_spans")).to_pylist()):
                 if spans:
-                    left = _cut(row["text"].encode(), spans, window)
-                    if not left:
-                        continue
-                    row["text"] = left.decode()
-                    row["n_chars"] = len(row["text"])
-                out.append(row)
-            names = list(DOCUMENT_COLUMNS)
-            types = [batch.schema.field(c).type for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(names, types)], names=names)
+                    texts[k] = _cut(texts[k], spans, window)
+                    chars[k], keep[k] = len(as_text(texts[k])), bool(texts[k])
+            # Bytes as they were, also where they are no UTF-8.
+            columns["text"] = pa.array(texts, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()).view(kind)
+            columns["n_chars"] = pa.array(chars, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep, pa.bool_()))
 
     return _joined(docs, window, width, DOCUMENT_COLUMNS).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of ``doc_id`` and sorted, so files and stripes follow each other in ascending order and their
 metadata prune look-ups. Null ids come first. Null and empty texts have the end id alone; rows with the same id keep the
-order of their texts. An empty table gives an empty set of files.
+order of their texts. An empty table gives an empty set of files. Bytes that are no UTF-8 are encoded as U+FFFD.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import Rows, id_text, partitions, picked, record, shared_dir
+from tidemark.llm.common import Rows, as_text, id_text, partitions, picked, record, shared_dir
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -79,7 +79,7 @@ class WordCodec:
         """Ids of words that are not remembered."""
         split, whole = {}, []
         for word in words:
-            text = word.decode()
+            text = as_text(word)
             if _PLAIN.fullmatch(text):
                 split[word] = (text,) if text.isalpha() and text.islower() else _PIECE.findall(text.lower())
             else:
@@ -92,7 +92,7 @@ class WordCodec:
         self.parts.update(zip(fresh, self._pieces(fresh)))
         get = self.parts.__getitem__
         learnt = {word: b"".join(map(get, parts)) for word, parts in split.items()}
-        learnt.update(zip(whole, self._library([w.decode() for w in whole])))
+        learnt.update(zip(whole, self._library([as_text(w) for w in whole])))
         if len(self.parts) > MEMO_WORDS:
             self.parts = {}
         return learnt
