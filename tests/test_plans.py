@@ -88,6 +88,11 @@ def test_windows_never_span_a_whole_key(spark):
     assert windows and all("_slice" in line for line in windows)
 
 
+def test_leak_check_broadcasts_no_texts(spark):
+    text = plan(QUERIES["leak_check"][0](spark, SF))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_no_cross_join_or_python_worker(spark, name):
     text = plan(QUERIES[name][0](spark, SF))
