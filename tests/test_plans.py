@@ -88,6 +88,17 @@ def test_windows_never_span_a_whole_key(spark):
     assert windows and all("_slice" in line for line in windows)
 
 
+def test_search_never_broadcasts_the_grams(spark, monkeypatch):
+    """Queries go to the keys, or both sides are exchanged; the keys' grams look as small as their file."""
+    few = plan(QUERIES["batch_search"][0](spark, SF))
+    assert "BuildRight" in few and "SortMergeJoin" not in few and "hashpartitioning(_gram" not in few
+    monkeypatch.setattr(rk, "SENT_BYTES", 0)
+    many = QUERIES["batch_search"][0](spark, SF)
+    assert "SortMergeJoin" in plan(many) and "BroadcastHashJoin" not in plan(many)
+    monkeypatch.undo()
+    assert sorted(many.collect()) == sorted(QUERIES["batch_search"][0](spark, SF).collect())
+
+
 def test_leak_check_broadcasts_no_texts(spark):
     text = plan(QUERIES["leak_check"][0](spark, SF))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import RANK_DEFAULT_LIMIT, RANK_MAX_LIMIT, SEARCH_LIMIT
 from tidemark.functions.coerce import finite, strip
+from tidemark.session import stored
 
 # Fields a ranking may sort by, and the sort orders.
 RANK_FIELDS = (
@@ -134,6 +135,8 @@ def search_tokens(tokens: DataFrame, text: str, limit: int = SEARCH_LIMIT) -> Da
 
 
 GRAM = 3
+# Bytes of query texts up to which they are sent to every task.
+SENT_BYTES = 8 << 20
 
 
 def _grams(text: Column) -> Column:
@@ -148,22 +151,24 @@ def batch_search(tokens: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMI
     """``search_tokens`` for a table of ``query_id, text``, without pairing every query with every key.
 
     A text that contains the query contains the query's leading gram, so both sides meet on grams (up to three
-    characters) in an equi-join and the substring test only runs on those pairs. Spark picks the join by size. Each
-    task keeps its best ``limit`` rows per query before the exchange.
+    characters) in an equi-join and the substring test only runs on those pairs. Queries of at most ``SENT_BYTES`` are
+    sent to the keys, whose grams are then never exchanged; more are joined by an exchange of both sides. Spark must not
+    choose here: it takes the grams for as small as the file of the keys. Keys are dealt out before they become many grams.
+    Each task keeps its best ``limit`` rows per query before the exchange.
     """
     needle = F.lower("_raw")
-    asked = (
+    asked = stored(
         queries.select("query_id", strip(F.col("text")).alias("_raw"))
         .where("_raw <> ''")
         .select("query_id", "_raw", needle.alias("_needle"))
         .withColumn("_gram", F.substring("_needle", 1, GRAM))
     )
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("_raw")), F.lit(0))).first()[0]
     per_field = [_grams(field) for field in _search_fields()]
-    indexed = tokens.where("tracking_enabled").select(
-        "mint",
-        "symbol",
-        "name",
-        finite(F.col("market_cap")).alias("market_cap"),
+    keys = tokens.where("tracking_enabled").select("mint", "symbol", "name", finite(F.col("market_cap")).alias("market_cap"))
+    dealt = keys.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    indexed = dealt.select(
+        "*",
         F.explode(F.array_distinct(F.concat(*per_field))).alias("_gram"),
     )
     hit = F.lit(False)
@@ -173,7 +178,7 @@ def batch_search(tokens: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMI
         (F.col("mint") == F.col("_raw")).desc(), F.col("market_cap").desc_nulls_last(), _label().asc()
     )
     return (
-        indexed.join(asked, "_gram")
+        indexed.join(asked.hint("broadcast" if size <= SENT_BYTES else "merge"), "_gram")
         .where(hit)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= limit)
