@@ -131,3 +131,18 @@ def test_wording_that_many_items_share_tells_nothing(spark, docs):
     got = found(docs(rows), benchmark)
     assert got == {(50, 3), (51, 7), (52, 100)}
     assert decontamination.clean(docs(rows), benchmark).count() == 40
+
+
+def test_shared_wording_counts_in_pairs_and_like_items_have_rows(spark, docs):
+    """Wording of ten items completes a copy that a telling window points to; items of the same shape all get their rows."""
+    shared = ["one", "instruction", "before", "every", "item", "reads", "quite", "alike", "here", "and", "ends"]
+    item = lambda k: " ".join([*shared, *[f"q{chr(97 + k)}{chr(97 + n)}" for n in range(12)]])
+    items = [(k, item(k)) for k in range(10)]
+    alike = [(100 + k, f"what is the sum of {k + 2} apples and {3 * k + 7} pears in his large old basket") for k in range(12)]
+    benchmark = spark.createDataFrame(items + alike, "item_id long, text string")
+    part = " ".join(item(4).split()[:14])  # four windows of shared wording, three telling ones of twelve
+    rows = docs([(1, f"some talk {part} then other talk"), (2, " ".join(shared)), (3, "so " + alike[5][1])])
+    got = decontamination.contaminated(rows, benchmark)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 4), (3, 100)}
+    every = decontamination.with_members(got, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in every) == [(1, 4), *[(3, 100 + k) for k in range(12)]]

@@ -6,7 +6,7 @@ the item repeats in several slots has one value in the document too, and placeho
 with other numbers and names are caught while texts that share a phrase are not.
 
 A document is contaminated by an item if consistent windows cover ``RUN`` words of it or ``SHARE`` of its windows; windows that
-more than ``MANY`` items share do not count where an item has others (``telling``). Items
+more than ``MANY`` items share make no pair where an item has others (``telling``), and count in the pairs these make. Items
 shorter than a window are one window of their own length. Items without a window (under ``SHORTEST`` words, or too few plain
 ones) and items mainly in a script without spaces are also looked for literally and whole, with their own numbers and names;
 below ``LITERAL`` words or characters only as a whole line, since any text may contain them. Null and empty texts match nothing. Repeated rows and repeated items give one result per (doc_id, item_id);
@@ -257,23 +257,44 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
     return map_text(benchmark, run, "key long, at int, width int, slots array<string>, spots array<int>, item_id long, windows int", id_col, text_col).dropDuplicates(["item_id", "at", "width", "key"])
 
 
-def telling(items: DataFrame, many: int = MANY) -> DataFrame:
-    """The windows that tell an item from others, with ``windows`` counting these alone.
-
-    A window of more than ``many`` items is wording they share, such as an instruction: it says that a text is of their kind,
-    not which of them it holds, and would be met by every text with every item. Only an item that has no other windows keeps
-    them; of several with the same ones, in the same order and with the same slots alike, that of the smallest id does.
-    """
+def _judged_items(items: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+    """``items`` with the number of items that share a window, and per item: ``own`` windows, and the first of its like."""
     spread = items.groupBy("key", "width").agg(F.countDistinct("item_id").alias("_items"))
     marked = items.join(spread, ["key", "width"])
     alike = F.transform("slots", lambda slot: F.array_position("slots", slot))
     shape = F.xxhash64(F.array_sort(F.collect_list(F.struct("at", "key", alike.alias("alike")))))
-    per_item = marked.groupBy("item_id").agg(F.count_if(F.col("_items") <= many).cast("int").alias("_own"), shape.alias("_shape"))
-    first = F.row_number().over(Window.partitionBy("_own", "_shape").orderBy("item_id"))
-    per_item = per_item.withColumn("_first", F.when(F.col("_own") == 0, first).otherwise(1)).filter("_first = 1")
-    per_item = per_item.withColumnRenamed("item_id", "_item_id")
-    kept = marked.join(per_item, marked["item_id"].eqNullSafe(per_item["_item_id"])).filter((F.col("_items") <= many) | (F.col("_own") == 0))
-    return kept.withColumn("windows", F.when(F.col("_own") > 0, F.col("_own")).otherwise(F.col("windows"))).select(*items.columns)
+    per_item = marked.groupBy("item_id").agg(F.count_if(F.col("_items") <= many).cast("int").alias("own"), shape.alias("_shape"))
+    like = Window.partitionBy("own", "_shape").orderBy("item_id")
+    first = F.when(F.col("own") == 0, F.first("item_id").over(like)).otherwise(F.col("item_id"))
+    return marked, per_item.select(F.col("item_id").alias("_item_id"), "own", first.alias("first_id"))
+
+
+def telling(items: DataFrame, many: int = MANY) -> DataFrame:
+    """The windows with ``common``: whether a window does not tell the item from others, and ``own``: how many do.
+
+    A window of more than ``many`` items is wording they share, such as an instruction: it says that a text is of their kind,
+    not which of them it holds, and would be met by every text with every item. An item that has no other windows is told by
+    them; of several with the same ones, in the same order and with the same slots alike, that of the smallest id stands for
+    all (``members``).
+    """
+    marked, per_item = _judged_items(items, many)
+    kept = marked.join(per_item, marked["item_id"].eqNullSafe(per_item["_item_id"])).filter(F.col("first_id").eqNullSafe(F.col("_item_id")))
+    common = (F.col("_items") > many) & (F.col("own") > 0)
+    own = F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("windows"))
+    return kept.select(*items.columns, common.alias("common"), own.alias("own"))
+
+
+def members(benchmark: DataFrame, window: int = WINDOW, many: int = MANY) -> DataFrame:
+    """(item_id, member_id) of the items for which another one stands in ``contaminated``."""
+    per_item = _judged_items(checkpointed(item_windows(benchmark, window)), many)[1]
+    return per_item.filter(~F.col("first_id").eqNullSafe(F.col("_item_id"))).select(F.col("first_id").alias("item_id"), F.col("_item_id").alias("member_id"))
+
+
+def with_members(found: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``contaminated`` with those of the items that another one stands for."""
+    like = members(benchmark).withColumnRenamed("item_id", "_first")
+    other = found.join(like, found["item_id"].eqNullSafe(like["_first"]))
+    return found.union(other.select(*[F.col("member_id").alias(c) if c == "item_id" else F.col(c) for c in found.columns]))
 
 
 def matching_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -324,16 +345,8 @@ def _occurrences(met: DataFrame, pair: list[str]) -> DataFrame:
     return numbered.withColumn("_alike", alike).withColumn("main", main["offset"]).drop("_alike")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, share: float = SHARE) -> DataFrame:
-    """(doc_id, text_hash, item_id, matched, windows, consistency) for every document and item that it contains.
-
-    Judged is every occurrence of the item by itself, and all its windows in the document together (where one is met more
-    than once, the verbatim one counts), since a copy can also be torn apart; the best of what passes is reported. An item
-    that is found literally counts as one window.
-    """
-    items = checkpointed(telling(checkpointed(item_windows(benchmark, window))))
-    hits = matching_windows(docs, items, window).select("key", "width", "doc_id", "text_hash", "at", F.col("slots").alias("doc_slots"))
-    met = hits.join(items.select("key", "width", "item_id", "windows", F.col("at").alias("item_at"), "slots", "spots"), ["key", "width"])
+def _passed(met: DataFrame, run: int, share: float) -> DataFrame:
+    """The occurrences that contaminate, from the windows of a document that are an item's."""
     pair = ["doc_id", "text_hash", "item_id"]
     met = checkpointed(_occurrences(met.withColumn("offset", F.col("at") - F.col("item_at")), pair))
     part = [*pair, "occurrence"]
@@ -353,7 +366,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ru
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part]
     judged = matched.join(kept, same, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
     covers = (F.col("matched") >= share * F.col("windows")) | (F.col("matched") + F.col("width") - 1 >= run)
-    passed = judged.filter(covers & (F.col("consistency") >= CONSISTENT))
+    return judged.filter(covers & (F.col("consistency") >= CONSISTENT))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, share: float = SHARE) -> DataFrame:
+    """(doc_id, text_hash, item_id, matched, windows, consistency) for every document and item that it contains.
+
+    Judged is every occurrence of the item by itself, and all its windows in the document together (where one is met more
+    than once, the verbatim one counts), since a copy can also be torn apart; the best of what passes is reported,
+    by its telling windows alone or by all of them. An item that is found literally counts as one window. Items that another
+    one stands for come by ``with_members``.
+    """
+    items = checkpointed(telling(checkpointed(item_windows(benchmark, window))))
+    hits = matching_windows(docs, items, window).select("key", "width", "doc_id", "text_hash", "at", F.col("slots").alias("doc_slots"))
+    of_items = items.select("key", "width", "item_id", "windows", "own", "common", F.col("at").alias("item_at"), "slots", "spots")
+    pair = ["doc_id", "text_hash", "item_id"]
+    if items.filter("common").isEmpty():
+        passed = _passed(hits.join(of_items.drop("own", "common"), ["key", "width"]), run, share)
+    else:
+        hits = checkpointed(hits)
+        own = checkpointed(hits.join(of_items.filter("NOT common"), ["key", "width"]))
+        # Common wording counts for the pairs that have a window of their own, which are few, and makes no pairs by itself.
+        pairs = own.select(*[F.col(c).alias(f"_{c}") for c in pair]).distinct()
+        wording = of_items.filter("common").withColumnsRenamed({"key": "_key", "width": "_width"})
+        asked = pairs.join(wording, F.col("item_id").eqNullSafe(F.col("_item_id")))
+        at = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("key", "width", "doc_id", "text_hash")]
+        rest = hits.join(asked, at).select(*own.columns)
+        told = _passed(own.withColumn("windows", F.col("own")).drop("own", "common"), run, share)
+        passed = told.unionByName(_passed(own.unionByName(rest).drop("own", "common"), run, share))
     literal = checkpointed(literal_items(benchmark, window))
     if not literal.isEmpty():
         whole = literal_matches(docs, literal).join(literal.select("key", "item_id"), "key")

@@ -45,7 +45,8 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = decontamination.with_members(decontamination.contaminated(table(spark, sf_dir, "documents"), benchmark), benchmark)
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.max("consistency").alias("consistency"))
 
 
