@@ -335,3 +335,26 @@ def test_windowed_streams(spark, tmp_path):
         feed.changed_keys_windowed(stream.selectExpr("received_at AS ts", "at AS mint"), 60, 60), "changed", "complete"
     )
     assert changed.agg(F.sum("changed")).first()[0] >= 2
+
+
+def test_a_batch_works_its_versions_out_once(spark, landed, tmp_path, monkeypatch):
+    """Registry and history of a batch read the same held versions, and nothing stays held after it."""
+    plans = {}
+
+    def seen(name, write, rows_of):
+        def wrapped(*args, **kwargs):
+            plans[name] = rows_of(args)._jdf.queryExecution().executedPlan().toString()
+            return write(*args, **kwargs)
+
+        return wrapped
+
+    monkeypatch.setattr(tables, "append_history", seen("history", tables.append_history, lambda a: a[1]))
+    monkeypatch.setattr(tables, "write_state", seen("registry", tables.write_state, lambda a: a[2]["registry"]))
+    root = str(tmp_path / "state")
+    tables.init_tables(spark, root)
+    persistent = spark.sparkContext._jsc.getPersistentRDDs
+    held = set(persistent())
+    collector.process_batch(spark, root, tables.read_polls(spark, landed + "/a.json"), 0)
+    assert "InMemoryTableScan" in plans["history"] and "min_by" in plans["history"]
+    assert plans["registry"].count("InMemoryRelation") == 2  # the registry rows, and the versions below them
+    assert set(persistent()) == held

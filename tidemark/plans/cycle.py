@@ -42,6 +42,7 @@ def lifecycle_cycle(
 
 @dataclass(frozen=True)
 class Batch:
+    versions: DataFrame
     registry: DataFrame
     snapshots: DataFrame
     summary: DataFrame
@@ -55,4 +56,4 @@ def ingest_batch(polls: DataFrame, registry: DataFrame, snapshots: DataFrame) ->
     updated = ingest.changed_registry_rows(registry, folded)
     added = ingest.append_snapshots(newer, snapshots, polls)
     summary = ingest.store_summary(ingest.enriched_keys(registry, folded), newer, added)
-    return Batch(updated, added, summary)
+    return Batch(versions, updated, added, summary)

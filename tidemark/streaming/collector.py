@@ -11,6 +11,7 @@ from __future__ import annotations
 import threading
 from datetime import datetime, timedelta, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,8 +54,10 @@ def process_batch(
     registry = tables.read_registry(spark, root, polled, tag)
     span = polls.agg(F.min("observed_at").alias("lo"), F.max("observed_at").alias("hi")).first()
     ingested = ingest_batch(polls, registry, tables.read_snapshots(spark, root, span.lo, span.hi))
+    # Registry and history come from the same versions: they are worked out once, and lie on disk since a batch may be large.
+    versions = ingested.versions.persist(StorageLevel.DISK_ONLY)
     changed = ingested.registry.persist()
-    held = [changed]
+    held = [changed, versions]
     try:
         tables.append_history(root, ingested.snapshots, tag)
         outputs, closed_until = {"registry": changed}, before.closed_until
