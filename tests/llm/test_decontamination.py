@@ -146,3 +146,19 @@ def test_shared_wording_counts_in_pairs_and_like_items_have_rows(spark, docs):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 4), (3, 100)}
     every = decontamination.with_members(got, benchmark).collect()
     assert sorted((r.doc_id, r.item_id) for r in every) == [(1, 4), *[(3, 100 + k) for k in range(12)]]
+
+
+def test_words_are_read_alike_whatever_is_remembered(monkeypatch):
+    from tidemark.llm import decontamination as dc
+
+    texts = [b"The ten dogs ran 12km to Paris. Then home!", b"... -", b"", None, b"a b c d e f g. NASA \xff \xc3\x89cole", b"the kg of Salt"] * 2
+    monkeypatch.setattr(dc, "MEMO_WORDS", 4)
+    canon = dc.Canon()
+    for text in texts:
+        for got, want in zip(canon.template(text), dc.Canon().template(text)):
+            assert got.tolist() == want.tolist()
+    assert dc.Canon().template(texts[0])[2].tolist() == ["the", "ten", "dogs", "ran", "12km", "to", "paris", "then", "home"]
+    assert dc.Canon().template(texts[0])[1].tolist() == [0, 1, 0, 0, 1, 0, 3, 0, 0]
+    # Plain lower-case words need no normal form.
+    monkeypatch.setattr(dc, "as_text", None)
+    assert dc.Canon().template(b"ten plain words weigh two kg")[1].tolist() == [1, 0, 0, 0, 1, 2]

@@ -59,23 +59,39 @@ _UNSPACED = "\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u
 _LITERAL = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[-+*/^=<>%\u2212\u00d7\u00f7]")
 _ONE_UNSPACED = re.compile(rf"[{_UNSPACED}]")
 PLAIN, NUMBER, UNIT, NAME = range(4)
+NOTHING = -1  # punctuation alone
 _PLACEHOLDER = np.array([0, *(xxh64_intdigest(x) for x in (b"<number>", b"<unit>", b"<name>"))], np.uint64)
 
 
 class Canon:
-    """Per distinct word: hash, kind, capital, end of sentence. Kept up to a bound."""
+    """Per distinct word: hash, kind, capital, end of sentence and canonical form, in arrays by the word's number.
 
-    def __init__(self):
-        self.known: dict[bytes, tuple] = {}
+    They are given up between texts when they hold ``MEMO_WORDS`` words.
+    """
 
-    def _read(self, word: bytes) -> tuple:
-        if len(self.known) >= MEMO_WORDS:
-            self.known.clear()
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self._room(1 << 12)
+
+    def _room(self, size: int) -> None:
+        kept = len(self.known)
+        old = (self.hashes, self.kinds, self.capitals, self.ends, self.lows) if kept else ()
+        self.hashes, self.kinds = np.empty(size, np.uint64), np.empty(size, np.int64)
+        self.capitals, self.ends, self.lows = np.empty(size, bool), np.empty(size, bool), np.empty(size, object)
+        for new, values in zip((self.hashes, self.kinds, self.capitals, self.ends, self.lows), old):
+            new[:kept] = values[:kept]
+
+    @staticmethod
+    def _read(word: bytes) -> tuple[int, int, bool, bool, str]:
+        if word.isalpha() and word.islower():  # a to z: its own canonical form, no capital, no end
+            text = word.decode()
+            kind = NUMBER if text in NUMBER_WORDS else UNIT if text in UNIT_WORDS else PLAIN
+            return xxh64_intdigest(word), kind, False, False, text
         text = as_text(word)
         bare = text.strip(_EDGES)
         low = bare.lower()
         if not bare:
-            kind = None
+            kind = NOTHING
         elif _NUMBER.fullmatch(low) or low in NUMBER_WORDS:
             kind = NUMBER
         elif low in UNIT_WORDS:
@@ -83,18 +99,34 @@ class Canon:
         else:
             kind = PLAIN
         capital = bool(bare) and bare[0].isupper() and not (len(bare) > 1 and bare.isupper())
-        got = self.known[word] = (xxh64_intdigest(low.encode()), kind, capital, text.rstrip("\"')]»”’")[-1:] in ".?!:", low)
-        return got
-
-    def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        return xxh64_intdigest(low.encode()), kind, capital, text.rstrip("\"')]»”’")[-1:] in ".?!:", low
+
+    def _learn(self, words: list[bytes]) -> None:
+        at, end = len(self.known), len(self.known) + len(words)
+        if end > len(self.hashes):
+            self._room(2 * end)
+        columns = zip(*map(self._read, words))
+        for kept, values in zip((self.hashes, self.kinds, self.capitals, self.ends, self.lows), columns):
+            kept[at:end] = values
+        self.known.update(zip(words, range(at, end)))
+
+    def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template hash, kind and canonical word of every word that has more than punctuation."""
-        known = self.known
-        found = [known.get(w) or self._read(w) for w in (text or b"").split()]
-        begins = [True, *[f[3] for f in found[:-1]]] if found else []
-        pairs = [(f, b) for f, b in zip(found, begins) if f[1] is not None]
-        kinds = np.array([NAME if f[1] == PLAIN and f[2] and not b else f[1] for f, b in pairs], np.int64)
-        hashes = np.array([f[0] for f, _ in pairs], np.uint64)
-        return np.where(kinds == PLAIN, hashes, _PLACEHOLDER[kinds]), kinds, [f[4] for f, _ in pairs]
+        if len(self.known) >= MEMO_WORDS:
+            self.known.clear()
+        words = (text or b"").split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn(list({word: None for word, code in zip(words, found) if code is None}))
+            found = list(map(self.known.__getitem__, words))
+        codes = np.array(found, np.int64)
+        begins = np.ones(len(codes), bool)
+        begins[1:] = self.ends[codes[:-1]]
+        kinds = self.kinds[codes]
+        kinds[(kinds == PLAIN) & self.capitals[codes] & ~begins] = NAME
+        some = kinds != NOTHING
+        codes, kinds = codes[some], kinds[some]
+        return np.where(kinds == PLAIN, self.hashes[codes], _PLACEHOLDER[kinds]), kinds, self.lows[codes]
 
 
 def window_hashes(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
