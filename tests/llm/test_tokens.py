@@ -85,3 +85,25 @@ def test_token_files(spark, odd, tokenizer, tmp_path):
     plan = token_files.read(spark, out).filter("doc_id = 5")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,5)" in plan
     assert token_files.read(spark, out).filter("doc_id = 5").count() == 2
+
+
+def test_a_word_is_looked_up_once_in_a_batch():
+    own = token_files.WordCodec(public_tokenizers.path(token_files.VOCABULARY))
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word, default=None):
+            Counted.asked += 1
+            return dict.get(self, word, default)
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return dict.__getitem__(self, word)
+
+    own.words = Counted()
+    texts = [b" Plain words plain\x0bwords  ", None, b"", b"\xff\xc3 plain \xc3", "Wörter É words".encode()] * 50
+    ids, starts = own.encode_lists(texts)
+    plain = [own.tokenizer.encode((t or b"").decode(errors="replace"), add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == plain
+    assert Counted.asked <= 7  # different words, the empty one before a leading blank among them

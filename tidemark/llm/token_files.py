@@ -16,6 +16,7 @@ from itertools import accumulate
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -77,40 +78,67 @@ class WordCodec:
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not remembered."""
-        split, whole = {}, []
-        for word in words:
-            text = as_text(word)
-            if _PLAIN.fullmatch(text):
-                split[word] = (text,) if text.isalpha() and text.islower() else _PIECE.findall(text.lower())
-            else:
+        alone, split, whole = {}, {}, []
+        # No word holds a line break, so all are decoded at once.
+        for word, text in zip(words, as_text(b"\n".join(words)).split("\n")):
+            if not _PLAIN.fullmatch(text):
                 whole.append(word)
-        new = {p for parts in split.values() for p in parts}.difference(self.parts)
+            elif text.isalpha() and text.islower():
+                alone[word] = text
+            else:
+                split[word] = _PIECE.findall(text.lower())
+        every = {p for parts in split.values() for p in parts}.union(alone.values())
+        new = every.difference(self.parts)
         if len(self.parts) + len(new) > MEMO_WORDS:
-            self.parts = {}
-            new = {p for parts in split.values() for p in parts}
+            self.parts, new = {}, every
         fresh = sorted(new)
         self.parts.update(zip(fresh, self._pieces(fresh)))
         get = self.parts.__getitem__
-        learnt = {word: b"".join(map(get, parts)) for word, parts in split.items()}
+        learnt = dict(zip(alone, map(get, alone.values())))
+        learnt.update((word, b"".join(map(get, parts))) for word, parts in split.items())
         learnt.update(zip(whole, self._library([as_text(w) for w in whole])))
         if len(self.parts) > MEMO_WORDS:
             self.parts = {}
         return learnt
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        lists = [(t or b"").lower().split() for t in texts]
-        unknown = set().union(*lists).difference(self.words)
-        extra = self._learn(unknown) if unknown else {}
-        if len(self.words) + len(extra) > MEMO_WORDS:
-            known = {w: self.words[w] for w in set().union(*lists).intersection(self.words)}
+    def _coded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, remembered ones and others."""
+        found = list(map(self.words.get, words))
+        if None not in found:
+            return found
+        learnt = self._learn({word for word, ids in zip(words, found) if ids is None})
+        if len(self.words) + len(learnt) > MEMO_WORDS:
             self.words = {}
-            extra.update(known)
-        self.words.update(extra)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in lists]
-        for word in [w for w in extra if len(w) > MEMO_LENGTH]:
+        self.words.update(learnt)
+        for word in [w for w in learnt if len(w) > MEMO_LENGTH]:
             del self.words[word]
-        return out
+        return [learnt[word] if ids is None else ids for word, ids in zip(words, found)]
+
+    def encode_lists(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where each text begins among them; the end is the last entry.
+
+        Arrow splits the texts and numbers their different words, so that each of these is looked up once.
+        """
+        raw = pa.array([t or b"" for t in texts], pa.large_binary())
+        # The same bytes under the type that these two functions ask for; both go byte by byte.
+        plain = pa.Array.from_buffers(pa.large_string(), len(raw), raw.buffers())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        words = lists.values.dictionary_encode()
+        _, offsets, data = words.dictionary.buffers()
+        cuts = np.frombuffer(offsets, np.int64, len(words.dictionary) + 1).tolist() if offsets else [0]
+        data = data.to_pybytes() if data else b""
+        coded = self._coded([data[a:b] for a, b in zip(cuts, cuts[1:])])
+        flat = np.frombuffer(b"".join(coded), dtype="<u4")
+        sizes = np.array(list(map(len, coded)), dtype=np.int64) // 4
+        at, codes = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        ids = flat[np.repeat(at[codes] - ends[:-1], sizes[codes]) + np.arange(ends[-1])]
+        return ids, ends[lists.offsets.to_numpy()]
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        ids, starts = self.encode_lists(texts)
+        data, cuts = ids.tobytes(), (4 * starts).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -121,15 +149,14 @@ def codec(path: str) -> WordCodec:
 def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write the files. ``local_start`` counts the ids before a document in its own file."""
     path = path or public_tokenizers.path(VOCABULARY)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Rows) -> Rows:
         coder, part, start = codec(path), TaskContext.get().partitionId(), 0
         for ids, texts in id_text(batches, 2 << 20):
-            coded = [x + end for x in coder.encode(texts)]
-            counts = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(counts)])
-            values = np.frombuffer(b"".join(coded), dtype="<i4")
+            values, starts = coder.encode_lists(texts)
+            values = np.insert(values.view("<i4"), starts[1:], end_id)
+            offsets = starts + np.arange(len(starts))
+            counts = np.diff(offsets)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(counts), lists],
