@@ -100,6 +100,26 @@ FULL = {
 }
 
 
+def test_reports_of_plain_kinds_are_read_in_one_step(spark):
+    """A key with a blank in its name makes the same figures come from the value-by-value reading."""
+
+    def report(extra):
+        holder = lambda a, o, p, i: {"address": a, "owner": o, "pct": p, "insider": i, **extra}
+        return {
+            "topHolders": [holder("A", "B", 2.5, True), holder("B", None, 1, False), holder("B", "C", None, None), None],
+            "knownAccounts": {"A": {"name": "n", "type": "t", **extra}, "B": {"name": "m", "type": None}, "C": 5},
+            "markets": [{"marketType": "X", "lp": {"baseUSD": 1, "lpLockedPct": 2.5}, **extra}, {"marketType": "", "lp": None}],
+            "creator": "B",
+        }
+
+    df = reports(spark, report({}), report({"x y": 1}), report({"x": "y"}))
+    one, walked, other = [r.summary for r in risk.project_report(df).orderBy("report_id").select(F.to_json("summary").alias("summary")).collect()]
+    assert one == walked == other and '"labelled_pct":3.5' in one
+    # An account is looked up once for its name and its type.
+    plan = risk.project_report(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("element_at(") == 1
+
+
 def test_risk_projection(spark):
     df = reports(spark, FULL, {}, {"topHolders": [{"address": "A"}], "markets": {}, "knownAccounts": [], "risks": None, "lockers": 1, "transferFee": 5})
     own = {r.report_id: r for r in risk.holder_metrics(df).collect()}
