@@ -69,6 +69,39 @@ def test_equal_texts(docs):
     assert got["alpha beta gamma"] == 40 * 30 and got["gamma alpha"] == 40 * 29 and got[""] == 40 * 90
 
 
+def test_bytes_exchanged_per_run(docs):
+    draw = random.Random(5)
+    texts = [[f"w{int(draw.paretovariate(0.4)) % 30_000}" for _ in range(300)] for _ in range(300)]
+    runs = {tuple(t[i : i + k]) for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1)}
+    entries = collocations._entries(docs([(i, " ".join(t)) for i, t in enumerate(texts)]), 3, collocations.KEPT_BITS, 3)
+    back = collocations._frequent(entries, 3, 10, 3)
+    sent = sum(len(r.packed) for df in (entries, back) for r in df.select("packed").collect() if r.packed[:1] != b"T")
+    assert 1 < sent / len(runs) < 5
+
+
+def test_same_bytes_in_other_texts(docs):
+    rows = [(1, "x x\ny", "en"), (2, "z", "de"), (3, "x x", "en"), (4, "y\nz", "de")]
+    both = docs(rows).repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id")  # two blocks of the same bytes
+    assert [[r.doc_id for r in part] for part in both.rdd.glom().collect()] == [[1, 2], [3, 4]]
+    got = {(r.lang, r.phrase): r.n for r in collocations.phrase_counts(both, 2, 1).collect()}
+    assert got == {("en", ""): 5, ("de", ""): 3, ("en", "x"): 4, ("en", "x x"): 2, ("en", "y"): 1, ("de", "y"): 1, ("de", "z"): 2}
+
+
+def test_any_name_of_a_language(docs):
+    rows = [(i, "a b", g) for i, g in enumerate(["x", "x\0y", "", "y"])]
+    got = {(r.lang, r.phrase): r.n for r in collocations.phrase_counts(docs(rows), 2, 1).collect()}
+    assert got == {(g, p): n for _, _, g in rows for p, n in (("", 2), ("a", 1), ("b", 1), ("a b", 1))}
+
+
+def test_keys_in_order():
+    draw = np.random.default_rng(2)
+    for low in (0, 5):
+        keys = draw.integers(0, 50, 1000).astype(np.uint64) << np.uint64(40) | np.uint64(low)
+        got, at = collocations.ordered(keys)
+        order = np.argsort(keys, kind="stable")
+        assert (got == keys[order]).all() and (at == order).all()
+
+
 def test_nothing_to_count(docs, empty):
     assert collocations.collocations(empty).count() == 0
     assert collocations.collocations(docs([(1, None), (2, " .,\n"), (3, "once only")])).count() == 0

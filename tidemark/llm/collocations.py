@@ -2,10 +2,11 @@
 
 Texts are gathered in blocks. Prefix polynomials over the bytes of a block give the hash of every word, prefix polynomials
 over these the fingerprint of every run of 1 to ``max_words`` words inside a piece. Inside a block, occurrences with one
-fingerprint are compared word by word with the first of them, so a block's entry (fingerprint, count, pointer to an
-occurrence) is exact. Entries meet by fingerprint; those of fingerprints with enough occurrences send their pointers back to
-their blocks, where the words are read from the text. Counts are then added by the words themselves: fingerprints that
-several phrases share lose or join nothing, and no phrase below the wanted count is ever written out.
+fingerprint are compared word by word with the first of them, so a block's entry (fingerprint, count) is exact. Entries meet by
+fingerprint, and each block gets back one bit for every entry: whether its fingerprint has enough occurrences in all. The block
+is counted again, which gives the same entries in the same order, and writes the words of those it keeps. Counts are then added
+by the words themselves: fingerprints that several phrases share lose or join nothing, and no phrase whose fingerprint stays
+below the wanted count is ever written out.
 
 Pieces end at ``[.,;:!?\\x0A-\\x0D]``, words at blanks and tabs; A-Z is lower-cased. All figures are per language; a missing
 language is ``und``, a null or empty text has no words, and every row counts, repeated ones as often as they stand. The rows'
@@ -15,11 +16,11 @@ ids are not used.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64, xxh64_intdigest
 
@@ -34,7 +35,9 @@ UNKNOWN = "und"
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK_TEXT = 8 << 20
 #: Bits of a fingerprint that travel: phrases that share them are told apart by their text.
-KEPT_BITS = ((1 << 48) - 1) << 16
+KEPT_BITS = ((1 << 40) - 1) << 24
+#: The bits below them, which hold a position while fingerprints are sorted.
+LOW = np.uint64((1 << 24) - 1)
 #: Words whose bytes are hashed or compared at once.
 STEP = 1 << 17
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -95,10 +98,26 @@ def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.arange(int(size.sum()), dtype=np.int32) + np.repeat(start - begin, size)]
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys ascending, and where each stood, equal ones in their order. Keys with free low bits are sorted with their places in these."""
+    if len(keys) <= int(LOW) and not (keys & LOW).any():
+        both = np.sort(keys | np.arange(len(keys), dtype=np.uint64))
+        return both & ~LOW, (both & LOW).astype(np.int32)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each different key of an ascending array begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
 def word_ids(data: np.ndarray, words: Words, hashes: np.ndarray) -> np.ndarray:
     """A number for every word such that equal numbers mean equal bytes: hashes decide, the text is compared."""
-    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
-    first, ids = first.astype(np.int32), ids.astype(np.int32)
+    keys, order = ordered(hashes)
+    begin = firsts(keys)
+    first, ids = order[begin].astype(np.int32), np.empty(len(keys), np.int32)
+    ids[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(keys))))
     size = words.end - words.start
     rep = first[ids]
     same = size == size[rep]
@@ -126,9 +145,8 @@ def word_hashes(data: np.ndarray, words: Words, powers: Powers) -> np.ndarray:
 
 def grouped(prints: np.ndarray, at: np.ndarray, ids: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, count, first word) of every different run of ``n`` words in a language, ascending by fingerprint."""
-    order = np.argsort(prints, kind="stable").astype(np.int32)
-    prints, at = prints[order], at[order]
-    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.empty(0, np.int64)
+    prints, order = ordered(prints)
+    at, first = at[order], firsts(prints)
     count = np.diff(np.append(first, len(prints))).astype(np.int32)
     rep = np.repeat(at[first], count)
     same = code[at] == code[rep]
@@ -159,48 +177,60 @@ def _unplaned(raw: np.ndarray, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
 
+class Counter:
+    """Counts the runs of words of a block. The same block gives the same entries in the same order, whenever it is counted."""
+
+    def __init__(self, max_words: int, mask: int):
+        self.max_words, self.mask = max_words, np.uint64(mask)
+        self.bytes, self.words = Powers(_BYTE_BASE), Powers(_WORD_BASE)
+
+    def entries(self, data: np.ndarray, words: Words, code: np.ndarray, names: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of 1, 2, ... words what ``grouped`` says of them."""
+        salt = np.array([xxh64_intdigest(g, 7) for g in names], np.uint64)[code]
+        hashes = word_hashes(data, words, self.bytes) & self.mask
+        ids = word_ids(data, words, hashes)
+        lists = []
+        for n in range(1, self.max_words + 1):
+            at = np.arange(max(0, len(ids) - n + 1), dtype=np.int32)
+            at = at[words.piece[at] == words.piece[at + n - 1]]
+            prints = mixed(spans(hashes, self.words, at, at + n) + salt[at] + np.uint64(n)) & self.mask
+            lists.append(grouped(prints, at, ids, code, n))
+        return lists
+
+
 class Block:
     """Texts of one task until their runs of words are counted."""
 
-    def __init__(self, max_words: int, mask: int):
-        self.texts, self.langs, self.held, self.max_words, self.mask = [], [], 0, max_words, np.uint64(mask)
+    def __init__(self):
+        self.texts, self.langs, self.held = [], [], 0
 
     def add(self, text: bytes, lang: bytes) -> None:
         self.texts.append(text)
         self.langs.append(lang)
         self.held += len(text) + 1
 
-    def emit(self, byte_powers: Powers, word_powers: Powers, buckets: int) -> pa.RecordBatch:
+    def emit(self, counter: Counter, buckets: int) -> pa.RecordBatch:
         text = b"\n".join(self.texts).lower() + b"\n"
         data = np.frombuffer(text, np.uint8)
         words = Words.of(data)
         doc_end = np.cumsum([len(t) + 1 for t in self.texts])
-        doc = np.searchsorted(doc_end, words.start, "right")
         names = sorted(set(self.langs))
-        code = np.array([names.index(g) for g in self.langs], np.uint16)[doc]
-        salt = np.array([xxh64_intdigest(g, 7) for g in names], np.uint64)[code]
-        hashes = word_hashes(data, words, byte_powers) & self.mask
-        ids = word_ids(data, words, hashes)
+        number = {g: i for i, g in enumerate(names)}
+        code = np.array([number[g] for g in self.langs], np.uint16)[np.searchsorted(doc_end, words.start, "right")]
         tagged = xxh64(text)
-        tagged.update(b"\0".join(self.langs))
+        tagged.update(b"\0".join(names))
+        tagged.update(code.tobytes())
         block = tagged.intdigest() & ((1 << 63) - 1)
-        per_lang = np.bincount(code, minlength=len(names))
 
-        lists = []
-        for n in range(1, self.max_words + 1):
-            at = np.arange(max(0, len(ids) - n + 1), dtype=np.int32)
-            at = at[words.piece[at] == words.piece[at + n - 1]]
-            prints = mixed(spans(hashes, word_powers, at, at + n) + salt[at] + np.uint64(n)) & self.mask
-            lists.append(grouped(prints, at, ids, code, n))
-        parts, blocks = [block % buckets], [b"T" + pack(text, b"\0".join(names), code, per_lang)]
-        cuts = [np.searchsorted(bucket_of(p, buckets), np.arange(buckets + 1)) for p, _, _ in lists]
+        lists = counter.entries(data, words, code, names)
+        parts, blocks = [block % buckets], [b"T" + pack(text, code, *names)]
+        cuts = [bucket_edges(p, buckets) for p, _, _ in lists]
         for b in range(buckets):
             arrays = []
-            for n, ((prints, count, at), cut) in enumerate(zip(lists, cuts)):
+            for (prints, count, _), cut in zip(lists, cuts):
                 of = slice(cut[b], cut[b + 1])
-                where = (at[of].astype(np.int64) * self.max_words + n).astype(np.uint32 if len(ids) * self.max_words < 1 << 32 else np.uint64)
-                arrays += [_planes(np.diff(prints[of], prepend=np.uint64(0))), _planes(count[of].astype(np.uint32)), where.dtype.str.encode(), _planes(where)]
-            if any(len(a) for a in arrays[::4]):
+                arrays += [_planes(np.diff(prints[of], prepend=np.uint64(0))), _planes(count[of].astype(np.uint32))]
+            if any(len(a) for a in arrays):
                 parts.append(b)
                 blocks.append(b"E" + pack(*arrays))
         return record({"part": (parts, pa.int32()), "block": ([block] * len(parts), pa.int64()), "packed": (blocks, pa.binary())})
@@ -210,91 +240,124 @@ def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
     return ((prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def bucket_edges(prints: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's part of ascending fingerprints begins, and the end."""
+    return np.searchsorted(bucket_of(prints, buckets), np.arange(buckets + 1))
+
+
 def _entries(docs: DataFrame, max_words: int, mask: int, buckets: int) -> DataFrame:
     def run(batches: Rows) -> Rows:
-        byte_powers, word_powers = Powers(_BYTE_BASE), Powers(_WORD_BASE)
-        block = Block(max_words, mask)
+        counter, block = Counter(max_words, mask), Block()
         for batch in batches:
             for lang, text in zip(batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())):
                 if len(text := text.as_py()):
-                    block.add(text, lang.as_py())
+                    block.add(text, lang.as_py().decode(errors="replace").encode())
                 if block.held >= BLOCK_TEXT:
-                    yield block.emit(byte_powers, word_powers, buckets)
-                    block = Block(max_words, mask)
+                    yield block.emit(counter, buckets)
+                    block = Block()
         if block.texts:
-            yield block.emit(byte_powers, word_powers, buckets)
+            yield block.emit(counter, buckets)
 
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)), F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(run, "part int, block long, packed binary")
 
 
 def _frequent(entries: DataFrame, max_words: int, min_count: int, buckets: int) -> DataFrame:
-    """Pointers of the fingerprints with enough occurrences, by block, and the blocks' texts."""
+    """One bit for every entry, by block and bucket: whether its fingerprint has enough occurrences; and the blocks' texts."""
 
     def run(batches: Rows) -> Rows:
-        prints, counts, where, of = [], [], [], []
+        prints, counts, of = [], [], []
         for batch in batches:
-            for block, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for part, block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = packed.as_py()
                 if raw[:1] == b"T":
                     yield record({"block": ([block], pa.int64()), "packed": ([raw], pa.binary())})
                     continue
                 arrays = unpack(raw[1:])
-                for n in range(max_words):
-                    p, c, kind, w = arrays[4 * n : 4 * n + 4]
+                for p, c in zip(arrays[::2], arrays[1::2]):
                     prints.append(np.cumsum(_unplaned(p, np.uint64), dtype=np.uint64))
                     counts.append(_unplaned(c, np.uint32))
-                    where.append(_unplaned(w, np.dtype(kind.decode())).astype(np.uint64))
-                    of.append(np.full(len(prints[-1]), block, np.int64))
-        if not prints:
+                of.append((block, part))
+        if not of:
             return
-        prints, counts = np.concatenate(prints), np.concatenate(counts)
-        order = np.argsort(prints, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(prints[order]) > 0]))
-        total = np.add.reduceat(counts[order], first, dtype=np.int64)
-        keep = order[np.repeat(total >= min_count, np.diff(np.append(first, len(order))))]
-        where, of, counts = np.concatenate(where)[keep], np.concatenate(of)[keep], counts[keep]
-        order = np.lexsort((where, of))
-        for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            if len(own):
-                yield record({"block": ([int(of[own[0]])], pa.int64()), "packed": ([b"P" + pack(where[own], counts[own])], pa.binary())})
+        ends = np.cumsum([len(p) for p in prints])
+        keys, order = ordered(np.concatenate(prints))
+        first = firsts(keys)
+        total = np.add.reduceat(np.concatenate(counts)[order], first, dtype=np.int64)
+        keep = np.empty(len(keys), bool)
+        keep[order] = np.repeat(total >= min_count, np.diff(np.append(first, len(keys))))
+        bits = [np.packbits(some) for some in np.split(keep, ends[:-1])]
+        packs = [b"K" + pack(np.array([part]), *bits[i * max_words : (i + 1) * max_words]) for i, (_, part) in enumerate(of)]
+        yield record({"block": ([block for block, _ in of], pa.int64()), "packed": (packs, pa.binary())})
 
     return entries.repartitionById(buckets, "part").mapInArrow(run, "block long, packed binary")
 
 
-def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    size = end - start
-    offsets = np.zeros(len(size) + 1, np.int32)
-    np.cumsum(size, out=offsets[1:])
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(_gathered(data, start, size).tobytes()))
+def _flat(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words, each with one blank behind it, and where each begins."""
+    inside = _KIND[data] == 0
+    behind = np.zeros(len(data), bool)
+    behind[1:] = inside[:-1] & ~inside[1:]
+    size = words.end - words.start + 1
+    return np.where(inside, data, np.uint8(32))[inside | behind], np.cumsum(size, dtype=np.int32) - size
 
 
-def _texts(raw: bytes, copies: int, packs: list[bytes], max_words: int) -> Iterator[pa.RecordBatch]:
-    """(lang, words, phrase, n) of one block; rows without words hold the number of all words of a language."""
-    text, names, code, per_lang = unpack(raw[1:])
-    names = np.array([g.decode(errors="replace") for g in names.split(b"\0")], object)
-    kinds = {"lang": pa.string(), "words": pa.int32(), "phrase": pa.string(), "n": pa.int64()}
-    yield record({"lang": (names, kinds["lang"]), "words": ([0] * len(names), kinds["words"]), "phrase": ([""] * len(names), kinds["phrase"]), "n": (per_lang * copies, kinds["n"])})
+def _phrases(raw: bytes, copies: int, packs: list[bytes], counter: Counter, buckets: int) -> Rows:
+    """A block's phrases of kept fingerprints with their counts, packed by bucket; 0 words: the number of all words of a language."""
+    text, code, *names = unpack(raw[1:])
     data = np.frombuffer(text, np.uint8)
     words = Words.of(data)
-    plain = np.ones(len(words.start), bool)  # one blank, and no more, before this word
-    plain[1:] = (words.start[1:] == words.end[:-1] + 1) & (data[words.end[:-1]] == 32)
-    for packed in packs:
-        where, count = unpack(packed[1:])
-        for a in range(0, len(where), 100_000):
-            at, n = (where[a : a + 100_000] // np.uint64(max_words)).astype(np.int64), (where[a : a + 100_000] % np.uint64(max_words)).astype(np.int64)
-            even = np.ones(len(at), bool)
-            for k in range(1, max_words):
-                even &= (n < k) | plain[np.minimum(at + k, len(plain) - 1)]
-            for some in (np.flatnonzero(even), np.flatnonzero(~even)):
-                if len(some):
-                    start, end = words.start[at[some]], words.end[at[some] + n[some]]
-                    phrases = _strings(data, start, end)
-                    if not even[some[0]]:
-                        phrases = pa.array([b" ".join(text[s:e].split()) for s, e in zip(start.tolist(), end.tolist())], pa.binary())
-                        phrases = pa.StringArray.from_buffers(len(phrases), phrases.buffers()[1], phrases.buffers()[2])
-                    lang = pa.array(names[code[at[some]]], pa.string())
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(n[some] + 1, pa.int32()), phrases, pa.array(count[a + some].astype(np.int64))], names=list(kinds))
+    lists = counter.entries(data, words, code, names)
+    keeps = {}
+    for packed in packs:  # equal blocks have equal bits
+        part, *bits = unpack(packed[1:])
+        keeps[int(part[0])] = bits
+    found = []
+    for n, (prints, count, at) in enumerate(lists):
+        cut, keep = bucket_edges(prints, buckets), np.zeros(len(prints), bool)
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            keep[cut[b] : cut[b + 1]] = np.unpackbits(keeps[b][n], count=cut[b + 1] - cut[b])
+        found.append((bucket_of(prints[keep], buckets), np.full(int(keep.sum()), n + 1, np.uint8), count[keep], at[keep]))
+    bucket, n, count, at = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(bucket, kind="stable")
+    n, count, at, edges = n[order], count[order].astype(np.int64) * copies, at[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    flat, begin = _flat(data, words)
+    size = (begin + (words.end - words.start))[at + n - 1] - begin[at]
+    b = 0
+    while b < buckets:
+        stop = max(b + 1, int(np.searchsorted(edges, edges[b] + STEP, "right")) - 1)  # buckets whose phrases are gathered at once
+        own = slice(edges[b], edges[stop])
+        phrases, ends = _gathered(flat, begin[at[own]], size[own]), np.append(0, np.cumsum(size[own], dtype=np.int64))
+        for k in range(b, stop):
+            some, (low, high) = slice(edges[k], edges[k + 1]), ends[edges[k : k + 2] - edges[b]]
+            if low < high:
+                yield _packed_phrases(k, n[some], count[some], code[at[some]], size[some], phrases[low:high], names)
+        b = stop
+    zeros = np.zeros(1, np.int32)
+    for k, total in enumerate(np.bincount(code, minlength=len(names)).tolist()):
+        yield _packed_phrases(xxh64_intdigest(names[k]) % buckets, zeros.astype(np.uint8), np.array([total * copies]), zeros, zeros, zeros[:0], [names[k]])
+
+
+def _packed_phrases(part: int, n: np.ndarray, count: np.ndarray, code: np.ndarray, size: np.ndarray, phrases: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
+    packed = pack(n, _planes(count.astype(np.int64)), _planes(code.astype(np.uint16)), _planes(size.astype(np.uint32)), phrases.tobytes(), *names)
+    return record({"part": ([part], pa.int32()), "packed": ([packed], pa.binary())})
+
+
+def _added(batches: Rows, min_count: int) -> Rows:
+    """(lang, words, phrase, n) of one bucket: the blocks' counts added by the words, those that are enough."""
+    tables = []
+    for batch in batches:
+        for packed in batch.column(1):
+            n, count, code, size, phrases, *names = unpack(packed.as_py())
+            lang = pa.array([g.decode() for g in names], pa.string()).take(pa.array(_unplaned(code, np.uint16)))
+            offsets = np.append(0, np.cumsum(_unplaned(size, np.uint32))).astype(np.int32)
+            phrase = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets.tobytes()), pa.py_buffer(phrases))
+            tables.append(pa.RecordBatch.from_arrays([lang, pa.array(n.astype(np.int32)), phrase, pa.array(_unplaned(count, np.int64))], names=["lang", "words", "phrase", "n"]))
+    if tables:
+        sums = pa.Table.from_batches(tables).group_by(["lang", "words", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        sums = sums.rename_columns({"n_sum": "n"}).select(["lang", "words", "phrase", "n"])
+        enough = pc.or_(pc.equal(sums["words"], 0), pc.greater_equal(sums["n"], min_count))
+        yield from sums.filter(enough).to_batches(max_chunksize=STEP)
 
 
 def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, mask: int = KEPT_BITS) -> DataFrame:
@@ -303,7 +366,7 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
     buckets = partitions(docs.sparkSession)
 
     def run(batches: Rows) -> Rows:
-        texts, packs = defaultdict(list), defaultdict(list)
+        counter, texts, packs = Counter(max_words, mask), defaultdict(list), defaultdict(list)
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = packed.as_py()
@@ -312,14 +375,14 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
                 else:
                     packs[block].append(raw)
         if missing := packs.keys() - texts.keys():
-            raise RuntimeError(f"{len(missing)} blocks were made anew with other rows: their pointers lead nowhere")
+            raise RuntimeError(f"{len(missing)} blocks were made anew with other rows: their bits mean nothing")
         for block, copies in texts.items():
-            yield from _texts(copies[0], len(copies), packs[block], max_words)  # equal blocks have equal pointers
+            yield from _phrases(copies[0], len(copies), packs[block], counter, buckets)
 
     entries = _entries(docs, max_words, mask, buckets)
-    pointers = _frequent(entries, max_words, min_count, buckets)
-    found = pointers.repartition(buckets, "block").mapInArrow(run, "lang string, words int, phrase string, n long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("words") == 0) | (F.col("n") >= min_count))
+    kept = _frequent(entries, max_words, min_count, buckets)
+    found = kept.repartition(buckets, "block").mapInArrow(run, "part int, packed binary")
+    return found.repartitionById(buckets, "part").mapInArrow(lambda batches: _added(batches, min_count), "lang string, words int, phrase string, n long")
 
 
 def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, inside: int = INSIDE, top: int | None = TOP) -> DataFrame:
