@@ -93,6 +93,20 @@ def test_any_name_of_a_language(docs):
     assert got == {(g, p): n for _, _, g in rows for p, n in (("", 2), ("a", 1), ("b", 1), ("a b", 1))}
 
 
+def test_packs_name_their_own_languages_only():
+    block, counter = collocations.Block(), collocations.Counter(2, collocations.KEPT_BITS)
+    for i in range(500):
+        block.add(b"one two " * 3, f"language-{i:05}".encode())
+    rows = block.emit(counter, 50).to_pylist()
+    text, kept = next(r["packed"] for r in rows if r["packed"][:1] == b"T"), []
+    for r in rows:
+        if r["packed"][:1] == b"E":
+            counts = collocations.unpack(r["packed"][1:])[1::2]
+            kept.append(b"K" + collocations.pack(np.array([r["part"]]), *(np.packbits(np.ones(len(c) // 4, bool)) for c in counts)))
+    packs = [collocations.unpack(b.column("packed")[0].as_py()) for b in collocations._phrases(text, 1, kept, counter, 50)]
+    assert sum(len(p[0]) for p in packs) == 500 * 5 and all(len(p) - 5 <= len(p[0]) for p in packs)
+
+
 def test_keys_in_order():
     draw = np.random.default_rng(2)
     for low in (0, 5):

@@ -339,7 +339,8 @@ def _phrases(raw: bytes, copies: int, packs: list[bytes], counter: Counter, buck
 
 
 def _packed_phrases(part: int, n: np.ndarray, count: np.ndarray, code: np.ndarray, size: np.ndarray, phrases: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
-    packed = pack(n, _planes(count.astype(np.int64)), _planes(code.astype(np.uint16)), _planes(size.astype(np.uint32)), phrases.tobytes(), *names)
+    used, code = np.unique(code, return_inverse=True)  # a block may have far more languages than this pack
+    packed = pack(n, _planes(count.astype(np.int64)), _planes(code.astype(np.uint16)), _planes(size.astype(np.uint32)), phrases.tobytes(), *(names[k] for k in used))
     return record({"part": ([part], pa.int32()), "packed": ([packed], pa.binary())})
 
 
