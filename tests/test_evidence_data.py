@@ -120,6 +120,16 @@ def test_reports_of_plain_kinds_are_read_in_one_step(spark):
     assert plan.count("element_at(") == 1
 
 
+def test_accounts_are_read_once_per_report(spark):
+    """The accounts of a report are no part of the lambda that looks one up, also where nothing else uses them."""
+    df = reports(spark, FULL, {"topHolders": [{"address": "A", "pct": 1}]}, {"topHolders": [{"address": "A"}], "knownAccounts": {"A": {"name": "n"}}})
+    for rows in (risk.known_labels(df), risk.holder_metrics(df).select("labelled_pct"), risk.project_report(df)):
+        text = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "element_at(lambda" in text and text.count("element_at(") == text.count("element_at(lambda")
+    got = sorted(tuple(r) for r in risk.known_labels(df).collect() if r.report_id)
+    assert got == [(2, "name", "n", 1, None)]
+
+
 def test_risk_projection(spark):
     df = reports(spark, FULL, {}, {"topHolders": [{"address": "A"}], "markets": {}, "knownAccounts": [], "risks": None, "lockers": 1, "transferFee": 5})
     own = {r.report_id: r for r in risk.holder_metrics(df).collect()}
