@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators import prep, risk, telemetry as tm, temporal as tp
+from tidemark.plans import fixtures as fx
 
 NOW = datetime(2024, 5, 2, 12, 0, 0)
 FIELDS = "market_cap liquidity holders organic_score dev_mints dev_balance_pct top_holders_pct".split()
@@ -130,6 +131,29 @@ def test_accounts_are_read_once_per_report(spark):
     assert got == [(2, "name", "n", 1, None)]
 
 
+def test_the_first_name_of_a_list_is_tested_as_the_others(spark):
+    """Lists whose entries all have the same other kind under the name that comes first, or under the next one."""
+    df = reports(
+        spark,
+        {"topHolders": [{"address": 5, "owner": "A"}], "markets": [{"lp": 1, "marketType": 1}, {"marketType": 2}], "knownAccounts": {"5": {"name": 1, "type": "t"}}},
+        {"topHolders": [{"address": "5", "owner": 7}], "markets": [{"lp": {"baseUSD": "1", "quoteUSD": 2}}], "knownAccounts": {"5": {"name": "n", "type": 1}}},
+    )
+    assert sorted(tuple(r)[:3] for r in risk.known_labels(df).collect()) == [(1, "name", "n")]
+    assert risk.market_types(df).count() == 0
+    assert [r.largest_market_usd for r in risk.market_metrics(df).orderBy("report_id").collect()] == [None, 2.0]
+    checked = risk.leak_check(df, risk.project_report(df)).orderBy("report_id").collect()
+    assert [(r.addresses, r.leaks) for r in checked] == [(2, False), (1, False)]
+
+
+def test_documents_are_read_apart_from_list_functions(spark):
+    """A step with functions over lists reads its input from rows, where each use of a variant copies it whole."""
+    df = fx.reports(spark, "/root/testdata/sf0.001")
+    for rows in (risk.project_report(df), risk.known_labels(df), risk.leak_check(df, risk.project_report(df)), risk.risk_list(df)):
+        lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        steps = [line for line in lines if "Project [" in line and "variant_get(report#" in line]
+        assert steps and not any("lambdafunction" in line for line in steps)
+
+
 def test_risk_projection(spark):
     df = reports(spark, FULL, {}, {"topHolders": [{"address": "A"}], "markets": {}, "knownAccounts": [], "risks": None, "lockers": 1, "transferFee": 5})
     own = {r.report_id: r for r in risk.holder_metrics(df).collect()}
